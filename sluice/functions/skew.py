@@ -1,0 +1,49 @@
+"""A left join that spreads hot keys of the left side over many tasks.
+
+AQE splits a skewed partition only where both join inputs are plain shuffles. Where one
+side already arrives partitioned by the key, or where the join feeds an aggregation on
+the same key, a hot key would stay in one task; then the salt below does the work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot from this many rows on. With N left rows there are at most N / HOT_ROWS
+# hot keys, one million for 10^12 rows, which is what bounds the broadcast below.
+HOT_ROWS = 1_000_000
+SALTS = 512
+
+
+def spread_left_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: str,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``left.join(right, key, "left")`` for a right side that is unique on ``key``.
+
+    Rows of a hot key are spread by a hash of ``spread_by``; only the right rows of hot
+    keys are repeated, once per salt. Counting keys is exact, so both sides always see
+    the same hot keys, and NULL keys, which match nothing, are spread as well.
+    """
+    counts = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
+    hot = counts.where((F.col("_rows") >= hot_rows) & F.col("_hot").isNotNull()).select("_hot")
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    is_hot = F.col("_hot").isNotNull()
+    spread = is_hot | F.col(key).isNull()
+    salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(spread, salt).otherwise(F.lit(0))
+    )
+    every_salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    copies = (
+        right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        .withColumn("_salt", F.explode(every_salt))
+        .drop("_hot")
+    )
+    return salted.drop("_hot").join(copies, [key, "_salt"], "left").drop("_salt")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import days_between, null_or_blank, outside, quoted, shown, ts
+from sluice.functions.skew import spread_left_join
 from sluice.schemas import BUSINESS_KEY, ENTITIES, LATE_DAYS, ORDER_STATUSES, PAYMENT_STATUSES
 
 # A rule is (name, condition, reason). Their order decides which one is reported.
@@ -106,11 +107,10 @@ def classify_orders(df: DataFrame) -> DataFrame:
 def classify_payments(df: DataFrame, accepted_orders: DataFrame) -> DataFrame:
     """Orphan test first; it needs the accepted orders.
 
-    A left join on the unique order key, so AQE can split a hot order id on the
-    payment side.
+    Orphans may all name one order id, so hot ids are spread before the join.
     """
-    known = accepted_orders.select(F.col("order_id"), F.lit(True).alias("_known"))
-    marked = df.join(known, "order_id", "left")
+    known = accepted_orders.select("order_id", F.lit(True).alias("_known"))
+    marked = spread_left_join(df, known, "order_id", "payment_id")
     rules: list[Rule] = [
         (
             "orphan_payment",

@@ -38,15 +38,18 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
     past = recent_history(history, recent).select(
         "recency", "incident_id", "failure_key", corpus.alias("_tokens")
     )
-    index = past.select(
-        "recency",
-        "incident_id",
-        "failure_key",
-        F.size("_tokens").alias("_past_size"),
-        F.explode("_tokens").alias("_token"),
+    index = (
+        past.withColumn("_past_size", F.size("_tokens"))
+        .withColumn("_token", F.explode("_tokens"))
+        .drop("_tokens")
     )
-    asked = queries.select("query_id", tokens(F.col("text")).alias("_tokens")).select(
-        "query_id", F.size("_tokens").alias("_size"), F.explode("_tokens").alias("_token")
+    # The size is taken before the explode, or every token row would carry the array.
+    # The outer form keeps Spark from evaluating the tokeniser a second time as a
+    # filter; a text without tokens yields one NULL, which joins nothing.
+    asked = (
+        queries.select("query_id", tokens(F.col("text")).alias("_tokens"))
+        .withColumn("_size", F.size("_tokens"))
+        .select("query_id", "_size", F.explode_outer("_tokens").alias("_token"))
     )
     overlaps = (
         asked.join(F.broadcast(index), "_token")
