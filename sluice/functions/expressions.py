@@ -55,11 +55,6 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case word tokens of the whole text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1))
-
-
 def round_to(col: Column, digits: int) -> Column:
     """Round a double at a fixed number of digits by scaling it first."""
     scale = float(10**digits)

@@ -2,68 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.expressions import tokens
+from sluice.session import spread_input
 
 MAX_RECENT = 2000
 MAX_K = 20
+WORD = re.compile(r"[a-z0-9_]+")
+MATCH_DDL = (
+    "query_id BIGINT, rank INT, incident_id BIGINT, failure_key STRING, overlap BIGINT, score DOUBLE"
+)
 
 
 def recent_history(history: DataFrame, recent: int) -> DataFrame:
-    """The ``recent`` newest incidents, numbered from the newest.
-
-    The recall looks back over a bounded number of incidents (at most 2000), so this
-    frame is small whatever the ledger's size and may be broadcast.
-    """
+    """The ``recent`` newest incidents; the recall never looks back over more than 2000."""
     if not 1 <= recent <= MAX_RECENT:
         raise ValueError(f"recent must be between 1 and {MAX_RECENT}")
-    newest = history.orderBy(F.desc("injected_at"), F.desc("incident_id")).limit(recent)
-    order = Window.orderBy(F.desc("injected_at"), F.desc("incident_id"))
-    return newest.withColumn("recency", F.row_number().over(order))
+    return history.orderBy(F.desc("injected_at"), F.desc("incident_id")).limit(recent)
+
+
+class TokenIndex:
+    """Which of the recent incidents (newest first) hold a token, and their set sizes."""
+
+    def __init__(self, incidents: list[tuple[int, str, str]]):
+        self.ids = [i for i, _, _ in incidents]
+        self.keys = [key for _, key, _ in incidents]
+        sets = [set(WORD.findall(f"{key} {detail or ''}".lower())) for _, key, detail in incidents]
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        places: dict[str, list[int]] = {}
+        for place, words in enumerate(sets):
+            for word in words:
+                places.setdefault(word, []).append(place)
+        self.places = {w: np.array(p, dtype=np.int16) for w, p in places.items()}
+
+    def best(self, text: str, k: int) -> list[tuple[int, int, float]]:
+        """(place, overlap, Jaccard) of the k best; equal scores go to the newer one."""
+        words = set(WORD.findall(text.lower()))
+        hits = [self.places[w] for w in words if w in self.places]
+        if not hits:
+            return []
+        overlap = np.bincount(np.concatenate(hits), minlength=len(self.ids))
+        score = overlap / (len(words) + self.sizes - overlap)
+        top = np.argsort(-score, kind="stable")[:k]
+        return [(int(p), int(overlap[p]), float(score[p])) for p in top if overlap[p]]
 
 
 def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int = 200) -> DataFrame:
     """The ``k`` most similar recent incidents of each (query_id, text).
 
     Similarity is the Jaccard index of the token sets of the whole texts; incidents
-    without a common token are left out, and ties go to the newer one. The bounded
-    history becomes a broadcast inverted index, so the query texts never move: each
-    task counts overlaps locally, at most ``recent`` of them per query.
+    without a common token are left out, and ties go to the newer one.
+
+    The look-back is bounded (at most 2000 incidents), so its token index is small and
+    every task scores its own texts against it: no text, token or pair is shuffled. As
+    a join on tokens the same result needs up to ``recent`` rows per text in a shuffle
+    and one row per common token and incident before it.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
-    corpus = tokens(F.concat_ws(" ", "failure_key", "detail"))
-    past = recent_history(history, recent).select(
-        "recency", "incident_id", "failure_key", corpus.alias("_tokens")
-    )
-    index = (
-        past.withColumn("_past_size", F.size("_tokens"))
-        .withColumn("_token", F.explode("_tokens"))
-        .drop("_tokens")
-    )
-    # The size is taken before the explode, or every token row would carry the array.
-    # The outer form keeps Spark from evaluating the tokeniser a second time as a
-    # filter; a text without tokens yields one NULL, which joins nothing.
-    asked = (
-        queries.select("query_id", tokens(F.col("text")).alias("_tokens"))
-        .withColumn("_size", F.size("_tokens"))
-        .select("query_id", "_size", F.explode_outer("_tokens").alias("_token"))
-    )
-    overlaps = (
-        asked.join(F.broadcast(index), "_token")
-        .groupBy("query_id", "recency", "incident_id", "failure_key", "_size", "_past_size")
-        .agg(F.count("*").alias("overlap"))
-    )
-    union = F.col("_size") + F.col("_past_size") - F.col("overlap")
-    scored = overlaps.withColumn("score", F.col("overlap") / union)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("recency"))
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "incident_id", "failure_key", "overlap", "score")
+    newest = (
+        recent_history(history, recent)
+        .orderBy(F.desc("injected_at"), F.desc("incident_id"))
+        .select("incident_id", "failure_key", "detail")
     )
+    index = TokenIndex([tuple(r) for r in newest.collect()])
+    shared = queries.sparkSession.sparkContext.broadcast(index)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            rows = [
+                (query_id, rank, known.ids[place], known.keys[place], overlap, value)
+                for query_id, text in zip(batch["query_id"], batch["text"], strict=True)
+                if text is not None
+                for rank, (place, overlap, value) in enumerate(known.best(text, k), 1)
+            ]
+            names = ["query_id", "rank", "incident_id", "failure_key", "overlap", "score"]
+            yield pd.DataFrame(rows, columns=names)
+
+    return spread_input(queries.select("query_id", "text")).mapInPandas(score, MATCH_DDL)
 
 
 def recurrence(queries: DataFrame, history: DataFrame, recent: int = 200) -> DataFrame:

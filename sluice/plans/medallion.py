@@ -24,12 +24,21 @@ LAYERS = (
 class Medallion(Mapping[str, DataFrame]):
     """Table name to frame. Accepted and rejected rows come from one classification.
 
-    ``raw`` gives the raw table of an entity.
+    ``raw`` gives the raw table of an entity. ``keep`` writes a table out and returns it
+    as read back; it is used where several consumers follow, so that a classification
+    is computed once. Without it everything stays one lazy plan.
     """
 
-    def __init__(self, raw: Callable[[str], DataFrame], run_ts: str = RUN_TS):
+    def __init__(
+        self,
+        raw: Callable[[str], DataFrame],
+        run_ts: str = RUN_TS,
+        keep: Callable[[str, DataFrame], DataFrame] | None = None,
+    ):
         self.raw = raw
         self.run_ts = run_ts
+        self._keep = keep
+        self._kept: set[str] = set()
 
     def bronze(self, entity: str) -> DataFrame:
         return classify.bronze(self.raw(entity), entity)
@@ -42,12 +51,28 @@ class Medallion(Mapping[str, DataFrame]):
         if entity not in self._classified:
             bronze = self.bronze(entity)
             if entity == "payments":
+                self.share("orders")
                 frame = classify.classify_payments(bronze, self.silver("orders"))
             else:
                 frame = getattr(classify, f"classify_{entity}")(bronze)
             self._classified[entity] = frame
         return self._classified[entity]
 
+    def share(self, *entities: str) -> Medallion:
+        """Write out classified entities that are about to be used more than once."""
+        for entity in entities:
+            if self._keep is not None and entity not in self._kept:
+                frame = self.classified(entity)
+                self._classified[entity] = self._keep(f"classified_{entity}", frame)
+                self._kept.add(entity)
+        return self
+
+    def share_gold(self) -> Medallion:
+        if self._keep is not None and "gold" not in self._kept:
+            self.__dict__["obt"] = self._keep("gold_orders_obt", self.obt)
+            self._kept.add("gold")
+        return self
+
     def silver(self, entity: str) -> DataFrame:
         return classify.accepted(self.classified(entity), entity)
 
@@ -56,8 +81,10 @@ class Medallion(Mapping[str, DataFrame]):
 
     @cached_property
     def obt(self) -> DataFrame:
-        silver = [self.silver(e) for e in ("orders", "customers", "products", "payments")]
-        return gold.orders_obt(*silver)
+        payments = self.silver("payments")
+        return gold.orders_obt(
+            self.silver("orders"), self.silver("customers"), self.silver("products"), payments
+        )
 
     @cached_property
     def daily(self) -> DataFrame:

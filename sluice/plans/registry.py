@@ -51,7 +51,13 @@ class Lake:
         self.spark = configure(spark)
         self.src = Retail(spark, root)
         self.root = root
-        self.tables = Medallion(self.src.raw)
+        self.tables = Medallion(self.src.raw, keep=self._keep)
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table that has several consumers to the shared folder, once."""
+        path = scratch_dir(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     @cached_property
     def first_raw(self) -> DataFrame:
@@ -86,11 +92,15 @@ class Lake:
 
     @cached_property
     def before(self) -> Medallion:
-        return Medallion(lambda e: self.first_raw if e == "orders" else self.src.raw(e))
+        return Medallion(
+            lambda e: self.first_raw if e == "orders" else self.src.raw(e), keep=self._keep
+        )
 
     @cached_property
     def after(self) -> Medallion:
-        return Medallion(lambda e: self.second_raw if e == "orders" else self.src.raw(e))
+        return Medallion(
+            lambda e: self.second_raw if e == "orders" else self.src.raw(e), keep=self._keep
+        )
 
 
 def _stack_entities(make: Callable[[str], DataFrame]) -> DataFrame:
@@ -248,7 +258,7 @@ def late_flag(lake: Lake) -> DataFrame:
 
 
 def split_invariant(lake: Lake) -> DataFrame:
-    t = lake.tables
+    t = lake.tables.share("orders", "payments")
     return _stack_entities(
         lambda e: audit.split_invariant(t.bronze(e), t.silver(e), t.rejects(e), ENTITIES[e].pk)
     )
@@ -276,12 +286,14 @@ def append_only_new(lake: Lake) -> DataFrame:
 
 
 def refresh_orders(lake: Lake) -> DataFrame:
-    before, now = lake.before.silver("orders"), lake.after.classified("orders")
+    before = lake.before.silver("orders")
+    now = lake.after.share("orders").classified("orders")
     return refresh.refresh(before, now, "orders", "order_id", "strict")
 
 
 def refresh_payments(lake: Lake, mode: str) -> DataFrame:
-    before, now = lake.before.silver("payments"), lake.after.classified("payments")
+    before = lake.before.silver("payments")
+    now = lake.after.share("payments").classified("payments")
     return refresh.refresh(before, now, "payments", "payment_id", mode)
 
 
@@ -293,7 +305,13 @@ def transition_report(lake: Lake) -> DataFrame:
 # -- gold ---------------------------------------------------------------------------
 
 
+def gold_integrity(lake: Lake) -> DataFrame:
+    t = lake.tables.share_gold()
+    return audit.gold_integrity(t.obt, t.daily, t.silver("orders"))
+
+
 def reconcile_status(lake: Lake) -> DataFrame:
+    lake.tables.share("orders")
     named = intents.run_intent(lake.tables, "order_status_breakdown", limit=1000)
     direct = lake.tables.silver("orders").groupBy("status").agg(
         F.count("*").alias("order_count"), F.sum("total_amount").alias("total_amount")
@@ -302,6 +320,7 @@ def reconcile_status(lake: Lake) -> DataFrame:
 
 
 def reconcile_category(lake: Lake) -> DataFrame:
+    lake.tables.share_gold()
     named = intents.run_intent(lake.tables, "revenue_by_category", limit=1000)
     unrealised = F.col("status").isin("cancelled", "returned")
     zero = F.lit(0).cast("decimal(12,2)")
@@ -316,20 +335,25 @@ def reconcile_category(lake: Lake) -> DataFrame:
 
 
 def probe_reject(lake: Lake) -> DataFrame:
-    t = lake.tables
+    t = lake.tables.share("orders", "payments")
     return detect.reject_probe(t.rejects("orders"), ORDER_REJECT_KEYS, "order_id").unionByName(
         detect.reject_probe(t.rejects("payments"), PAYMENT_REJECT_KEYS, "payment_id")
     )
 
 
+def detection_sweep(lake: Lake) -> DataFrame:
+    return detect.detection_sweep(lake.tables.share("orders"))
+
+
 def cascade_triage(lake: Lake) -> DataFrame:
     failed = logs.run_result_failures(lake.src.run_documents)
-    return detect.cascade_triage(detect.detection_sweep(lake.tables), failed)
+    return detect.cascade_triage(detection_sweep(lake), failed)
 
 
 def ambiguous_drop(lake: Lake) -> DataFrame:
     """Silver now against a baseline in which fewer orders were cancelled and some
     products cost more."""
+    lake.tables.share("orders")
     orders, products = lake.tables.silver("orders"), lake.tables.silver("products")
     spared = (F.col("status") == "cancelled") & (F.col("order_id") % 3 != 0)
     base_orders = orders.withColumn(
@@ -340,6 +364,11 @@ def ambiguous_drop(lake: Lake) -> DataFrame:
     return detect.ambiguous_drop(base_orders, orders, base_products, products)
 
 
+def defect_survival(lake: Lake) -> DataFrame:
+    t = lake.tables.share("orders", "payments").share_gold()
+    return detect.defect_survival(lake.src.ledger, t, audit.leak_checks(t.obt))
+
+
 def incident_route(lake: Lake) -> DataFrame:
     windows = lake.src.diagnoses.select("window_id")
     return ledger.route_incidents(lake.src.ledger, "window_id", windows)
@@ -497,10 +526,8 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "payment_rollup": lambda k: gold.payment_rollup(k.tables.silver("payments")),
     "gold_orders_obt": lambda k: k.tables.obt,
     "gold_revenue_daily": lambda k: k.tables.daily,
-    "gold_integrity": lambda k: audit.gold_integrity(
-        k.tables.obt, k.tables.daily, k.tables.silver("orders")
-    ),
-    "gold_leak_check": lambda k: audit.leak_checks(k.tables.obt),
+    "gold_integrity": gold_integrity,
+    "gold_leak_check": lambda k: audit.leak_checks(k.tables.share_gold().obt),
     "gold_duplicate_keys": lambda k: audit.duplicate_keys(k.tables.obt),
     "bronze_duplicate_keys": lambda k: audit.duplicate_keys(k.tables.bronze("orders")),
     "reconcile_status": reconcile_status,
@@ -516,12 +543,16 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
         k.tables, "top_products", order_by="units_sold desc"
     ),
     "intent_limit": lambda k: intents.run_intent(k.tables, "top_products", limit=5000),
-    "report_executive_summary": lambda k: intents.report_rows(k.tables, "executive_summary"),
+    "report_executive_summary": lambda k: intents.report_rows(
+        k.tables.share_gold(), "executive_summary"
+    ),
     "report_daily_revenue": lambda k: intents.report_rows(
-        k.tables, "daily_revenue", INTENT_WINDOW
+        k.tables.share_gold(), "daily_revenue", INTENT_WINDOW
+    ),
+    "schema_info": lambda k: intents.schema_info(k.tables.share_gold()),
+    "table_counts": lambda k: intents.table_counts(
+        k.tables.share("orders", "payments").share_gold()
     ),
-    "schema_info": lambda k: intents.schema_info(k.tables),
-    "table_counts": lambda k: intents.table_counts(k.tables),
     "portable_rows": lambda k: portable(k.tables.daily),
     # query basket
     "bq_full_scan": lambda k: basket.full_scan(k.tables.obt),
@@ -530,7 +561,9 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "bq_top_products": lambda k: basket.top_products(k.tables.obt),
     "bq_status": lambda k: basket.status_breakdown(k.tables.obt),
     "bq_running_revenue": lambda k: basket.running_revenue(k.tables.daily),
-    "bq_join_daily": lambda k: basket.daily_with_orders(k.tables.daily, k.tables.obt),
+    "bq_join_daily": lambda k: basket.daily_with_orders(
+        k.tables.share_gold().daily, k.tables.obt
+    ),
     "sq_daily_30d": lambda k: basket.daily_totals(k.src.source("orders"), _as_of(k)),
     "sq_category": lambda k: basket.category_revenue(
         k.src.source("orders"), k.src.source("products")
@@ -543,13 +576,11 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "probe_reject": probe_reject,
     "probe_flag": lambda k: detect.flag_probe(k.tables.silver("orders")),
     "volume_spike": lambda k: detect.volume_spike(k.tables.silver("orders"), "ordered_at"),
-    "detection_sweep": lambda k: detect.detection_sweep(k.tables),
+    "detection_sweep": detection_sweep,
     "cascade_triage": cascade_triage,
     "ambiguous_drop": ambiguous_drop,
     "incident_occurrence": lambda k: ledger.occurrences(k.src.ledger),
-    "defect_survival": lambda k: detect.defect_survival(
-        k.src.ledger, k.tables, audit.leak_checks(k.tables.obt)
-    ),
+    "defect_survival": defect_survival,
     "incident_route": incident_route,
     "log_failures": lambda k: logs.parse_failures(k.src.log_lines),
     "log_failures_latest": lambda k: logs.log_failures(k.src.log_lines),

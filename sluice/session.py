@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. A skewed join is split by AQE even when
 # the split costs one more exchange: one hot key may hold a third of all rows.
@@ -72,3 +72,15 @@ def ensure_checkpointing(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared root, never reused."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores where its files give fewer splits than there are.
+
+    For work that is heavy per row over a few unsplittable files. A large table has
+    more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -135,10 +135,14 @@ def derive_orders(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Da
 
 
 def derive_payments(lineitem: DataFrame) -> DataFrame:
-    """One payment per order line number; repeated line numbers are summed."""
+    """One payment per order line number; repeated line numbers are summed.
+
+    The flag is compared by its code: a text maximum would turn the hash aggregation
+    into a sorting one.
+    """
     paid = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("price"),
-        F.max("l_returnflag").alias("flag"),
+        F.max(F.ascii("l_returnflag")).alias("flag"),
         F.max("l_shipdate").alias("paid_at"),
     )
     keyed = paid.withColumn("payment_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
@@ -152,8 +156,8 @@ def derive_payments(lineitem: DataFrame) -> DataFrame:
         .otherwise(F.col("price").cast("decimal(12,2)"))
         .alias("amount"),
         F.when(every("payment_id", 197), F.lit("unknown"))
-        .when(F.col("flag") == "A", F.lit("authorized"))
-        .when(F.col("flag") == "N", F.lit("captured"))
+        .when(F.col("flag") == ord("A"), F.lit("authorized"))
+        .when(F.col("flag") == ord("N"), F.lit("captured"))
         .otherwise(F.lit("refunded"))
         .alias("status"),
         "paid_at",

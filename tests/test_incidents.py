@@ -276,3 +276,13 @@ def test_ambiguous_drop(spark):
     assert verdict(o(5), o(9), p(10.0), p(5.0)) == "price_cut"
     assert verdict(o(5), o(10), p(10.0), p(6.0)) == "cancellation_surge"
     assert verdict(o(0), o(0), p(10.0), p(10.0)) == "none"
+
+
+def test_history_ties_go_to_the_newer_incident(spark):
+    ddl = "incident_id BIGINT, failure_key STRING, detail STRING"
+    past = spark.createDataFrame([(i, "k", "same words") for i in range(9)], ddl).withColumn(
+        "injected_at", F.timestamp_seconds("incident_id")
+    )
+    asked = spark.createDataFrame([(1, "same words"), (2, None)], "query_id BIGINT, text STRING")
+    rows = history.similar_topk(asked, past, 3).collect()
+    assert [(r["rank"], r.incident_id) for r in rows] == [(1, 8), (2, 7), (3, 6)]
