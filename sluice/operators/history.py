@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.session import spread_input
-
 MAX_RECENT = 2000
 MAX_K = 20
 WORD = re.compile(r"[a-z0-9_]+")
@@ -86,7 +84,7 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
             names = ["query_id", "rank", "incident_id", "failure_key", "overlap", "score"]
             yield pd.DataFrame(rows, columns=names)
 
-    return spread_input(queries.select("query_id", "text")).mapInPandas(score, MATCH_DDL)
+    return queries.select("query_id", "text").mapInPandas(score, MATCH_DDL)
 
 
 def recurrence(queries: DataFrame, history: DataFrame, recent: int = 200) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sluice.operators.audit import stack
 from sluice.operators.ingest import incremental_window, stamp_lineage
 from sluice.schemas import ENTITIES, ENTITY_ORDER, EntitySpec
-from sluice.sources.layers import EPOCH, RangedTable, RunLog
+from sluice.sources.layers import EPOCH, RangedTable, RunLog, remove
 from sluice.sources.readers import read_entity, resolve_column
 
 Source = str | dict[str, str] | DataFrame
@@ -64,6 +64,7 @@ class Ingest:
         staged = self.spark.read.schema(rows.schema).parquet(stage)
         if rows_read:
             table.upsert(stamp_lineage(staged, run_ts, high_ts, drift))
+        remove(self.spark, stage)
         current = table.rows()
         return self.spark.range(1).select(
             F.lit(run_ts).cast("timestamp").alias("run_ts"),

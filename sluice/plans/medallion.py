@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from sluice.operators import classify, gold
+from sluice.operators.refresh import refresh
+from sluice.schemas import ENTITIES
 from sluice.sources.layers import LayerStore
 
 RUN_TS = "2024-06-01 00:00:00"
@@ -111,21 +113,30 @@ class Medallion(Mapping[str, DataFrame]):
         return len(LAYERS)
 
 
-def publish(tables: Medallion, store: LayerStore) -> dict[str, DataFrame]:
-    """Rebuild all layers: bronze as views, silver and rejects from one written
-    classification per entity, gold over the written silver. One commit at the end.
+def publish(tables: Medallion, store: LayerStore, mode: str = "full") -> dict[str, DataFrame]:
+    """Write all layers and make them visible with one commit.
+
+    Bronze stays a view. Each classification is written once; silver and rejects are
+    read from it, gold from the written silver. With ``mode="strict"`` or
+    ``"reference"`` the last committed silver tables are refreshed, else rebuilt.
     """
-    version = store.version() + 1
+    last = store.version()
     out: dict[str, DataFrame] = {}
     for entity in ("customers", "products", "orders", "payments"):
         store.view("bronze", entity, tables.bronze(entity))
-        verdicts = store.overwrite("classified", entity, tables.classified(entity), version)
+        verdicts = store.overwrite("classified", entity, tables.classified(entity), last + 1)
         tables._classified[entity] = verdicts
-        for name, rows in ((entity, tables.silver(entity)), (f"{entity}_rejects", tables.rejects(entity))):
-            out[f"silver_{name}"] = store.overwrite("silver", name, rows, version)
+        tables._kept.add(entity)
+        silver = tables.silver(entity)
+        if mode != "full" and last:
+            before = store.read("silver", entity)
+            silver = refresh(before, verdicts, entity, ENTITIES[entity].pk, mode)
+        for name, rows in ((entity, silver), (f"{entity}_rejects", tables.rejects(entity))):
+            out[f"silver_{name}"] = store.overwrite("silver", name, rows, last + 1)
     silver = [out[f"silver_{e}"] for e in ("orders", "customers", "products", "payments")]
-    obt = store.overwrite("gold", "orders_obt", gold.orders_obt(*silver), version)
+    obt = store.overwrite("gold", "orders_obt", gold.orders_obt(*silver), last + 1)
     out["gold_orders_obt"] = obt
-    out["gold_revenue_daily"] = store.overwrite("gold", "revenue_daily", gold.revenue_daily(obt), version)
-    store.commit(version)
+    daily = gold.revenue_daily(obt)
+    out["gold_revenue_daily"] = store.overwrite("gold", "revenue_daily", daily, last + 1)
+    store.commit(last + 1)
     return out

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Whole texts go to Python in batches; this bounds a batch of long ones.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -74,8 +76,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores where its files give fewer splits than there are.
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a plain scan over all cores where its files give fewer splits than there are.
 
     For work that is heavy per row over a few unsplittable files. A large table has
     more splits than cores and is left alone.

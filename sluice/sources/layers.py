@@ -21,13 +21,23 @@ RUN_LOG_DDL = (
 )
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, jvm_path = _file_system(spark, path)
     return files.exists(jvm_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder this engine wrote."""
+    files, jvm_path = _file_system(spark, path)
+    files.delete(jvm_path, True)
+
+
 class LayerStore:
     """Tables named ``<layer>_<entity>`` below one root folder."""
 

@@ -21,6 +21,7 @@ from sluice.schemas import (
     ORPHAN_ORDER_ID,
     PAYMENT_METHODS,
 )
+from sluice.session import spread_scan
 from sluice.sources.readers import project
 
 TABLES = {
@@ -277,7 +278,8 @@ class Retail:
     @cached_property
     def incident_notes(self) -> DataFrame:
         """Free-text descriptions to look up in the history."""
-        return self.table("documents").select(F.col("doc_id").alias("query_id"), "text")
+        documents = spread_scan(self.table("documents"))
+        return documents.select(F.col("doc_id").alias("query_id"), "text")
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -297,8 +299,8 @@ class Retail:
                 F.col(cause).alias("recurrence_note"),
             )
 
-        documents = report(self.table("documents"), "d", "doc_id", "source", "text", "lang")
-        pages = report(self.table("pages"), "p", "page_id", "url", "url", "html")
+        documents = report(spread_scan(self.table("documents")), "d", "doc_id", "source", "text", "lang")
+        pages = report(spread_scan(self.table("pages")), "p", "page_id", "url", "url", "html")
         return documents.unionByName(pages)
 
     @cached_property

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sluice.operators.classify import accepted, classify_orders, rejects
 from sluice.operators.ledger import route
 from sluice.operators.refresh import affected_orders
-from sluice.sources.layers import RangedTable
+from sluice.sources.layers import RangedTable, exists, remove
 
 FILE_WIDTH = 10_000_000
 
@@ -34,22 +34,22 @@ class OrderTables:
         return rejects(self.verdicts.rows(), run_ts)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Take one batch of raw orders in. Replaying a batch changes nothing."""
+        """Take one batch of raw orders in. Replaying a batch changes nothing.
+
+        The verdict table still holds the versions a batch replaces until its last step,
+        also after a crash in between, so it tells which business keys are affected.
+        Verdicts once staged completely are used again by a replay.
+        """
         spark = batch.sparkSession
         stage = f"{self.root}/stage/batch={batch_id}"
-        before = self.raw.rows()
-        # What the batch replaces must be read before the raw table changes.
-        batch.write.mode("overwrite").parquet(f"{stage}/rows")
-        rows = spark.read.parquet(f"{stage}/rows")
-        old = None
-        if before is not None:
-            old_rows = before.join(rows.select("order_id"), "order_id", "left_semi")
-            old_rows.write.mode("overwrite").parquet(f"{stage}/replaced")
-            old = spark.read.parquet(f"{stage}/replaced")
-        self.raw.upsert(rows)
-        affected = affected_orders(self.raw.rows(), old, rows)
-        classify_orders(affected).write.mode("overwrite").parquet(f"{stage}/verdicts")
+        if not exists(spark, f"{stage}/verdicts/_SUCCESS"):
+            batch.write.mode("overwrite").parquet(f"{stage}/rows")
+            rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
+            self.raw.upsert(rows)
+            affected = affected_orders(self.raw.rows(), self.verdicts.rows(), rows)
+            classify_orders(affected).write.mode("overwrite").parquet(f"{stage}/verdicts")
         self.verdicts.upsert(spark.read.parquet(f"{stage}/verdicts"))
+        remove(spark, stage)
 
 
 def stream_ingest(
@@ -116,7 +116,8 @@ def upsert_windows(df: DataFrame, path: str, start_col: str, checkpoint: str) ->
         table = RangedTable(batch.sparkSession, path, "_key", width=86_400_000_000)
         stage = f"{path}-stage/batch={batch_id}"
         keyed.write.mode("overwrite").parquet(stage)
-        table.upsert(batch.sparkSession.read.parquet(stage))
+        table.upsert(batch.sparkSession.read.schema(keyed.schema).parquet(stage))
+        remove(batch.sparkSession, stage)
 
     return (
         df.writeStream.outputMode("update")

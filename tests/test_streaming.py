@@ -81,3 +81,15 @@ def test_routes_drop_incidents_past_the_watermark(spark, tmp_path):
     drop([(4, "schema_drift", 3), (5, "volume_spike", 305)])
     assert drain() == {0: ("base", 2), 300: ("cascade", 2)}
     assert F
+
+
+def test_a_crash_before_the_verdicts_is_healed_by_the_replay(spark, tmp_path):
+    tables = jobs.OrderTables(spark, str(tmp_path), width=10)
+    first = orders(spark, [order(1), order(2)])
+    tables.apply(first, 0)
+    assert rules(tables.verdicts.rows(), "order_id") == {1: None, 2: "duplicate_order"}
+    second = orders(spark, [order(1, quantity=8, ingested="2024-02-01 00:00:00")])
+    # The run dies after the raw table was written, before any verdict was.
+    tables.raw.upsert(second)
+    tables.apply(second, 1)
+    assert rules(tables.verdicts.rows(), "order_id") == {1: None, 2: None}
