@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +86,11 @@ def validate_text(reports: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
+    # All markers in one case-blind pass over the whole text.
+    markers = "(?i)" + "|".join(re.escape(m) for m in GARBAGE_MARKERS)
+
     def garbage(name: str) -> Column:
-        lowered = F.lower(text(name))
-        hit = F.lit(False)
-        for marker in GARBAGE_MARKERS:
-            hit = hit | lowered.contains(marker)
-        return hit
+        return text(name).rlike(markers)
 
     checks = [
         (strip(text("incident_key")) == "", "incident_key is missing"),

@@ -54,23 +54,47 @@ def refresh(
     return kept.unionByName(append_only_new(candidates, kept, key))
 
 
-def affected_orders(raw: DataFrame, before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """All raw orders whose verdict the batch may change.
+# Up to this many batch rows the touched keys are broadcast: two keys of eight bytes a row.
+BROADCAST_ROWS = 2_000_000
 
-    Duplicates depend on other rows, so besides the batch itself these are the rows that
-    share a business key with it now or shared one with the replaced versions. Keys are
-    compared by hash; a collision only re-checks a few rows more.
+
+def affected_orders(
+    raw: DataFrame, before: DataFrame | None, batch: DataFrame, batch_rows: int
+) -> DataFrame:
+    """The raw orders whose verdict a batch of ``batch_rows`` rows may change.
+
+    ``raw`` is the table with the batch in it, ``before`` the one without. Apart from
+    the batch itself a verdict can change only for the first row of a business key the
+    batch touches, as it was before or as it is now: other copies stay duplicates. So a
+    key with very many copies adds two rows, not its whole group.
+
+    The result holds the first row of every business key in it and can therefore be
+    classified on its own. Touched keys are matched by hash, first rows are found on the
+    full key; a hash collision only adds rows.
     """
-    fingerprint = F.xxhash64(*BUSINESS_KEY)
-    keys = batch.select(fingerprint.alias("_bk"))
+    key_hash = F.xxhash64(*BUSINESS_KEY)
+    touched = batch.select(key_hash.alias("_bk"))
     if before is not None:
-        old = before.join(batch.select("order_id"), "order_id", "left_semi")
-        keys = keys.unionByName(old.select(fingerprint.alias("_bk")))
-    return (
-        raw.withColumn("_bk", fingerprint)
-        .join(keys.distinct(), "_bk", "left_semi")
-        .drop("_bk")
-    )
+        replaced = before.join(batch.select("order_id"), "order_id", "left_semi")
+        touched = touched.unionByName(replaced.select(key_hash.alias("_bk")))
+    touched = touched.distinct()
+    small = batch_rows <= BROADCAST_ROWS
+
+    def first_rows(df: DataFrame) -> DataFrame:
+        keyed = df.select(*BUSINESS_KEY, "order_id")
+        if small:
+            near = keyed.withColumn("_bk", key_hash)
+            keyed = near.join(F.broadcast(touched), "_bk", "left_semi").drop("_bk")
+        first = keyed.groupBy(*BUSINESS_KEY).agg(F.min("order_id").alias("order_id"))
+        if not small:
+            # Grouping comes before the join, so that copies combine before any shuffle.
+            first = first.withColumn("_bk", key_hash).join(touched, "_bk")
+        return first.select("order_id")
+
+    ids = batch.select("order_id").unionByName(first_rows(raw))
+    if before is not None:
+        ids = ids.unionByName(first_rows(before))
+    return raw.join(ids.distinct(), "order_id", "left_semi")
 
 
 def transition_report(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

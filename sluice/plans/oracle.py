@@ -561,6 +561,18 @@ TABLE_COUNTS = _union(
 
 DAILY_OUT = """CAST(order_date AS VARCHAR) AS order_date, product_category, order_count, units_sold"""
 
+OBT_COLUMNS = (
+    "order_id bigint, customer_id bigint, customer_country string, customer_city string, "
+    "customer_segment string, product_id bigint, product_sku string, product_name string, "
+    "product_category string, quantity int, unit_price decimal(10,2), "
+    "total_amount decimal(12,2), status string, ordered_at timestamp, payment_method string, "
+    "payment_status string, payment_amount decimal(12,2), paid_at timestamp, is_late boolean"
+)
+DAILY_COLUMNS = (
+    "order_date date, product_category string, order_count bigint, units_sold bigint, "
+    "gross_revenue decimal(22,2), avg_order_value decimal(12,2)"
+)
+
 FRESH_MEDIANS = ", ".join(
     _three(f"median({c}) FILTER (WHERE visible)", f"median_{c}")
     for c in ("ingest_s", "build_s", "gold_wait_s")
@@ -744,6 +756,15 @@ FINALS: dict[str, str] = {
             ),
         ]
     ),
+    "schema_info": _union(
+        f"""SELECT '{table}' AS table_name, true AS materialised, (SELECT count(*) FROM {source}) AS row_count,
+        CAST({i} AS INTEGER) AS position, '{column}' AS column_name, '{kind}' AS type"""
+        for table, source, columns in (
+            ("gold_orders_obt", "obt", OBT_COLUMNS),
+            ("gold_revenue_daily", "daily", DAILY_COLUMNS),
+        )
+        for i, (column, kind) in enumerate((c.split(" ") for c in columns.split(", ")), 1)
+    ),
     "table_counts": TABLE_COUNTS,
     "portable_rows": f"""SELECT {DAILY_OUT}, CAST(CAST(gross_revenue AS DECIMAL(38,2)) AS VARCHAR) AS gross_revenue,
       CAST(CAST(avg_cents / 100 AS DECIMAL(12,2)) AS VARCHAR) AS avg_order_value FROM daily""",

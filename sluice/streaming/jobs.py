@@ -46,7 +46,8 @@ class OrderTables:
             batch.write.mode("overwrite").parquet(f"{stage}/rows")
             rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
             self.raw.upsert(rows)
-            affected = affected_orders(self.raw.rows(), self.verdicts.rows(), rows)
+            raw, verdicts = self.raw.rows(), self.verdicts.rows()
+            affected = affected_orders(raw, verdicts, rows, rows.count())
             classify_orders(affected).write.mode("overwrite").parquet(f"{stage}/verdicts")
         self.verdicts.upsert(spark.read.parquet(f"{stage}/verdicts"))
         remove(spark, stage)
