@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -60,13 +61,17 @@ class Medallion(Mapping[str, DataFrame]):
             self._classified[entity] = frame
         return self._classified[entity]
 
+    def put_classified(self, entity: str, written: DataFrame) -> None:
+        """Use a written classification from here on."""
+        self._classified[entity] = written
+        self._kept.add(entity)
+
     def share(self, *entities: str) -> Medallion:
         """Write out classified entities that are about to be used more than once."""
         for entity in entities:
             if self._keep is not None and entity not in self._kept:
                 frame = self.classified(entity)
-                self._classified[entity] = self._keep(f"classified_{entity}", frame)
-                self._kept.add(entity)
+                self.put_classified(entity, self._keep(f"classified_{entity}", frame))
         return self
 
     def share_gold(self) -> Medallion:
@@ -119,20 +124,34 @@ def publish(tables: Medallion, store: LayerStore, mode: str = "full") -> dict[st
     Bronze stays a view. Each classification is written once; silver and rejects are
     read from it, gold from the written silver. With ``mode="strict"`` or
     ``"reference"`` the last committed silver tables are refreshed, else rebuilt.
+    Independent tables are written at the same time; payments wait for orders.
     """
     last = store.version()
     out: dict[str, DataFrame] = {}
-    for entity in ("customers", "products", "orders", "payments"):
+
+    def classified(entity: str) -> None:
         store.view("bronze", entity, tables.bronze(entity))
         verdicts = store.overwrite("classified", entity, tables.classified(entity), last + 1)
-        tables._classified[entity] = verdicts
-        tables._kept.add(entity)
+        tables.put_classified(entity, verdicts)
+
+    def halves(entity: str) -> None:
         silver = tables.silver(entity)
         if mode != "full" and last:
             before = store.read("silver", entity)
+            verdicts = tables.classified(entity)
             silver = refresh(before, verdicts, entity, ENTITIES[entity].pk, mode)
-        for name, rows in ((entity, silver), (f"{entity}_rejects", tables.rejects(entity))):
-            out[f"silver_{name}"] = store.overwrite("silver", name, rows, last + 1)
+        rejected = f"{entity}_rejects"
+        out[f"silver_{entity}"] = store.overwrite("silver", entity, silver, last + 1)
+        out[f"silver_{rejected}"] = store.overwrite(
+            "silver", rejected, tables.rejects(entity), last + 1
+        )
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(classified, ("customers", "products", "orders")))
+        early = pool.map(halves, ("customers", "products", "orders"))
+        classified("payments")
+        halves("payments")
+        list(early)
     silver = [out[f"silver_{e}"] for e in ("orders", "customers", "products", "payments")]
     obt = store.overwrite("gold", "orders_obt", gold.orders_obt(*silver), last + 1)
     out["gold_orders_obt"] = obt
