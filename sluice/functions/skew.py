@@ -10,19 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on. With N left rows there are at most N / HOT_ROWS
-# hot keys, one million for 10^12 rows, which is what bounds the broadcast below.
+# A key is hot from this many rows on, and gets one salt for every so many rows. With N
+# left rows there are at most N / HOT_ROWS hot keys and copies, one million for 10^12
+# rows: that bounds the broadcast and the repeated right rows.
 HOT_ROWS = 1_000_000
-SALTS = 512
+NULL_SALTS = 1_000_000
 
 
 def spread_left_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: str,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``left.join(right, key, "left")`` for a right side that is unique on ``key``.
 
@@ -31,19 +27,23 @@ def spread_left_join(
     the same hot keys, and NULL keys, which match nothing, are spread as well.
     """
     counts = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
-    hot = counts.where((F.col("_rows") >= hot_rows) & F.col("_hot").isNotNull()).select("_hot")
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    hot = counts.where((F.col("_rows") >= hot_rows) & F.col("_hot").isNotNull()).select(
+        "_hot", F.ceil(F.col("_rows") / hot_rows).alias("_salts")
+    )
     is_hot = F.col("_hot").isNotNull()
-    spread = is_hot | F.col(key).isNull()
-    salted = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(spread, salt).otherwise(F.lit(0))
+    spread = F.xxhash64(spread_by)
+    salt = (
+        F.when(is_hot, F.pmod(spread, F.col("_salts")))
+        .when(F.col(key).isNull(), F.pmod(spread, F.lit(NULL_SALTS)))
+        .otherwise(F.lit(0))
     )
-    every_salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    every_salt = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)).otherwise(
+        F.array(F.lit(0).cast("bigint"))
     )
-    copies = (
-        right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(every_salt))
-        .drop("_hot")
+    match = F.col(key) == F.col("_hot")
+    salted = left.join(F.broadcast(hot), match, "left").withColumn("_salt", salt)
+    copies = right.join(F.broadcast(hot), match, "left").withColumn("_salt", F.explode(every_salt))
+    joined = salted.drop("_hot", "_salts").join(
+        copies.drop("_hot", "_salts"), [key, "_salt"], "left"
     )
-    return salted.drop("_hot").join(copies, [key, "_salt"], "left").drop("_salt")
+    return joined.drop("_salt")

@@ -45,7 +45,7 @@ def grade(diagnoses: DataFrame, ledger: DataFrame, window_col: str) -> DataFrame
     )
 
     members = F.array_remove("keys", CASCADE_KEY)
-    named = F.array_distinct("sub_failures")
+    named = F.array_distinct(F.coalesce("sub_failures", F.array().cast("array<string>")))
     overlap = F.size(F.array_intersect(named, members))
     share = F.when(F.size(members) > 0, overlap / F.size(members)).otherwise(F.lit(0.0))
     cascade_score = F.round(F.lit(CASCADE_BASE) + F.lit(CASCADE_SHARE) * share, 4)

@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 from helpers import order, orders, payment, payments
 
+from sluice.functions.expressions import portable
 from sluice.operators import audit, gold
 from sluice.operators.classify import accepted, classify_orders, rejects
 from sluice.plans import basket, intents
@@ -152,6 +153,8 @@ def test_reports(obt):
     assert sections["by_category"].count() == 1 and sections["top_products"].count() == 2
     rows = intents.report_rows(tables, "daily_revenue").collect()
     assert [(r.section, r.rank) for r in rows if r.section == "trend"] == [("trend", 1), ("trend", 2)]
+    names = {r.name for r in intents.intent_info(obt).collect()}
+    assert names == {*intents.INTENTS, *intents.REPORTS}
     info = intents.schema_info(tables, "gold_orders_obt")
     assert info.count() == 19 and info.first().row_count == 5
 
@@ -165,3 +168,9 @@ def test_basket_join_counts_null_category_as_zero(obt):
     }
     running = basket.running_revenue(gold.revenue_daily(obt)).collect()
     assert running[0].running == Decimal("2.01")
+
+
+def test_portable_values(obt):
+    row = portable(gold.revenue_daily(obt)).where("product_category = 'toys'").orderBy("order_date").first()
+    assert (row.order_date, row.gross_revenue, row.avg_order_value) == ("2024-01-02", "2.01", "0.67")
+    assert portable(obt).where("order_id = 1").first().ordered_at == "2024-01-02T10:00:00"

@@ -39,7 +39,7 @@ def test_grading_rubric(spark):
             (2, "recurring_incident", [], ""),
             (3, "late_arrival", [], "silver_orders_rejects"),
             (4, "missing_customer", ["missing_customer", "volume_spike", "volume_spike", "late_arrival"], "x"),
-            (5, "multi_failure_cascade", [], None),
+            (5, "multi_failure_cascade", None, None),
             (6, None, [], "silver_orders_rejects"),
             (7, "negative_price", [], "silver_orders_rejects"),
             (8, "slow_source", None, "dagster_logs"),

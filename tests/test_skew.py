@@ -12,7 +12,7 @@ def test_spread_join_equals_the_plain_join(spark):
         .alias("k"),
     )
     right = spark.createDataFrame([(7, "seven"), (5, "five"), (None, "none")], "k BIGINT, v STRING")
-    spread = spread_left_join(left, right, "k", "pk", hot_rows=100, salts=16)
+    spread = spread_left_join(left, right, "k", "pk", hot_rows=100)
     plain = left.join(right, "k", "left")
     rows = lambda df: sorted(map(str, df.select("pk", "k", "v").collect()))
     assert rows(spread) == rows(plain)
@@ -24,7 +24,7 @@ def test_hot_keys_are_spread_over_salts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        spread = spread_left_join(left, right, "k", "pk", hot_rows=100, salts=64)
+        spread = spread_left_join(left, right, "k", "pk", hot_rows=20)
         sizes = spread.groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in sizes) == 1000
         assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
