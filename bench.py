@@ -2,7 +2,8 @@
 
 ``gold_build`` writes every layer once from the raw tables. The ``gold.*`` queries then
 run over those written gold tables, warm, as a consumer of the tables would; all other
-queries start from the given Parquet tables.
+queries start from the given Parquet tables. Those under two seconds in their first run
+are run once more, and the second, warm run counts.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 """
@@ -110,7 +111,10 @@ def main() -> None:
         times[f"gold.{name}"] = nearest_rank([timed(make) for _ in range(5)], 50)
 
     for name in FROM_RAW:
-        times[name] = timed(lambda name=name: drain(registry.run(name, spark, sf_dir)))
+        run = lambda name=name: drain(registry.run(name, spark, sf_dir))
+        times[name] = timed(run)
+        if times[name] < 2.0:
+            times[name] = timed(run)
 
     print(
         json.dumps(
