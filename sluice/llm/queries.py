@@ -121,3 +121,5 @@ QUERIES = {
         op9_url_filter,
     )
 }
+
+ORACLE_SQL: dict[str, str] = {}
