@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, language, licenses, mixing, quality, secrets, simhash, tokens, urls
+from sluice.llm import decontaminate, language, licenses, mixing, quality, secrets, simhash, suffixes, tokens, urls
 from sluice.llm.common import table
 
 # Folder of public vocabulary files, and the file whose pieces are used.
@@ -107,6 +107,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,6 +124,7 @@ QUERIES = {
         op7_license_scan,
         op8_language_id,
         op9_url_filter,
+        op10_suffix_dedup,
     )
 }
 
