@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, mixing, quality, secrets, simhash
-from sluice.llm.common import keep, table
+from sluice.llm.common import keep, table, where_made
 from sluice.session import configure
 
 # Near duplicates share 0.8 of their five-word shingles or more. Two such texts differ in
@@ -25,7 +25,7 @@ DISTANCE = 166
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a base rule nor the likelihood ratio rejects."""
     trusted = quality.trusted_rows(table(spark, sf_dir, "labels"))
-    return quality.quality_rules(docs, trusted).where("kept").select("row.*")
+    return where_made(quality.quality_rules(docs, trusted), "kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,14 @@ def words(text: Column) -> Column:
 def whole(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that an operator's own names cannot clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def where_made(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose computed ``flag`` holds.
+
+    A plain filter is pushed below the projections that made the flag, with their
+    expressions written out inside one another's lambdas, and so costs a pass per word. A
+    projection with a task-dependent column stops that.
+    """
+    placed = df.withColumn("_here", F.spark_partition_id())
+    return placed.where(F.col(flag) & (F.col("_here") >= 0)).drop("_here")
