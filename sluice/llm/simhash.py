@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import keep
@@ -143,37 +143,92 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def _differing(a: str, b: str):
+def _differing(a: str, b: str) -> Column:
     """Number of differing bits of two fingerprint columns."""
     each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def close_pairs(prints: DataFrame, distance: int, blocks: int, together: int, lanes: int = 1) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of fingerprints at most ``distance`` bits apart.
+def _dealt(prints: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
+    """A row per node and block key: the columns of ``prints`` but ``fp``, and ``n``, ``k``.
 
-    ``prints`` has the distinct fingerprints: ``node`` (long) and ``fp``. With one lane
-    the node is the fingerprint itself and the distance is checked inside the join on
-    block keys; with more, candidate nodes fetch their fingerprints first.
+    ``p`` and ``q`` are two words of the fingerprint, for a first look at the distance.
     """
-    masks = block_masks(blocks, together, 64 * lanes)
     word = (1 << 64) - 1
     keys = []
-    for n, mask in enumerate(masks):
+    for n, mask in enumerate(block_masks(blocks, together, 64 * lanes)):
         used = [(i, (mask >> (64 * i)) & word) for i in range(lanes) if (mask >> (64 * i)) & word]
         parts = [F.get("fp", F.lit(i)).bitwiseAND(F.lit(_signed(m))) for i, m in used]
         key = parts[0] if len(parts) == 1 else F.xxhash64(*parts)
         keys.append(F.struct(F.lit(n).alias("n"), key.alias("k")))
-    dealt = prints.select("node", F.explode(F.array(*keys)).alias("x")).select("node", "x.n", "x.k")
-    other = dealt.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    same = (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2")) & (F.col("node") < F.col("b"))
+    second = F.get("fp", F.lit(1)) if lanes > 1 else F.lit(0).cast("bigint")
+    looked = prints.withColumn("p", F.get("fp", F.lit(0))).withColumn("q", second)
+    rest = [c for c in looked.columns if c != "fp"]
+    return looked.select(*rest, F.explode(F.array(*keys)).alias("x")).select(*rest, "x.n", "x.k")
+
+
+def _close(pairs: DataFrame, prints: DataFrame, distance: int, lanes: int) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` that are close; with one lane the first look has decided."""
+    pairs = pairs.distinct()
     if lanes == 1:
-        near = F.bit_count(F.col("node").bitwiseXOR(F.col("b"))) <= distance
-        return dealt.join(other, same & near).select(F.col("node").alias("a"), "b").distinct()
-    pairs = dealt.join(other, same).select(F.col("node").alias("a"), "b").distinct()
+        return pairs
     left = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").where(_differing("fa", "fb") <= distance).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(_differing("fa", "fb") <= distance).drop("fa", "fb")
+
+
+def components(
+    prints: DataFrame, distance: int, blocks: int, together: int, lanes: int = 1
+) -> DataFrame:
+    """``node`` and ``component`` of distinct fingerprints (``node``, ``fp``).
+
+    A group of g fingerprints close to each other has about g * g / 2 links, and nothing
+    needs them all. So every bucket first links its members to its least one only, and the
+    components of these stars are found. Then all pairs of a bucket that are still in
+    different components are compared: no link between components is lost, and a group that
+    the stars have joined costs nothing more.
+    """
+    look = lambda p, q: F.bit_count(F.col("p").bitwiseXOR(F.col(p))) + F.bit_count(
+        F.col("q").bitwiseXOR(F.col(q))
+    )
+    # Two words of a wide fingerprint rule out chance meetings: pairs at the limit differ in
+    # a sixth of their bits, others in half, and this asks for three eighths.
+    bound = distance if lanes == 1 else 48
+    dealt = _dealt(prints, blocks, together, lanes)
+    first = dealt.groupBy("n", "k").agg(F.min(F.struct("node", "p", "q")).alias("m"), F.count("*").alias("c"))
+    first = first.where("c > 1").select(
+        F.col("n").alias("n2"),
+        F.col("k").alias("k2"),
+        F.col("m.node").alias("b"),
+        F.col("m.p").alias("p2"),
+        F.col("m.q").alias("q2"),
+    )
+    first = keep(first, "simhash-leaders")
+    key = (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2"))
+    star = dealt.join(first, key & (F.col("node") != F.col("b")) & (look("p2", "q2") <= bound))
+    star = _close(star.select(F.col("node").alias("a"), "b"), prints, distance, lanes)
+    rough = keep(connected_components(star), "simhash-rough")
+    rough = prints.join(rough, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    rough = keep(rough.select("node", "fp", "part"), "simhash-parts")
+
+    dealt = _dealt(rough, blocks, together, lanes)
+    other = dealt.select(
+        F.col("node").alias("b"),
+        F.col("part").alias("part2"),
+        F.col("n").alias("n2"),
+        F.col("k").alias("k2"),
+        F.col("p").alias("p2"),
+        F.col("q").alias("q2"),
+    )
+    across = dealt.join(
+        other, key & (F.col("part") < F.col("part2")) & (look("p2", "q2") <= bound)
+    ).select(F.col("node").alias("a"), "b", "part", "part2")
+    across = _close(across, rough, distance, lanes).select("part", "part2")
+    merged = connected_components(keep(across.distinct(), "simhash-across"), "part", "part2")
+    merged = keep(merged.withColumnRenamed("node", "part"), "simhash-merged")
+    joined = rough.select("node", "part").join(merged, "part", "left")
+    return joined.select("node", F.coalesce("component", "part").alias("component"))
 
 
 def near_duplicates(
@@ -201,11 +256,8 @@ def near_duplicates(
     nodes = keep(
         prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low")), "simhash-nodes"
     )
-    links = keep(close_pairs(nodes.select("node", "fp"), distance, blocks, together, lanes), "simhash-links")
-    parts = keep(connected_components(links), "simhash-components")
-    labelled = nodes.select("node", "low").join(parts, "node", "left").select(
-        "node", "low", F.coalesce("component", "node").alias("component")
-    )
+    parts = keep(components(nodes.select("node", "fp"), distance, blocks, together, lanes), "simhash-components")
+    labelled = nodes.select("node", "low").join(parts, "node")
     least = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     member = labelled.join(least, "component").select(F.col("node").alias("_node"), "component_id")
     member = keep(member, "simhash-members")
