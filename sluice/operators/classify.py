@@ -55,11 +55,11 @@ def mark_duplicates(df: DataFrame, pk: str = "order_id", flag: str = "_duplicate
 
     A window over the group would sort it in one task, and one group may hold a third
     of the table (NULLs group together). The minimum combines before the shuffle, and
-    the join back is on the unique key.
+    the join back is on the unique key. A row without a key is no duplicate.
     """
     first = df.groupBy(*BUSINESS_KEY).agg(F.min(pk).alias(pk))
     marked = df.join(first.select(pk, F.lit(True).alias("_first")), pk, "left")
-    return marked.withColumn(flag, F.col("_first").isNull()).drop("_first")
+    return marked.withColumn(flag, F.col("_first").isNull() & F.col(pk).isNotNull()).drop("_first")
 
 
 def classify_orders(df: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RECENT = 2000
-MAX_K = 20
 WORD = re.compile(r"[a-z0-9_]+")
 MATCH_DDL = (
     "query_id BIGINT, rank INT, incident_id BIGINT, failure_key STRING, overlap BIGINT, score DOUBLE"
@@ -19,9 +17,9 @@ MATCH_DDL = (
 
 
 def recent_history(history: DataFrame, recent: int) -> DataFrame:
-    """The ``recent`` newest incidents; the recall never looks back over more than 2000."""
-    if not 1 <= recent <= MAX_RECENT:
-        raise ValueError(f"recent must be between 1 and {MAX_RECENT}")
+    """The ``recent`` newest incidents: how far the recall looks back."""
+    if recent < 1:
+        raise ValueError("recent must be at least 1")
     return history.orderBy(F.desc("injected_at"), F.desc("incident_id")).limit(recent)
 
 
@@ -37,7 +35,7 @@ class TokenIndex:
         for place, words in enumerate(sets):
             for word in words:
                 places.setdefault(word, []).append(place)
-        self.places = {w: np.array(p, dtype=np.int16) for w, p in places.items()}
+        self.places = {w: np.array(p, dtype=np.int32) for w, p in places.items()}
 
     def best(self, text: str, k: int) -> list[tuple[int, int, float]]:
         """(place, overlap, Jaccard) of the k best; equal scores go to the newer one."""
@@ -57,13 +55,13 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
     Similarity is the Jaccard index of the token sets of the whole texts; incidents
     without a common token are left out, and ties go to the newer one.
 
-    The look-back is bounded (at most 2000 incidents), so its token index is small and
+    The look-back is bounded (``recent`` incidents), so its token index is small and
     every task scores its own texts against it: no text, token or pair is shuffled. As
     a join on tokens the same result needs up to ``recent`` rows per text in a shuffle
     and one row per common token and incident before it.
     """
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be between 1 and {MAX_K}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     newest = (
         recent_history(history, recent)
         .orderBy(F.desc("injected_at"), F.desc("incident_id"))

@@ -142,10 +142,10 @@ def clamp_limit(limit: object) -> int:
     """Default 100, at most 1000, positive whole numbers only."""
     if limit is None:
         return DEFAULT_LIMIT
-    try:
-        n = int(limit)
-    except (TypeError, ValueError) as exc:
-        raise IntentError(f"limit must be a whole number, got {limit!r}") from exc
+    whole = isinstance(limit, int) and not isinstance(limit, bool)
+    if not whole and not (isinstance(limit, str) and limit.strip().isdecimal()):
+        raise IntentError(f"limit must be a whole number, got {limit!r}")
+    n = int(limit)
     if n < 1:
         raise IntentError("limit must be at least 1")
     return min(n, MAX_LIMIT)
@@ -165,28 +165,38 @@ def sort_order(intent: Intent, order_by: str | None) -> list[tuple[str, bool]]:
     return [(column, direction == "desc"), *ties]
 
 
-def run_intent(
+def intent_frame(
     gold: Gold,
     name: str,
     params: Mapping[str, object] | None = None,
-    limit: object = None,
     order_by: str | None = None,
 ) -> DataFrame:
-    """Answer one named question. An absent or NULL parameter is no filter."""
+    """The whole answer to one named question. An absent or NULL parameter is no filter."""
     if name not in INTENTS:
         raise IntentError(f"unknown intent {name!r}; one of {', '.join(INTENTS)}")
     intent = INTENTS[name]
     unknown = set(params or {}) - set(intent.filters)
     if unknown:
         raise IntentError(f"unknown parameters for {name}: {', '.join(sorted(unknown))}")
-    rows = clamp_limit(limit)
     order = sort_order(intent, order_by)
     df = gold[intent.table]
     for param, value in (params or {}).items():
         if value is not None:
             df = df.where(intent.filters[param](value))
     answer = df.groupBy(*intent.keys).agg(*intent.measures())
-    return answer.orderBy(*sort_columns(order)).limit(rows)
+    return answer.orderBy(*sort_columns(order))
+
+
+def run_intent(
+    gold: Gold,
+    name: str,
+    params: Mapping[str, object] | None = None,
+    limit: object = None,
+    order_by: str | None = None,
+) -> DataFrame:
+    """The answer to one named question as it is served: at most ``limit`` rows."""
+    rows = clamp_limit(limit)
+    return intent_frame(gold, name, params, order_by).limit(rows)
 
 
 @dataclass(frozen=True)

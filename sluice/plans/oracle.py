@@ -603,6 +603,8 @@ FINALS: dict[str, str] = {
     "purge_keys": "SELECT order_id, status FROM raw_orders WHERE status <> 'cancelled'",
     "purge_orphans": """SELECT payment_id, order_id FROM raw_payments
       WHERE order_id IN (SELECT order_id FROM raw_orders)""",
+    "sample_k": f"""SELECT order_id, customer_id, product_id, quantity, {_price("unit_price")} AS unit_price,
+      {_price("total_amount")} AS total_amount, status, ordered_at FROM raw_orders ORDER BY md5(CAST(order_id AS VARCHAR) || '|7'), order_id LIMIT 100""",
     "latest_n": f"""SELECT order_id, customer_id, product_id, quantity, {_price("unit_price")} AS unit_price,
       {_price("total_amount")} AS total_amount, status, ordered_at FROM raw_orders ORDER BY order_id DESC LIMIT 500""",
     "write_layers": TABLE_COUNTS,
@@ -729,7 +731,7 @@ FINALS: dict[str, str] = {
       {_price("sum(v)")} AS gross_revenue_named, {_price("sum(v)")} AS gross_revenue_direct, true AS agrees
       FROM realised GROUP BY product_category""",
     # -- named questions
-    "revenue_by_period": _by_period(1000),
+    "revenue_by_period": _by_period(1_000_000_000),
     "revenue_by_category": _by_category(100),
     "revenue_by_country": _by_country(100),
     "top_products": _top_products(100),

@@ -216,7 +216,7 @@ def purge_orphans(lake: Lake) -> DataFrame:
 
 
 def sample_k(lake: Lake) -> DataFrame:
-    return ingest.sample_rows(lake.src.source("orders"), 100, seed=7)
+    return ingest.sample_rows(lake.src.source("orders"), "order_id", 100, seed=7)
 
 
 def latest_n(lake: Lake) -> DataFrame:
@@ -312,7 +312,7 @@ def gold_integrity(lake: Lake) -> DataFrame:
 
 def reconcile_status(lake: Lake) -> DataFrame:
     lake.tables.share("orders")
-    named = intents.run_intent(lake.tables, "order_status_breakdown", limit=1000)
+    named = intents.intent_frame(lake.tables, "order_status_breakdown")
     direct = lake.tables.silver("orders").groupBy("status").agg(
         F.count("*").alias("order_count"), F.sum("total_amount").alias("total_amount")
     )
@@ -321,7 +321,7 @@ def reconcile_status(lake: Lake) -> DataFrame:
 
 def reconcile_category(lake: Lake) -> DataFrame:
     lake.tables.share_gold()
-    named = intents.run_intent(lake.tables, "revenue_by_category", limit=1000)
+    named = intents.intent_frame(lake.tables, "revenue_by_category")
     unrealised = F.col("status").isin("cancelled", "returned")
     zero = F.lit(0).cast("decimal(12,2)")
     direct = lake.tables.obt.groupBy("product_category").agg(
@@ -533,7 +533,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "reconcile_status": reconcile_status,
     "reconcile_category": reconcile_category,
     # named questions
-    "revenue_by_period": lambda k: intents.run_intent(k.tables, "revenue_by_period", limit=1000),
+    "revenue_by_period": lambda k: intents.intent_frame(k.tables, "revenue_by_period"),
     "revenue_by_category": lambda k: intents.run_intent(k.tables, "revenue_by_category"),
     "revenue_by_country": lambda k: intents.run_intent(k.tables, "revenue_by_country"),
     "top_products": lambda k: intents.run_intent(k.tables, "top_products"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.ingest import upsert
+from sluice.operators.ingest import latest_per_key, upsert
 
 EPOCH = "1970-01-01 00:00:00"
 COMMIT_DDL = "version BIGINT, committed_at TIMESTAMP"
@@ -90,6 +90,10 @@ class LayerStore:
         return self.spark.read.parquet(f"{home}/v={self.version()}")
 
 
+# Files, and so tasks, that one rewritten key range is dealt over.
+SPREAD = 32
+
+
 class RangedTable:
     """A table kept in key ranges, so that an upsert rewrites only touched ranges.
 
@@ -120,8 +124,9 @@ class RangedTable:
         return [r[0] for r in self._placed(keys).select("_range").distinct().collect()]
 
     def _rewrite(self, df: DataFrame) -> None:
+        # A batch often touches one range only: the hash spreads it over many tasks.
         (
-            df.repartition("_range")
+            df.repartition("_range", F.pmod(F.hash(self.pk), F.lit(SPREAD)))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("_range")
@@ -136,7 +141,7 @@ class RangedTable:
         stored = self._stored()
         placed = self._placed(batch)
         if stored is None:
-            self._rewrite(placed)
+            self._rewrite(latest_per_key(placed, self.pk))
             return
         near = stored.where(F.col("_range").isin(self.touched(batch)))
         self._rewrite(upsert(near, placed, self.pk))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sluice.operators.ingest import latest_per_key
 from sluice.operators.classify import accepted, classify_orders, rejects
 from sluice.operators.ledger import route
 from sluice.operators.refresh import affected_orders
@@ -43,7 +44,7 @@ class OrderTables:
         spark = batch.sparkSession
         stage = f"{self.root}/stage/batch={batch_id}"
         if not exists(spark, f"{stage}/verdicts/_SUCCESS"):
-            batch.write.mode("overwrite").parquet(f"{stage}/rows")
+            latest_per_key(batch, "order_id").write.mode("overwrite").parquet(f"{stage}/rows")
             rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
             self.raw.upsert(rows)
             raw, verdicts = self.raw.rows(), self.verdicts.rows()

@@ -174,3 +174,9 @@ def test_portable_values(obt):
     row = portable(gold.revenue_daily(obt)).where("product_category = 'toys'").orderBy("order_date").first()
     assert (row.order_date, row.gross_revenue, row.avg_order_value) == ("2024-01-02", "2.01", "0.67")
     assert portable(obt).where("order_id = 1").first().ordered_at == "2024-01-02T10:00:00"
+
+
+@pytest.mark.parametrize("limit", [2.7, True, "2.7", "x", [1]])
+def test_a_limit_that_is_no_whole_number_is_refused(limit):
+    with pytest.raises(intents.IntentError):
+        intents.clamp_limit(limit)

@@ -78,7 +78,7 @@ def test_purges(spark):
 
 def test_sample_and_latest(spark):
     df = orders(spark, [order(i) for i in range(50)])
-    assert ingest.sample_rows(df, 7, seed=3).count() == 7
+    assert ingest.sample_rows(df, df.columns[0], 7, seed=3).count() == 7
     assert ids(ingest.latest_rows(df, "order_id", 3)) == [47, 48, 49]
 
 
@@ -138,3 +138,13 @@ def test_layer_store_shows_only_committed_runs(spark, tmp_path):
     assert store.read("silver", "t").count() == 4
     store.view("bronze", "t", spark.range(4))
     assert spark.table("bronze_t").count() == 4
+
+
+def test_a_batch_with_two_versions_of_a_key_keeps_the_later_one(spark):
+    target = spark.createDataFrame([(1, "old", "2024-01-01"), (2, "old", "2024-01-01")], "k int, v string, _ingested_at string")
+    batch = spark.createDataFrame(
+        [(1, "first", "2024-01-02"), (1, "last", "2024-01-03"), (3, "new", "2024-01-02"), (3, "new", "2024-01-02")],
+        "k int, v string, _ingested_at string",
+    )
+    rows = sorted((r.k, r.v) for r in ingest.upsert(target, batch, "k").collect())
+    assert rows == [(1, "last"), (2, "old"), (3, "new")]
