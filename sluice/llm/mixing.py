@@ -23,7 +23,7 @@ PASSES = 2
 
 def n_words(text: Column) -> Column:
     """Number of words; 0 for a null text."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}\z", "")
     return F.when(F.length(trimmed) == 0, 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 

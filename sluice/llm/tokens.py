@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
 # Nodes of a task's trie before it is started anew: a memory bound only.
-MAX_NODES = 300_000
+MAX_NODES = 1_000_000
 # Longer pre-tokens are scored on their own, with a rolling window, outside the trie.
 LONG = 1_000
 _PRE_TOKEN = re.compile(f"\n|{SPACE_MARK}?[^{SPACE_MARK}\n]+|{SPACE_MARK}")
@@ -59,6 +59,8 @@ class ForwardTrie:
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
+        # What a longer piece ends with: a scan from the end may stop at anything else.
+        self.endings = {piece[i:] for piece in scores for i in range(1, len(piece))}
         # A character outside the vocabulary becomes its bytes, at this score.
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.max_nodes = max_nodes
@@ -66,24 +68,34 @@ class ForwardTrie:
         self._clear()
 
     def _clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        # Keyed by node and code point in one number, which the garbage collector need not visit.
+        self.child: dict[int, int] = {}
         self.best = [0.0]
         self.tokens = [0]
         self.terminal: dict[str, int] = {}
 
-    def _forward(self, word: str, end: int, best, tokens) -> tuple[float, int]:
-        """Score and tokens of ``word[:end]``; ``best`` and ``tokens`` give those of shorter prefixes."""
-        get = self.scores.get
-        top, count = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = get(word[start:end])
-            size = 1
-            if score is None:
-                if start != end - 1:
-                    continue
-                score, size = self.unknown, len(word[start].encode("utf-8", "surrogatepass"))
-            if (total := best(start) + score) > top:
-                top, count = total, tokens(start) + size
+    def _forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Score and tokens of ``word[:end]``; ``best`` and ``tokens`` give those of its last prefixes.
+
+        Starts are tried from the end backwards, up to where no piece ends like that any more.
+        Among equal scores the longest last piece wins.
+        """
+        get, endings = self.scores.get, self.endings
+        self.computed += 1
+        start = end - 1
+        piece = word[start]
+        score, size = get(piece), 1
+        if score is None:
+            score, size = self.unknown, len(piece.encode("utf-8", "surrogatepass"))
+        top, count = best[-1] + score, tokens[-1] + size
+        back = 1
+        while start and piece in endings:
+            start -= 1
+            back += 1
+            piece = word[start:end]
+            score = get(piece)
+            if score is not None and (total := best[-back] + score) >= top:
+                top, count = total, tokens[-back] + 1
         return top, count
 
     def count(self, word: str) -> int:
@@ -95,30 +107,32 @@ class ForwardTrie:
             return self._alone(word)
         if len(self.best) + len(word) > self.max_nodes or len(self.terminal) > self.max_nodes:
             self._clear()
-        node, path = 0, [0]
+        child, all_best, all_tokens = self.child, self.best, self.tokens
+        node, best, tokens = 0, [0.0], [0]
         for end, char in enumerate(word, 1):
-            step = self.child.get((node, char))
+            edge = node << 21 | ord(char)
+            step = child.get(edge)
             if step is None:
-                best, tokens = self._forward(
-                    word, end, lambda i: self.best[path[i]], lambda i: self.tokens[path[i]]
-                )
-                step = len(self.best)
-                self.child[node, char] = step
-                self.best.append(best)
-                self.tokens.append(tokens)
-                self.computed += 1
+                score, count = self._forward(word, end, best, tokens)
+                step = child[edge] = len(all_best)
+                all_best.append(score)
+                all_tokens.append(count)
+                best.append(score)
+                tokens.append(count)
+            else:
+                best.append(all_best[step])
+                tokens.append(all_tokens[step])
             node = step
-            path.append(node)
-        self.terminal[word] = self.tokens[node]
-        return self.tokens[node]
+        self.terminal[word] = tokens[-1]
+        return tokens[-1]
 
     def _alone(self, word: str) -> int:
-        size = self.longest + 1
-        best, tokens = [0.0] * size, [0] * size
+        best, tokens = deque([0.0], self.longest + 1), deque([0], self.longest + 1)
         for end in range(1, len(word) + 1):
-            top, count = self._forward(word, end, lambda i: best[i % size], lambda i: tokens[i % size])
-            best[end % size], tokens[end % size] = top, count
-        return tokens[len(word) % size]
+            score, count = self._forward(word, end, best, tokens)
+            best.append(score)
+            tokens.append(count)
+        return tokens[-1]
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, float], text: str = "text") -> DataFrame:
