@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import days_between, null_or_blank, outside, quoted, shown, ts
-from sluice.functions.skew import spread_left_join
 from sluice.schemas import BUSINESS_KEY, ENTITIES, LATE_DAYS, ORDER_STATUSES, PAYMENT_STATUSES
 
 # A rule is (name, condition, reason). Their order decides which one is reported.
@@ -107,10 +106,10 @@ def classify_orders(df: DataFrame) -> DataFrame:
 def classify_payments(df: DataFrame, accepted_orders: DataFrame) -> DataFrame:
     """Orphan test first; it needs the accepted orders.
 
-    Orphans may all name one order id, so hot ids are spread before the join.
+    Orphans may all name one order id. Both sides are plain shuffles, so AQE splits it.
     """
     known = accepted_orders.select("order_id", F.lit(True).alias("_known"))
-    marked = spread_left_join(df, known, "order_id", "payment_id")
+    marked = df.join(known, "order_id", "left")
     rules: list[Rule] = [
         (
             "orphan_payment",
@@ -143,12 +142,15 @@ def late_flag() -> Column:
 
 def accepted(classified: DataFrame, entity: str) -> DataFrame:
     """Silver: rows without a verdict."""
-    spec = ENTITIES[entity]
-    columns = [*spec.column_names, "_ingested_at"]
-    rows = classified.where(F.col("reject_rule").isNull())
+    return classified.where(F.col("reject_rule").isNull()).select(*silver_columns(entity))
+
+
+def silver_columns(entity: str) -> list[Column]:
+    """Columns of an accepted row, made from a classified one."""
+    columns = [F.col(c) for c in (*ENTITIES[entity].column_names, "_ingested_at")]
     if entity == "orders":
-        return rows.select(*columns, "_schema_drift", late_flag().alias("is_late"))
-    return rows.select(*columns)
+        columns += [F.col("_schema_drift"), late_flag().alias("is_late")]
+    return columns
 
 
 def rejects(classified: DataFrame, run_ts: str) -> DataFrame:

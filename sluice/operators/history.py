@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[a-z0-9_]+")
-MATCH_DDL = (
-    "query_id BIGINT, rank INT, incident_id BIGINT, failure_key STRING, overlap BIGINT, score DOUBLE"
-)
+WORD = "[a-z0-9_]+"
 
 
 def recent_history(history: DataFrame, recent: int) -> DataFrame:
@@ -23,66 +15,67 @@ def recent_history(history: DataFrame, recent: int) -> DataFrame:
     return history.orderBy(F.desc("injected_at"), F.desc("incident_id")).limit(recent)
 
 
-class TokenIndex:
-    """Which of the recent incidents (newest first) hold a token, and their set sizes."""
-
-    def __init__(self, incidents: list[tuple[int, str, str]]):
-        self.ids = [i for i, _, _ in incidents]
-        self.keys = [key for _, key, _ in incidents]
-        sets = [set(WORD.findall(f"{key} {detail or ''}".lower())) for _, key, detail in incidents]
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        places: dict[str, list[int]] = {}
-        for place, words in enumerate(sets):
-            for word in words:
-                places.setdefault(word, []).append(place)
-        self.places = {w: np.array(p, dtype=np.int32) for w, p in places.items()}
-
-    def best(self, text: str, k: int) -> list[tuple[int, int, float]]:
-        """(place, overlap, Jaccard) of the k best; equal scores go to the newer one."""
-        words = set(WORD.findall(text.lower()))
-        hits = [self.places[w] for w in words if w in self.places]
-        if not hits:
-            return []
-        overlap = np.bincount(np.concatenate(hits), minlength=len(self.ids))
-        score = overlap / (len(words) + self.sizes - overlap)
-        top = np.argsort(-score, kind="stable")[:k]
-        return [(int(p), int(overlap[p]), float(score[p])) for p in top if overlap[p]]
+def tokens(text: Column) -> Column:
+    """Distinct lower-case words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int = 200) -> DataFrame:
     """The ``k`` most similar recent incidents of each (query_id, text).
 
     Similarity is the Jaccard index of the token sets of the whole texts; incidents
-    without a common token are left out, and ties go to the newer one.
+    without a common token are left out, and ties go to the newer one. A null text has
+    no matches.
 
-    The look-back is bounded (``recent`` incidents), so its token index is small and
-    every task scores its own texts against it: no text, token or pair is shuffled. As
-    a join on tokens the same result needs up to ``recent`` rows per text in a shuffle
-    and one row per common token and incident before it.
+    The look-back is bounded (``recent`` incidents), so it becomes one row that reaches
+    every text as a scalar subquery: no text, token or pair is shuffled. As a join on
+    tokens the same result needs up to ``recent`` rows per text in a shuffle and one row
+    per common token and incident before it.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    newest = (
-        recent_history(history, recent)
-        .orderBy(F.desc("injected_at"), F.desc("incident_id"))
-        .select("incident_id", "failure_key", "detail")
+    newest = recent_history(history, recent).select(
+        "injected_at",
+        "incident_id",
+        "failure_key",
+        tokens(F.concat_ws(" ", "failure_key", F.coalesce("detail", F.lit("")))).alias("words"),
+    )
+    one = newest.agg(
+        F.sort_array(F.collect_list(F.struct(*newest.columns)), asc=False).alias("past"),
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"),
+    )
+    past, known = one.select("past").scalar(), one.select("known").scalar()
+    asked = queries.where(F.col("text").isNotNull()).select("query_id", tokens(F.col("text")).alias("words"))
+    # Both columns are used more than once, so they are computed once, outside the lambda.
+    asked = asked.select(
+        "query_id",
+        F.size("words").alias("n"),
+        F.array_intersect("words", known).alias("common"),
+        past.alias("past"),
     )
-    index = TokenIndex([tuple(r) for r in newest.collect()])
-    shared = queries.sparkSession.sparkContext.broadcast(index)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            rows = [
-                (query_id, rank, known.ids[place], known.keys[place], overlap, value)
-                for query_id, text in zip(batch["query_id"], batch["text"], strict=True)
-                if text is not None
-                for rank, (place, overlap, value) in enumerate(known.best(text, k), 1)
-            ]
-            names = ["query_id", "rank", "incident_id", "failure_key", "overlap", "score"]
-            yield pd.DataFrame(rows, columns=names)
 
-    return queries.select("query_id", "text").mapInPandas(score, MATCH_DDL)
+    def scored(incident: Column, place: Column) -> Column:
+        overlap = F.size(F.array_intersect(F.col("common"), incident["words"]))
+        score = overlap / (F.col("n") + F.size(incident["words"]) - overlap)
+        return F.struct(
+            (-score).alias("back"),
+            place.alias("place"),
+            overlap.cast("bigint").alias("overlap"),
+            incident["incident_id"].alias("incident_id"),
+            incident["failure_key"].alias("failure_key"),
+        )
+
+    every = F.when(F.size("common") > 0, F.transform("past", scored))
+    best = F.slice(F.array_sort(F.filter(every, lambda x: x["overlap"] > 0)), 1, k)
+    found = asked.select("query_id", F.posexplode(best).alias("at", "x"))
+    return found.select(
+        "query_id",
+        (F.col("at") + 1).alias("rank"),
+        "x.incident_id",
+        "x.failure_key",
+        "x.overlap",
+        (-F.col("x.back")).alias("score"),
+    )
 
 
 def recurrence(queries: DataFrame, history: DataFrame, recent: int = 200) -> DataFrame:
@@ -91,6 +84,4 @@ def recurrence(queries: DataFrame, history: DataFrame, recent: int = 200) -> Dat
     seen = recent_history(history, recent).groupBy("failure_key").agg(
         F.count("*").alias("times_seen")
     )
-    return best.join(F.broadcast(seen), "failure_key").select(
-        "query_id", "failure_key", "times_seen", "score"
-    )
+    return best.join(seen, "failure_key").select("query_id", "failure_key", "times_seen", "score")

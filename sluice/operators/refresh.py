@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.classify import accepted as accepted_rows
+from sluice.operators.classify import silver_columns
 from sluice.schemas import BUSINESS_KEY
 
 
@@ -22,12 +23,6 @@ def append_only_new(candidates: DataFrame, accepted: DataFrame, key: str) -> Dat
     return candidates.join(present, [key, "_ingested_at"], "left_anti").select(*candidates.columns)
 
 
-def evict_rejected(accepted: DataFrame, classified: DataFrame, key: str) -> DataFrame:
-    """Drop accepted rows whose current verdict is a reject."""
-    bad = classified.where(F.col("reject_rule").isNotNull()).select(key)
-    return accepted.join(bad, key, "left_anti")
-
-
 def refresh(
     accepted: DataFrame | None,
     classified: DataFrame,
@@ -45,23 +40,27 @@ def refresh(
     """
     if mode not in ("strict", "reference"):
         raise ValueError(f"mode must be strict or reference, not {mode!r}")
-    candidates = accepted_rows(classified, entity)
     if accepted is None:
-        return candidates
-    kept = evict_reprocessed(accepted, classified, key)
+        return accepted_rows(classified, entity)
+    # Keys are unique on both sides, so one join shows each key's old row and its verdict.
+    fresh = classified.select("reject_rule", F.struct(*silver_columns(entity)).alias("new"))
+    fresh = fresh.withColumn("_new_key", F.col(f"new.{key}"))
+    columns = fresh.select("new.*").columns
+    old = accepted.select(F.struct(*columns).alias("old"), F.col(key).alias("_old_key"))
+    both = old.join(fresh, F.col("_old_key") == F.col("_new_key"), "full_outer")
+    rejected = F.col("reject_rule").isNotNull()
+    evicted = F.coalesce(F.col("new._ingested_at") > F.col("old._ingested_at"), F.lit(False))
     if mode == "strict":
-        kept = evict_rejected(kept, classified, key)
-    return kept.unionByName(append_only_new(candidates, kept, key))
-
+        evicted = evicted | rejected
+    keep = F.col("old").isNotNull() & ~evicted
+    present = keep & F.coalesce(F.col("new._ingested_at") == F.col("old._ingested_at"), F.lit(False))
+    append = F.col("new").isNotNull() & ~rejected & ~present
+    rows = F.array(F.when(keep, F.col("old")), F.when(append, F.col("new")))
+    return both.select(F.explode(F.array_compact(rows)).alias("row")).select("row.*")
 
-# Up to this many batch rows the touched keys are broadcast: two keys of eight bytes a row.
-BROADCAST_ROWS = 2_000_000
 
-
-def affected_orders(
-    raw: DataFrame, before: DataFrame | None, batch: DataFrame, batch_rows: int
-) -> DataFrame:
-    """The raw orders whose verdict a batch of ``batch_rows`` rows may change.
+def affected_orders(raw: DataFrame, before: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The raw orders whose verdict a batch may change.
 
     ``raw`` is the table with the batch in it, ``before`` the one without. Apart from
     the batch itself a verdict can change only for the first row of a business key the
@@ -78,18 +77,12 @@ def affected_orders(
         replaced = before.join(batch.select("order_id"), "order_id", "left_semi")
         touched = touched.unionByName(replaced.select(key_hash.alias("_bk")))
     touched = touched.distinct()
-    small = batch_rows <= BROADCAST_ROWS
 
     def first_rows(df: DataFrame) -> DataFrame:
-        keyed = df.select(*BUSINESS_KEY, "order_id")
-        if small:
-            near = keyed.withColumn("_bk", key_hash)
-            keyed = near.join(F.broadcast(touched), "_bk", "left_semi").drop("_bk")
-        first = keyed.groupBy(*BUSINESS_KEY).agg(F.min("order_id").alias("order_id"))
-        if not small:
-            # Grouping comes before the join, so that copies combine before any shuffle.
-            first = first.withColumn("_bk", key_hash).join(touched, "_bk")
-        return first.select("order_id")
+        # Few touched keys are broadcast by AQE; of many, a hot one is split.
+        keyed = df.select(*BUSINESS_KEY, "order_id", key_hash.alias("_bk"))
+        near = keyed.join(touched, "_bk", "left_semi")
+        return near.groupBy(*BUSINESS_KEY).agg(F.min("order_id").alias("order_id")).select("order_id")
 
     ids = batch.select("order_id").unionByName(first_rows(raw))
     if before is not None:

@@ -12,7 +12,7 @@ from sluice.operators.audit import stack
 from sluice.operators.ingest import incremental_window, stamp_lineage
 from sluice.schemas import ENTITIES, ENTITY_ORDER, EntitySpec
 from sluice.sources.layers import EPOCH, RangedTable, RunLog, remove
-from sluice.sources.readers import read_entity, resolve_column
+from sluice.sources.readers import read_entity, read_jdbc, resolve_column
 
 Source = str | dict[str, str] | DataFrame
 
@@ -36,11 +36,11 @@ class Ingest:
         """Extract, stamp and upsert one entity; the result is its run-log row."""
         drift = None
         if spec.name == "orders":
-            if not isinstance(source, dict):
-                frame = source if isinstance(source, DataFrame) else self.spark.read.parquet(source)
-                source, drift = resolve_column(frame, ["customer_id", "user_id"], "customer_id")
-            else:
-                drift = False
+            if isinstance(source, dict):
+                source = read_jdbc(self.spark, spec, source)
+            elif isinstance(source, str):
+                source = self.spark.read.parquet(source)
+            source, drift = resolve_column(source, ["customer_id", "user_id"], "customer_id")
         prior_ts, prior_id = prior
         full_load = prior == (EPOCH, 0)
         rows = read_entity(self.spark, spec, source)

@@ -863,6 +863,15 @@ FINALS: dict[str, str] = {
       FROM ranked_past WHERE rank <= 3""",
     "recurrence": """SELECT query_id, failure_key, times_seen, score FROM ranked_past
       JOIN (SELECT failure_key, count(*) AS times_seen FROM past GROUP BY 1) USING (failure_key) WHERE rank = 1""",
+    "similar_topk_recent": """SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_key, overlap, score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency) AS rank
+        FROM (SELECT *, overlap::DOUBLE / (n + m - overlap) AS score FROM shared_tokens WHERE recency <= 20))
+      WHERE rank <= 3""",
+    "recurrence_recent": """SELECT query_id, failure_key, times_seen, score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency) AS rank
+        FROM (SELECT *, overlap::DOUBLE / (n + m - overlap) AS score FROM shared_tokens WHERE recency <= 20))
+      JOIN (SELECT failure_key, count(*) AS times_seen FROM past WHERE recency <= 20 GROUP BY 1) USING (failure_key)
+      WHERE rank = 1""",
     "validate_text": f"""SELECT report_id, reason IS NULL AS ok, reason FROM (SELECT report_id,
       CASE WHEN ikey = '' THEN 'incident_key is missing'
         WHEN length(regexp_replace(cause, '^\\s+|\\s+$', '', 'g')) < 12 THEN 'root_cause is too short'

@@ -88,7 +88,8 @@ class Lake:
 
     @cached_property
     def second_raw(self) -> DataFrame:
-        return ingest.upsert(self.first_raw, self.batch, "order_id")
+        """Written out, as the classification reads it more than once."""
+        return self._keep("second_raw", ingest.upsert(self.first_raw, self.batch, "order_id"))
 
     @cached_property
     def before(self) -> Medallion:
@@ -298,7 +299,8 @@ def refresh_payments(lake: Lake, mode: str) -> DataFrame:
 
 
 def transition_report(lake: Lake) -> DataFrame:
-    before, after = lake.before.classified("orders"), lake.after.classified("orders")
+    before = lake.before.share("orders").classified("orders")
+    after = lake.after.share("orders").classified("orders")
     return refresh.transition_report(before, after, "order_id")
 
 
@@ -403,6 +405,15 @@ def recurrence(lake: Lake) -> DataFrame:
     return history.recurrence(lake.src.incident_notes, lake.src.incident_history)
 
 
+def similar_topk_recent(lake: Lake) -> DataFrame:
+    """A look-back shorter than the history."""
+    return history.similar_topk(lake.src.incident_notes, lake.src.incident_history, recent=20)
+
+
+def recurrence_recent(lake: Lake) -> DataFrame:
+    return history.recurrence(lake.src.incident_notes, lake.src.incident_history, recent=20)
+
+
 # -- service levels ----------------------------------------------------------------------
 
 
@@ -597,6 +608,8 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "scorecard": lambda k: grade.scorecard(graded(k)),
     "similar_topk": similar_topk,
     "recurrence": recurrence,
+    "similar_topk_recent": similar_topk_recent,
+    "recurrence_recent": recurrence_recent,
     "validate_text": lambda k: logs.validate_text(k.src.reports),
     # service levels
     "freshness_lag": freshness_samples,

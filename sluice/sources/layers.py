@@ -2,7 +2,8 @@
 
 Parquet has no MERGE. Tables that are rebuilt get a new folder per run, and one commit
 row makes the whole run visible at once; readers keep the version they opened. Upserted
-tables rewrite only the key ranges a batch touches.
+tables rewrite only the key ranges a batch touches, into new folders that one small
+manifest makes visible.
 """
 
 from __future__ import annotations
@@ -38,6 +39,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(jvm_path, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    files, jvm_path = _file_system(spark, path)
+    if not files.exists(jvm_path):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(jvm_path)]
+
+
 class LayerStore:
     """Tables named ``<layer>_<entity>`` below one root folder."""
 
@@ -97,7 +106,11 @@ SPREAD = 32
 class RangedTable:
     """A table kept in key ranges, so that an upsert rewrites only touched ranges.
 
-    A range holds at most ``width`` keys, as keys are unique; no range can run hot.
+    A range holds at most ``width`` keys, as keys are unique; no range can run hot. Each
+    upsert writes its ranges into a new version folder and then a manifest that names the
+    folder of every range. A version counts once its manifest is complete: a crash before
+    that leaves the table as it was, and no file a reader may have open is replaced. The
+    folders an upsert supersedes are deleted by the one after it. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, pk: str, width: int = 10_000_000):
@@ -109,42 +122,65 @@ class RangedTable:
     def _placed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_range", F.floor(F.col(self.pk) / self.width).cast("bigint"))
 
-    def _stored(self) -> DataFrame | None:
-        if not exists(self.spark, self.path):
+    def _version(self) -> int:
+        """The newest version with a complete manifest, 0 before the first."""
+        home = f"{self.path}/_manifest"
+        found = sorted((int(n.split("=")[1]) for n in children(self.spark, home)), reverse=True)
+        return next((v for v in found if exists(self.spark, f"{home}/n={v}/_SUCCESS")), 0)
+
+    def _folders(self, version: int) -> dict[str, str]:
+        """Range folder name to its version folder: one small row per range of the key span."""
+        path = f"{self.path}/_manifest/n={version}"
+        if not version or not exists(self.spark, path):
+            return {}
+        return dict(self.spark.read.schema("part STRING, home STRING").parquet(path).collect())
+
+    def _read(self, folders: dict[str, str]) -> DataFrame | None:
+        if not folders:
             return None
-        return self.spark.read.parquet(self.path)
+        paths = [f"{self.path}/{home}/{part}" for part, home in sorted(folders.items())]
+        return self.spark.read.option("basePath", self.path).parquet(*paths).drop("v", "_range")
 
     def rows(self) -> DataFrame | None:
         """The table, or None before its first write."""
-        stored = self._stored()
-        return None if stored is None else stored.drop("_range")
+        return self._read(self._folders(self._version()))
 
-    def touched(self, keys: DataFrame) -> list[int]:
-        """Range numbers a batch falls into: at most (key span / width) integers."""
-        return [r[0] for r in self._placed(keys).select("_range").distinct().collect()]
+    def touched(self, keys: DataFrame) -> set[str]:
+        """Folder names of the ranges a batch falls into: at most (key span / width)."""
+        found = self._placed(keys).select("_range").distinct().collect()
+        return {f"_range={'__HIVE_DEFAULT_PARTITION__' if r[0] is None else r[0]}" for r in found}
 
-    def _rewrite(self, df: DataFrame) -> None:
+    def _write(self, df: DataFrame, version: int) -> list[str]:
         # A batch often touches one range only: the hash spreads it over many tasks.
+        home = f"{self.path}/v={version}"
         (
-            df.repartition("_range", F.pmod(F.hash(self.pk), F.lit(SPREAD)))
+            self._placed(df)
+            .repartition("_range", F.pmod(F.hash(self.pk), F.lit(SPREAD)))
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("_range")
-            .parquet(self.path)
+            .parquet(home)
         )
+        return [n for n in children(self.spark, home) if n.startswith("_range=")]
+
+    def _publish(self, folders: dict[str, str], version: int) -> None:
+        rows = self.spark.createDataFrame(sorted(folders.items()), "part STRING, home STRING")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_manifest/n={version}")
 
     def upsert(self, batch: DataFrame) -> None:
         """Insert or replace rows by key. Repeating the call changes nothing.
 
         The batch is read more than once, so pass a frame over written files.
         """
-        stored = self._stored()
-        placed = self._placed(batch)
-        if stored is None:
-            self._rewrite(latest_per_key(placed, self.pk))
-            return
-        near = stored.where(F.col("_range").isin(self.touched(batch)))
-        self._rewrite(upsert(near, placed, self.pk))
+        last = self._version()
+        folders = self._folders(last)
+        touched = self.touched(batch)
+        near = self._read({part: home for part, home in folders.items() if part in touched})
+        merged = latest_per_key(batch, self.pk) if near is None else upsert(near, batch, self.pk)
+        written = self._write(merged, last + 1)
+        self._publish({**folders, **{part: f"v={last + 1}" for part in written}}, last + 1)
+        for part, home in self._folders(last - 1).items():
+            if folders.get(part) != home:
+                remove(self.spark, f"{self.path}/{home}/{part}")
 
 
 class RunLog:

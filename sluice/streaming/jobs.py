@@ -48,7 +48,7 @@ class OrderTables:
             rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
             self.raw.upsert(rows)
             raw, verdicts = self.raw.rows(), self.verdicts.rows()
-            affected = affected_orders(raw, verdicts, rows, rows.count())
+            affected = affected_orders(raw, verdicts, rows)
             classify_orders(affected).write.mode("overwrite").parquet(f"{stage}/verdicts")
         self.verdicts.upsert(spark.read.parquet(f"{stage}/verdicts"))
         remove(spark, stage)

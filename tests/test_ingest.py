@@ -85,12 +85,14 @@ def test_sample_and_latest(spark):
 def test_ranged_table_rewrites_only_touched_ranges(spark, tmp_path):
     table = RangedTable(spark, str(tmp_path / "t"), "order_id", width=10)
     table.upsert(orders(spark, [order(i) for i in range(30)]))
-    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
     table.upsert(orders(spark, [order(12, quantity=99), order(45)]))
-    left = {p for p in (tmp_path / "t").rglob("*.parquet") if p in files}
-    assert {p.parent.name for p in left} == {"_range=0", "_range=2"}
+    folders = lambda v: {p.name for p in (tmp_path / "t" / f"v={v}").glob("_range=*")}
+    assert folders(2) == {"_range=1", "_range=4"}
     rows = {r.order_id: r.quantity for r in table.rows().collect()}
     assert len(rows) == 31 and rows[12] == 99 and rows[11] == 2
+    assert folders(1) == {"_range=0", "_range=1", "_range=2"}
+    table.upsert(orders(spark, [order(45, quantity=7)]))
+    assert folders(1) == {"_range=0", "_range=2"}
 
 
 def test_run_log_cold_start_and_unreadable_state(spark, tmp_path):
@@ -148,3 +150,23 @@ def test_a_batch_with_two_versions_of_a_key_keeps_the_later_one(spark):
     )
     rows = sorted((r.k, r.v) for r in ingest.upsert(target, batch, "k").collect())
     assert rows == [(1, "last"), (2, "old"), (3, "new")]
+
+
+def test_a_crash_before_the_manifest_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    table = RangedTable(spark, str(tmp_path / "t"), "order_id", width=10)
+    first = orders(spark, [order(1), order(15)])
+    table.upsert(first)
+    batch = orders(spark, [order(1, quantity=9), order(31)])
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as crash:
+        crash.setattr(RangedTable, "_publish", stop)
+        with pytest.raises(OSError):
+            table.upsert(batch)
+    read = lambda: {r.order_id: r.quantity for r in table.rows().collect()}
+    before = {r.order_id: r.quantity for r in first.collect()}
+    assert read() == before
+    table.upsert(batch)
+    assert read() == {**before, 1: 9, 31: before[1]}

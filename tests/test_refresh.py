@@ -82,15 +82,14 @@ def test_strict_refresh_equals_full_rebuild(spark, seed):
     assert rows(silver) == rows(accepted(classify_orders(raw), "orders"))
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(4, 100), (5, 0)])
-def test_reclassifying_only_affected_rows_equals_reclassifying_all(spark, seed, limit, monkeypatch):
-    monkeypatch.setattr("sluice.operators.refresh.BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_reclassifying_only_affected_rows_equals_reclassifying_all(spark, seed):
     rng = random.Random(seed)
     before = orders(spark, [random_order(rng, i, T0) for i in range(1, 40)])
     batch = orders(spark, [random_order(rng, i, T1) for i in rng.sample(range(1, 50), 8)])
     raw = upsert(before, batch, "order_id")
     old = rules(classify_orders(before), "order_id")
-    partial = rules(classify_orders(affected_orders(raw, before, batch, 8)), "order_id")
+    partial = rules(classify_orders(affected_orders(raw, before, batch)), "order_id")
     assert {**old, **partial} == rules(classify_orders(raw), "order_id")
 
 
@@ -103,12 +102,10 @@ def test_transitions(spark):
     assert got == {1: "accepted_to_rejected", 2: "rejected_to_accepted", 3: "unchanged", 4: "new"}
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_a_group_of_many_copies_adds_only_its_first_rows(spark, limit, monkeypatch):
-    monkeypatch.setattr("sluice.operators.refresh.BROADCAST_ROWS", limit)
+def test_a_group_of_many_copies_adds_only_its_first_rows(spark):
     before = orders(spark, [order(i) for i in range(10, 60)])
     batch = orders(spark, [order(10, quantity=9, ingested=T1), order(99, ingested=T1)])
     raw = upsert(before, batch, "order_id")
-    affected = affected_orders(raw, before, batch, 2)
+    affected = affected_orders(raw, before, batch)
     assert sorted(r.order_id for r in affected.collect()) == [10, 11, 99]
     assert rules(classify_orders(affected), "order_id") == {10: None, 11: None, 99: "duplicate_order"}

@@ -1,33 +1,28 @@
 from pyspark.sql import functions as F
 
-from sluice.functions.skew import spread_left_join
+SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+}
 
 
-def test_spread_join_equals_the_plain_join(spark):
-    left = spark.range(900).select(
-        F.col("id").alias("pk"),
-        F.when(F.col("id") % 3 == 0, F.lit(7))
-        .when(F.col("id") % 3 == 1, F.lit(8))
-        .when(F.col("id") % 50 != 2, F.col("id"))
-        .alias("k"),
-    )
-    right = spark.createDataFrame([(7, "seven"), (5, "five"), (None, "none")], "k BIGINT, v STRING")
-    spread = spread_left_join(left, right, "k", "pk", hot_rows=100)
-    plain = left.join(right, "k", "left")
-    rows = lambda df: sorted(map(str, df.select("pk", "k", "v").collect()))
-    assert rows(spread) == rows(plain)
-
-
-def test_hot_keys_are_spread_over_salts(spark):
-    left = spark.range(1000).select(F.col("id").alias("pk"), F.lit(1).cast("bigint").alias("k"))
-    right = spark.createDataFrame([(1, True)], "k BIGINT, v BOOLEAN")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+def test_a_hot_order_id_is_split_by_the_plain_payment_join(spark):
+    """A third of the payments name one order; they arrive over several map tasks."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
-        spread = spread_left_join(left, right, "k", "pk", hot_rows=20)
-        sizes = spread.groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in sizes) == 1000
-        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
+        hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+        payments = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("payment_id"), hot.alias("order_id"))
+        known = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("order_id"), F.lit(True).alias("_known"))
+        joined = payments.join(known, "order_id", "left")
+        assert joined.where("_known is null").count() == 0
+        joined.write.format("noop").mode("overwrite").save()
+        frame = payments.join(known, "order_id", "left")
+        assert len(frame.collect()) == 60_000
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for key in SETTINGS:
+            spark.conf.unset(key)
