@@ -178,6 +178,23 @@ def _close(pairs: DataFrame, prints: DataFrame, distance: int, lanes: int) -> Da
     return both.where(_differing("fa", "fb") <= distance).drop("fa", "fb")
 
 
+def _met(rough: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
+    """``n``, ``k``, ``part`` and all words of the fingerprint, where a bucket has several parts.
+
+    Buckets of one part have nothing left to compare, so only the rest carries whole
+    fingerprints.
+    """
+    words = [F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(lanes)]
+    dealt = _dealt(rough, blocks, together, lanes)
+    if lanes == 1:
+        return dealt.select("n", "k", "part", F.col("p").alias("f0"))
+    mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = mixed.where("low < high").select("n", "k")
+    met = keep(dealt.select("node", "n", "k").join(mixed, ["n", "k"], "left_semi"), "simhash-met")
+    whole = rough.select(F.col("node").alias("_node"), "part", *words)
+    return met.join(whole, F.col("node") == F.col("_node")).drop("node", "_node")
+
+
 def components(
     prints: DataFrame, distance: int, blocks: int, together: int, lanes: int = 1
 ) -> DataFrame:
@@ -187,7 +204,8 @@ def components(
     needs them all. So every bucket first links its members to its least one only, and the
     components of these stars are found. Then all pairs of a bucket that are still in
     different components are compared: no link between components is lost, and a group that
-    the stars have joined costs nothing more.
+    the stars have joined costs nothing more. That join checks whole fingerprints itself, so
+    a large group just beyond the distance makes no rows.
     """
     look = lambda p, q: F.bit_count(F.col("p").bitwiseXOR(F.col(p))) + F.bit_count(
         F.col("q").bitwiseXOR(F.col(q))
@@ -212,19 +230,18 @@ def components(
     rough = prints.join(rough, "node", "left").withColumn("part", F.coalesce("component", "node"))
     rough = keep(rough.select("node", "fp", "part"), "simhash-parts")
 
-    dealt = _dealt(rough, blocks, together, lanes)
-    other = dealt.select(
-        F.col("node").alias("b"),
+    words = [f"f{i}" for i in range(lanes)]
+    met = _met(rough, blocks, together, lanes)
+    other = met.select(
         F.col("part").alias("part2"),
         F.col("n").alias("n2"),
         F.col("k").alias("k2"),
-        F.col("p").alias("p2"),
-        F.col("q").alias("q2"),
+        *[F.col(w).alias(f"{w}_2") for w in words],
     )
-    across = dealt.join(
-        other, key & (F.col("part") < F.col("part2")) & (look("p2", "q2") <= bound)
-    ).select(F.col("node").alias("a"), "b", "part", "part2")
-    across = _close(across, rough, distance, lanes).select("part", "part2")
+    apart = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words]
+    close = (sum(apart[1:2], apart[0]) <= bound) & (sum(apart[1:], apart[0]) <= distance)
+    across = met.join(other, key & (F.col("part") < F.col("part2")) & close)
+    across = across.select("part", "part2")
     merged = connected_components(keep(across.distinct(), "simhash-across"), "part", "part2")
     merged = keep(merged.withColumnRenamed("node", "part"), "simhash-merged")
     joined = rough.select("node", "part").join(merged, "part", "left")
