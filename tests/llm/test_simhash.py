@@ -83,6 +83,30 @@ def test_chains_of_close_fingerprints_join(spark):
     assert [got[v] for v in signed] == [signed[r] for r in roots]
 
 
+def test_wide_components_equal_brute_force(spark):
+    # Walks of 1024-bit fingerprints: some steps stay within the distance, some go beyond.
+    rng = random.Random(3)
+    values = []
+    for _ in range(4):
+        v = rng.getrandbits(1024)
+        for _ in range(25):
+            values.append(v)
+            for bit in rng.sample(range(1024), rng.choice([90, 150, 190])):
+                v ^= 1 << bit
+    split = [[simhash._signed((v >> 64 * i) % 2**64) for i in range(16)] for v in values]
+    frame = spark.createDataFrame(list(enumerate(split)), "node long, fp array<long>")
+    got = {r.node: r.component for r in simhash.components(frame, 166, 51, 1, 16).collect()}
+    masks = simhash.block_masks(51, 1, 1024)
+    first = 2**128 - 1
+    close = []
+    for a, b in combinations(range(len(values)), 2):
+        x = values[a] ^ values[b]
+        if x.bit_count() <= 166 and (x & first).bit_count() <= 48 and any(not x & m for m in masks):
+            close.append((a, b))
+    assert close
+    assert [got[i] for i in range(len(values))] == union_find(len(values), close)
+
+
 def test_long_texts_overflow_no_lane():
     many = np.full(200_001, 2**64 - 1, np.uint64)
     counts = simhash.set_bits(many, np.array([0, 200_000, 200_001]))
