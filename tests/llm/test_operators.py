@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -18,6 +19,7 @@ from sluice.llm import (
     tokens,
     urls,
 )
+from sluice.llm.common import table
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -234,6 +236,32 @@ def test_licenses_are_found_in_long_texts_only_where_they_are(spark):
     assert {i: v for i, v in got.items() if v} == {n + 1: ["MIT"], n + 2: ["MIT"]}
 
 
+LICENSE_LINES = {
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+}
+
+
+def test_every_license_line_of_documents_is_found(spark, sf_dir):
+    docs = table(spark, os.path.join(os.path.dirname(sf_dir), "sf0.01"), "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    lines = {x.strip() for t in texts.values() for x in t.split("\n") if "licens" in x.lower()}
+    assert lines and all(sum(known in x for known in LICENSE_LINES) == 1 for x in lines)
+    want = {i: sorted({n for x, n in LICENSE_LINES.items() if x in t}) for i, t in texts.items()}
+    assert {n for names in want.values() for n in names} == set(LICENSE_LINES.values())
+    got = {r.row.doc_id: [x.name for x in r.licenses] for r in licenses.scan_licenses(docs).collect()}
+    assert got == want
+
+
+def test_short_license_forms_are_told_apart(spark):
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t) < 60]
+    assert len(short) > 10
+    rows = licenses.scan_licenses(frame(spark, [f"some words before. {t} And after." for _, t in short])).collect()
+    assert {r.row.doc_id: [x.name for x in r.licenses] for r in rows} == {i: [n] for i, (n, _) in enumerate(short)}
+
+
 def test_blocks_reach_aliases_unless_one_is_allowed(spark):
     link = '<html><link href="{}" rel=canonical>'.format
     pages = [
