@@ -13,10 +13,12 @@ from sluice.llm import decontaminate, mixing, quality, secrets, simhash
 from sluice.llm.common import keep, table, where_made
 from sluice.session import configure
 
-# Near duplicates share 0.8 of their five-word shingles or more. Two such texts differ in
-# about 15% of their fingerprint's bits: 1024 bits tell that from less similar texts, and
+# Near duplicates share 0.8 of their distinct five-word shingles or more. Two such texts differ
+# in about 15% of their fingerprint's bits: 1024 bits tell that from less similar texts, and
 # 51 blocks of 20 bits find a pair at exactly 0.8 with probability 0.86, at 0.9 with 0.998.
+# Blocks and distance only propose links; the sets of shingles decide.
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 LANES = 16
 BLOCKS = 51
 DISTANCE = 166
@@ -32,7 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate class."""
     configure(spark)
     classes = simhash.near_duplicates(
-        docs, size=SHINGLE_WORDS, distance=DISTANCE, blocks=BLOCKS, together=1, lanes=LANES
+        docs,
+        size=SHINGLE_WORDS,
+        distance=DISTANCE,
+        blocks=BLOCKS,
+        together=1,
+        lanes=LANES,
+        similarity=SIMILARITY,
     )
     return simhash.one_of_each(docs, classes)
 

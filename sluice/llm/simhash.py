@@ -12,7 +12,7 @@ distances; see ``near_duplicates``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -85,8 +85,19 @@ def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def distinct_shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    pieces = [np.unique(piece) for piece in shingle_hashes(text, size)]
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
 def text_fingerprints(texts: list, size: int, lanes: int = 1) -> np.ndarray:
     """Fingerprints of texts, shape (texts, lanes). A text without words has zeros."""
+    return hash_fingerprints([shingle_hashes(text, size) for text in texts], lanes)
+
+
+def hash_fingerprints(texts: list, lanes: int = 1) -> np.ndarray:
+    """Fingerprints of texts given as pieces of shingle hashes, shape (texts, lanes)."""
     counts = np.zeros((len(texts), lanes, 64), np.int64)
     totals = np.zeros(len(texts), np.int64)
     pending: list[np.ndarray] = []
@@ -102,8 +113,8 @@ def text_fingerprints(texts: list, size: int, lanes: int = 1) -> np.ndarray:
             owners.clear()
 
     held = 0
-    for i, text in enumerate(texts):
-        for piece in shingle_hashes(text, size):
+    for i, pieces in enumerate(texts):
+        for piece in pieces:
             totals[i] += len(piece)
             pending.append(piece)
             owners.append(i)
@@ -132,6 +143,65 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int, lanes: int = 1
     return slim.mapInArrow(run, f"id {kind}, fp array<bigint>")
 
 
+def set_fingerprints(docs: DataFrame, key: str, text: str, size: int, lanes: int) -> DataFrame:
+    """``id``, ``fp``, ``node`` and ``m`` of every row, each distinct shingle counted once.
+
+    ``node`` is a hash of the set of shingles and ``m`` its size.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            sets = [distinct_shingles(t, size) for t in batch.column(1).to_pylist()]
+            fps = hash_fingerprints([[s] if len(s) else [] for s in sets], lanes).view(np.int64)
+            offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * lanes)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(fps.ravel()))
+            nodes = pa.array([_set_node(s) for s in sets], pa.int64())
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            columns = [batch.column(0), lists, nodes, sizes]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "node", "m"])
+
+    slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    return slim.mapInArrow(run, f"id {kind}, fp array<bigint>, node bigint, m int")
+
+
+def _set_node(hashes: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def confirmed(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, least: float
+) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes whose sets of shingles have a Jaccard similarity of ``least``.
+
+    The sets are made again from the texts, and only of nodes in a pair. ``nodes`` gives a
+    row's key (``low``) for each node; further rows with that key do no harm.
+    """
+    pairs = keep(pairs.select("a", "b").distinct(), "simhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(ends, "node", "left_semi").select(F.col("low").alias("_low"))
+    texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_low")), "left_semi").select("text")
+
+    def run(batches):
+        for batch in batches:
+            sets = [distinct_shingles(t, size) for t in batch.column(0).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            nodes = pa.array([_set_node(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, lists], names=["node", "s"])
+
+    sets = texts.mapInArrow(run, "node bigint, s array<bigint>")
+    sets = keep(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), common.alias("common"))
+    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= least).select("a", "b")
+
+
 def block_masks(blocks: int, together: int, bits: int = 64) -> list[int]:
     """Bit masks of all combinations of ``together`` out of ``blocks`` near-equal blocks."""
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
@@ -174,8 +244,8 @@ def _close(pairs: DataFrame, prints: DataFrame, distance: int, lanes: int) -> Da
         return pairs
     left = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(_differing("fa", "fb") <= distance).drop("fa", "fb")
+    both = pairs.join(left, "a").join(right, "b").withColumn("d", _differing("fa", "fb"))
+    return both.where(F.col("d") <= distance).drop("fa", "fb")
 
 
 def _met(rough: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
@@ -191,12 +261,19 @@ def _met(rough: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
     mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     mixed = mixed.where("low < high").select("n", "k")
     met = keep(dealt.select("node", "n", "k").join(mixed, ["n", "k"], "left_semi"), "simhash-met")
-    whole = rough.select(F.col("node").alias("_node"), "part", *words)
-    return met.join(whole, F.col("node") == F.col("_node")).drop("node", "_node")
+    rest = [c for c in rough.columns if c not in ("node", "fp")]
+    whole = rough.select(F.col("node").alias("_node"), *rest, *words)
+    return met.join(whole, F.col("node") == F.col("_node")).drop("_node")
 
 
 def components(
-    prints: DataFrame, distance: int, blocks: int, together: int, lanes: int = 1
+    prints: DataFrame,
+    distance: int,
+    blocks: int,
+    together: int,
+    lanes: int = 1,
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
+    least: float = 0.0,
 ) -> DataFrame:
     """``node`` and ``component`` of distinct fingerprints (``node``, ``fp``).
 
@@ -206,7 +283,13 @@ def components(
     different components are compared: no link between components is lost, and a group that
     the stars have joined costs nothing more. That join checks whole fingerprints itself, so
     a large group just beyond the distance makes no rows.
+
+    With ``confirm`` (more than one lane) the distance only proposes links and ``confirm``
+    keeps the true ones of a table of pairs. Stars then ask for the closest leader of each
+    node; all other pairs of a bucket come up between components. ``prints`` has ``m``, the
+    sizes of the sets, and sizes that rule out a similarity of ``least`` make no pair.
     """
+    alike = lambda m, k: F.least(m, k) >= F.greatest(m, k) * (least - 1e-9)
     look = lambda p, q: F.bit_count(F.col("p").bitwiseXOR(F.col(p))) + F.bit_count(
         F.col("q").bitwiseXOR(F.col(q))
     )
@@ -226,9 +309,11 @@ def components(
     key = (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2"))
     star = dealt.join(first, key & (F.col("node") != F.col("b")) & (look("p2", "q2") <= bound))
     star = _close(star.select(F.col("node").alias("a"), "b"), prints, distance, lanes)
+    if confirm is not None:
+        star = confirm(star.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
     rough = keep(connected_components(star), "simhash-rough")
     rough = prints.join(rough, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    rough = keep(rough.select("node", "fp", "part"), "simhash-parts")
+    rough = keep(rough.select(*prints.columns, "part"), "simhash-parts")
 
     words = [f"f{i}" for i in range(lanes)]
     met = _met(rough, blocks, together, lanes)
@@ -237,10 +322,15 @@ def components(
         F.col("n").alias("n2"),
         F.col("k").alias("k2"),
         *[F.col(w).alias(f"{w}_2") for w in words],
+        *([] if confirm is None else [F.col("node").alias("b"), F.col("m").alias("m2")]),
     )
     apart = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words]
     close = (sum(apart[1:2], apart[0]) <= bound) & (sum(apart[1:], apart[0]) <= distance)
     across = met.join(other, key & (F.col("part") < F.col("part2")) & close)
+    if confirm is not None:
+        across = across.where(alike("m", "m2")).select(F.col("node").alias("a"), "b")
+        at = lambda end, name: rough.select(F.col("node").alias(end), F.col("part").alias(name))
+        across = confirm(across).join(at("a", "part"), "a").join(at("b", "part2"), "b")
     across = across.select("part", "part2")
     merged = connected_components(keep(across.distinct(), "simhash-across"), "part", "part2")
     merged = keep(merged.withColumnRenamed("node", "part"), "simhash-merged")
@@ -257,6 +347,7 @@ def near_duplicates(
     blocks: int = BLOCKS,
     together: int | None = None,
     lanes: int = 1,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``id``, ``fp`` and ``component_id`` (smallest id reachable) of every input row.
 
@@ -265,15 +356,25 @@ def near_duplicates(
     to ``blocks - distance``, which misses no pair; a smaller value costs fewer, a larger
     one more selective keys. Where ``together`` exceeds ``blocks - distance`` a pair can be
     missed. A null key is never a component's id unless nothing else is in it.
+
+    With ``similarity`` (more than one lane) fingerprints count each distinct shingle once
+    and only propose links; a link holds if the two sets of shingles have at least that
+    Jaccard similarity. Rows with the same set are one node then.
     """
     together = blocks - distance if together is None else together
-    prints = keep(fingerprints(docs, key, text, size, lanes), "simhash-prints")
-    node = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
-    prints = prints.withColumn("node", node)
-    nodes = keep(
-        prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low")), "simhash-nodes"
-    )
-    parts = keep(components(nodes.select("node", "fp"), distance, blocks, together, lanes), "simhash-components")
+    if similarity is None:
+        prints = keep(fingerprints(docs, key, text, size, lanes), "simhash-prints")
+        node = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
+        prints = prints.withColumn("node", node)
+    else:
+        prints = keep(set_fingerprints(docs, key, text, size, lanes), "simhash-prints")
+    own = [F.first(c).alias(c) for c in ("fp", "m") if c in prints.columns]
+    nodes = keep(prints.groupBy("node").agg(*own, F.min("id").alias("low")), "simhash-nodes")
+    check = None
+    if similarity is not None:
+        check = lambda pairs: confirmed(pairs, nodes, docs, key, text, size, similarity)
+    parts = components(nodes.drop("low"), distance, blocks, together, lanes, check, similarity or 0.0)
+    parts = keep(parts, "simhash-components")
     labelled = nodes.select("node", "low").join(parts, "node")
     least = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     member = labelled.join(least, "component").select(F.col("node").alias("_node"), "component_id")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from sluice.llm import decontaminate, secrets
 from sluice.llm.common import keep, table
@@ -16,3 +18,23 @@ def test_each_stage_takes_effect(spark, sf_dir):
     assert secrets.scan_secrets(docs).where("size(base) > 0").count() == 0
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert mixed.where("taken <= 0 or taken > 2 * size").count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def classes_of(spark, texts):
+    """The id that stands for each text in the near-dedup stage, where all but pairs are unlike."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+
+
+def test_near_dedup_counts_repeated_shingles_once(spark):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    often = word(10)
+    texts = [" ".join(word(504) + often * 40) for _ in range(12)]
+    assert max(jaccard(texts[0], t) for t in texts[1:]) < 0.05
+    assert classes_of(spark, texts + texts[:2]) == set(range(12))
