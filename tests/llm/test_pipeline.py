@@ -31,6 +31,23 @@ def classes_of(spark, texts):
     return {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
 
 
+def test_near_dedup_finds_pairs_from_the_threshold_on(spark):
+    rng = random.Random(4)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, wanted = [], []
+    # Distinct shingles of each text and of both: 240 / 300 = 0.80 and so on to 340 / 400 = 0.85.
+    for n, common in [(270, 240)] * 300 + [(370, 335)] * 60 + [(370, 340)] * 60 + [(270, 239)] * 150:
+        base = word(common + 4)
+        texts += [" ".join(base + word(n - common)) for _ in range(2)]
+        wanted.append(jaccard(*texts[-2:]) >= 0.8)
+    assert wanted.count(True) == 420
+    left = classes_of(spark, texts)
+    assert set(range(0, len(texts), 2)) <= left
+    gone = [2 * i + 1 not in left for i in range(len(wanted))]
+    assert not any(g and not w for g, w in zip(gone, wanted))
+    assert sum(gone[:300]) >= 0.98 * 300 and sum(gone) >= 0.98 * 420
+
+
 def test_near_dedup_counts_repeated_shingles_once(spark):
     rng = random.Random(8)
     word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
