@@ -74,13 +74,12 @@ def orders_obt(
     )
 
 
-def revenue_daily(obt: DataFrame) -> DataFrame:
-    """Orders, units, realised revenue and average order value by date and category.
+def revenue_groups(obt: DataFrame) -> DataFrame:
+    """What adds up per date and category: orders, units, realised value, and rows with a value.
 
-    Cancelled and returned orders count as orders of value zero. The average is rounded
-    half up once, in whole cents: Spark's decimal average would round twice.
+    Cancelled and returned orders count as orders of value zero.
     """
-    grouped = (
+    return (
         obt.select(
             F.to_date("ordered_at").alias("order_date"),
             "product_category",
@@ -95,13 +94,21 @@ def revenue_daily(obt: DataFrame) -> DataFrame:
             F.count("value").alias("_valued"),
         )
     )
+
+
+def finish_daily(groups: DataFrame) -> DataFrame:
+    """The daily table from its groups.
+
+    The average is rounded half up once, in whole cents: Spark's decimal average would round
+    twice.
+    """
     cents = (F.col("gross_revenue") * 100).cast("bigint")
     rounded = F.expr("(2 * _cents + _valued) div (2 * _valued)")
     average = F.when(
         F.col("_valued") > 0,
         (rounded.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)"),
     )
-    return grouped.withColumn("_cents", cents).select(
+    return groups.withColumn("_cents", cents).select(
         "order_date",
         "product_category",
         "order_count",
@@ -109,3 +116,8 @@ def revenue_daily(obt: DataFrame) -> DataFrame:
         "gross_revenue",
         average.alias("avg_order_value"),
     )
+
+
+def revenue_daily(obt: DataFrame) -> DataFrame:
+    """Orders, units, realised revenue and average order value by date and category."""
+    return finish_daily(revenue_groups(obt))

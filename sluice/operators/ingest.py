@@ -71,21 +71,25 @@ def high_watermark(df: DataFrame, spec: EntitySpec, prior_ts: str, prior_id: int
 
 
 def latest_per_key(batch: DataFrame, pk: str) -> DataFrame:
-    """One row per key: the one written last, by ingest time and then source watermark.
+    """One row per key: the one written last.
 
-    Versions that tie in both are told apart by a hash of the row, so reruns agree. The
-    maximum combines before the shuffle.
+    That is the highest ingest time, then the source's update time, then the place of arrival
+    (``_arrived``, see ``with_arrival``), then the source watermark, as far as the batch has
+    them. Versions that tie in all are told apart by a hash of the row, so reruns agree. The
+    maximum combines before the shuffle. ``_arrived`` is dropped.
     """
-    times = [c for c in ("_ingested_at", "updated_at", "_source_watermark") if c in batch.columns]
-    newest = F.struct(*times, F.xxhash64(*batch.columns).alias("_tie"))
-    last = batch.groupBy(F.col(pk).alias("_pk")).agg(F.max_by(F.struct("*"), newest).alias("_row"))
+    order = ("_ingested_at", "updated_at", "_arrived", "_source_watermark")
+    own = [c for c in batch.columns if c != "_arrived"]
+    newest = F.struct(*[c for c in order if c in batch.columns], F.xxhash64(*own).alias("_tie"))
+    last = batch.groupBy(F.col(pk).alias("_pk")).agg(F.max_by(F.struct(*own), newest).alias("_row"))
     return last.select("_row.*")
 
 
 def upsert(target: DataFrame, batch: DataFrame, pk: str) -> DataFrame:
     """The last row of each key of the batch replaces the target's row, or is added."""
     batch = latest_per_key(batch, pk)
-    return target.join(batch.select(pk), pk, "left_anti").unionByName(batch)
+    present = batch.select(F.col(pk).alias("_pk"))
+    return target.join(present, F.col(pk) == F.col("_pk"), "left_anti").unionByName(batch)
 
 
 def load_stats(

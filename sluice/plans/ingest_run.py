@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 from sluice.operators.audit import stack
 from sluice.operators.ingest import incremental_window, stamp_lineage
 from sluice.schemas import ENTITIES, ENTITY_ORDER, EntitySpec
-from sluice.sources.layers import EPOCH, RangedTable, RunLog, remove
-from sluice.sources.readers import read_entity, read_jdbc, resolve_column
+from sluice.session import remove
+from sluice.sources.layers import EPOCH, PartitionedTable, RunLog, key_range
+from sluice.sources.readers import (
+    drift_by_file,
+    read_all_names,
+    read_entity,
+    read_jdbc,
+    resolve_by_file,
+    resolve_column,
+    with_arrival,
+)
 
 Source = str | dict[str, str] | DataFrame
+# The names under which orders have carried their customer.
+CUSTOMER_NAMES = ("customer_id", "user_id")
 
 
 class Ingest:
@@ -26,46 +37,69 @@ class Ingest:
         self.width = width
         self.log = RunLog(spark, f"{self.root}/run_log")
 
-    def raw(self, entity: str) -> RangedTable:
+    def raw(self, entity: str) -> PartitionedTable:
         path = f"{self.root}/raw/raw_{entity}"
-        return RangedTable(self.spark, path, ENTITIES[entity].pk, self.width)
+        return PartitionedTable(self.spark, path, key_range(ENTITIES[entity].pk, self.width))
+
+    def _read(self, spec: EntitySpec, source: Source, stage: str) -> tuple[DataFrame, bool | None]:
+        """Typed rows of a source, and whether its customer column drifted as a whole.
+
+        Rows of files know where they arrived, so that of two versions of a key in one window the
+        later one wins. Files of orders may differ in the name of the customer column; their
+        rows say so themselves, and the second value is None.
+        """
+        if spec.name != "orders":
+            if isinstance(source, str):
+                files = with_arrival(self.spark.read.schema(spec.ddl).parquet(source))
+                return read_entity(self.spark, spec, files, ["_arrived"]), None
+            return read_entity(self.spark, spec, source), None
+        if isinstance(source, str):
+            slot = CUSTOMER_NAMES[0]
+            rows = read_all_names(self.spark, spec, source, CUSTOMER_NAMES, slot)
+            drift_by_file(rows, CUSTOMER_NAMES, slot).write.mode("overwrite").parquet(f"{stage}-files")
+            files = self.spark.read.parquet(f"{stage}-files")
+            resolved = resolve_by_file(rows, files, CUSTOMER_NAMES, slot)
+            return read_entity(self.spark, spec, resolved, ["_schema_drift", "_arrived"]), None
+        if isinstance(source, dict):
+            source = read_jdbc(self.spark, spec, source)
+        source, drift = resolve_column(source, CUSTOMER_NAMES, CUSTOMER_NAMES[0])
+        return read_entity(self.spark, spec, source), drift
 
     def ingest_entity(
         self, spec: EntitySpec, source: Source, run_ts: str, prior: tuple[str, int]
     ) -> DataFrame:
         """Extract, stamp and upsert one entity; the result is its run-log row."""
-        drift = None
-        if spec.name == "orders":
-            if isinstance(source, dict):
-                source = read_jdbc(self.spark, spec, source)
-            elif isinstance(source, str):
-                source = self.spark.read.parquet(source)
-            source, drift = resolve_column(source, ["customer_id", "user_id"], "customer_id")
         prior_ts, prior_id = prior
         full_load = prior == (EPOCH, 0)
-        rows = read_entity(self.spark, spec, source)
+        stage = f"{self.root}/stage/{spec.name}/{run_ts.replace(' ', 'T').replace(':', '')}"
+        rows, drift = self._read(spec, source, stage)
         if not full_load:
             rows = incremental_window(rows, spec, prior_ts, prior_id)
 
         # The source is read once: the window is staged, and its size and watermark are
-        # observed on the way. Only these three scalars come back to the driver.
+        # observed on the way. Only these scalars come back to the driver.
         seen = Observation(f"{spec.name}_window")
-        stage = f"{self.root}/stage/{spec.name}/{run_ts.replace(' ', 'T').replace(':', '')}"
+        drifted = F.col("_schema_drift") if "_schema_drift" in rows.columns else F.lit(bool(drift))
         rows.observe(
             seen,
             F.count(F.lit(1)).alias("n"),
             F.max(spec.watermark).cast("string").alias("t"),
             F.max(spec.pk).alias("i"),
+            F.max(drifted).alias("d"),
         ).write.mode("overwrite").parquet(stage)
-        rows_read, newest, highest = (seen.get[k] for k in ("n", "t", "i"))
+        rows_read, newest, highest, any_drift = (seen.get[k] for k in ("n", "t", "i", "d"))
         high_ts = max(newest or prior_ts, prior_ts)
         high_id = max(prior_id if highest is None else highest, prior_id)
 
         table = self.raw(spec.name)
         staged = self.spark.read.schema(rows.schema).parquet(stage)
         if rows_read:
-            table.upsert(stamp_lineage(staged, run_ts, high_ts, drift))
-        remove(self.spark, stage)
+            own = [*spec.column_names, *spec.lineage]
+            own += [c for c in rows.columns if c == "_arrived"]
+            stamped = stamp_lineage(staged, run_ts, high_ts, drift).select(*own)
+            table.upsert(stamped, spec.pk, f"{stage}-merged")
+        for used in (stage, f"{stage}-files", f"{stage}-merged"):
+            remove(self.spark, used)
         current = table.rows()
         return self.spark.range(1).select(
             F.lit(run_ts).cast("timestamp").alias("run_ts"),
@@ -74,7 +108,7 @@ class Ingest:
             F.lit(rows_read).cast("bigint").alias("rows_upserted"),
             F.lit(0 if current is None else current.count()).cast("bigint").alias("table_total"),
             F.lit(full_load).alias("full_load"),
-            F.lit(bool(drift)).alias("schema_drift"),
+            F.lit(bool(any_drift)).alias("schema_drift"),
             F.lit(high_ts).alias("high_watermark_ts"),
             F.lit(str(high_id)).alias("high_watermark_id"),
         )

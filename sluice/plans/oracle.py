@@ -128,6 +128,33 @@ def _price(expr: str) -> str:
     return f"CAST({expr} AS DOUBLE)"
 
 
+def _rollup(payments: str) -> str:
+    return f"""
+    SELECT order_id, method AS payment_method, status AS payment_status, amount AS payment_amount, paid_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY paid_at DESC, payment_id DESC) AS rn
+      FROM {payments}) WHERE rn = 1"""
+
+
+def _obt(orders: str, rollup: str) -> str:
+    return f"""
+    SELECT o.order_id, o.customer_id, c.country AS customer_country, c.city AS customer_city,
+      c.segment AS customer_segment, o.product_id, p.sku AS product_sku, p.name AS product_name,
+      p.category AS product_category, o.quantity, o.unit_price, o.total_amount, o.status, o.ordered_at,
+      r.payment_method, r.payment_status, r.payment_amount, r.paid_at, o.is_late
+    FROM {orders} o LEFT JOIN silver_customers c ON c.customer_id = o.customer_id
+    LEFT JOIN silver_products p ON p.product_id = o.product_id LEFT JOIN {rollup} r ON r.order_id = o.order_id"""
+
+
+def _daily(obt: str) -> str:
+    return f"""
+    SELECT order_date, product_category, count(*) AS order_count, CAST(sum(quantity) AS BIGINT) AS units_sold,
+      sum(v) AS gross_revenue,
+      CAST((2 * CAST(sum(v) * 100 AS BIGINT) + count(v)) // (2 * count(v)) AS BIGINT) AS avg_cents
+    FROM (SELECT CAST(ordered_at AS DATE) AS order_date, product_category, quantity,
+      CASE WHEN status IN ('cancelled', 'returned') THEN CAST(0 AS DECIMAL(12,2)) ELSE total_amount END AS v
+      FROM {obt}) GROUP BY order_date, product_category"""
+
+
 CTES: dict[str, str] = {
     # -- source entities ------------------------------------------------------------
     "raw_customers": f"""
@@ -216,24 +243,13 @@ CTES: dict[str, str] = {
     "cls_payments_first": _classify_payments("silver_first"),
     "cls_payments_second": _classify_payments("silver_second"),
     # -- gold ----------------------------------------------------------------------------
-    "rollup": """
-    SELECT order_id, method AS payment_method, status AS payment_status, amount AS payment_amount, paid_at
-    FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY paid_at DESC, payment_id DESC) AS rn
-      FROM silver_payments) WHERE rn = 1""",
-    "obt": """
-    SELECT o.order_id, o.customer_id, c.country AS customer_country, c.city AS customer_city,
-      c.segment AS customer_segment, o.product_id, p.sku AS product_sku, p.name AS product_name,
-      p.category AS product_category, o.quantity, o.unit_price, o.total_amount, o.status, o.ordered_at,
-      r.payment_method, r.payment_status, r.payment_amount, r.paid_at, o.is_late
-    FROM silver_orders o LEFT JOIN silver_customers c ON c.customer_id = o.customer_id
-    LEFT JOIN silver_products p ON p.product_id = o.product_id LEFT JOIN rollup r ON r.order_id = o.order_id""",
-    "daily": """
-    SELECT order_date, product_category, count(*) AS order_count, CAST(sum(quantity) AS BIGINT) AS units_sold,
-      sum(v) AS gross_revenue,
-      CAST((2 * CAST(sum(v) * 100 AS BIGINT) + count(v)) // (2 * count(v)) AS BIGINT) AS avg_cents
-    FROM (SELECT CAST(ordered_at AS DATE) AS order_date, product_category, quantity,
-      CASE WHEN status IN ('cancelled', 'returned') THEN CAST(0 AS DECIMAL(12,2)) ELSE total_amount END AS v
-      FROM obt) GROUP BY order_date, product_category""",
+    "rollup": _rollup("silver_payments"),
+    "obt": _obt("silver_orders", "rollup"),
+    "daily": _daily("obt"),
+    "silver_payments_second": _silver_payments("cls_payments_second"),
+    "rollup_second": _rollup("silver_payments_second"),
+    "obt_second": _obt("silver_second", "rollup_second"),
+    "daily_second": _daily("obt_second"),
     "realised": """
     SELECT *, CASE WHEN status IN ('cancelled', 'returned') THEN CAST(0 AS DECIMAL(12,2)) ELSE total_amount END AS v
     FROM obt""",
@@ -586,6 +602,11 @@ FINALS: dict[str, str] = {
     "ingest_window_payments": _window("payments", PRIOR_TS, True),
     "ingest_window_customers": _window("customers", DIM_PRIOR_TS, False),
     "ingest_schema_drift": "SELECT order_id, customer_id, true AS _schema_drift FROM raw_orders",
+    "ingest_mixed_drift": """SELECT order_id, customer_id, order_id % 3 = 0 AS _schema_drift FROM raw_orders""",
+    "ingest_drift_files": """SELECT CASE WHEN order_id % 3 = 0 THEN 'user_id' ELSE 'customer_id' END AS live,
+      order_id % 3 = 0 AS _schema_drift, count(*) AS rows FROM raw_orders GROUP BY ALL""",
+    "ingest_last_write": f"""SELECT order_id, CASE WHEN order_id % 5 = 0 THEN 'delivered' WHEN order_id % 7 = 0 THEN 'returned'
+      ELSE status END AS status FROM raw_orders""",
     "ingest_stamp": f"""SELECT order_id, {RUN_TS} AS _ingested_at,
       (SELECT max(ordered_at) FROM raw_orders) AS _source_watermark, false AS _schema_drift FROM raw_orders""",
     "ingest_high_watermark": _union(_high(e) for e in ENTITY_ORDER),
@@ -703,6 +724,9 @@ FINALS: dict[str, str] = {
     "gold_orders_obt": _money("obt", "unit_price", "total_amount", "payment_amount"),
     "gold_revenue_daily": f"""SELECT {DAILY_OUT}, {_price("gross_revenue")} AS gross_revenue,
       CAST(CAST(avg_cents AS DECIMAL(18,0)) / 100 AS DOUBLE) AS avg_order_value FROM daily""",
+    "gold_obt_incremental": _money("obt_second", "unit_price", "total_amount", "payment_amount"),
+    "gold_daily_incremental": f"""SELECT {DAILY_OUT}, {_price("gross_revenue")} AS gross_revenue,
+      avg_cents / 100 AS avg_order_value FROM daily_second""",
     "gold_integrity": """SELECT *, obt_rows = silver_rows AND obt_rows = daily_orders AND repeated_orders = 0
         AND unmatched_orders = 0 AND negative_days = 0 AS ok FROM (
       SELECT (SELECT count(*) FROM obt) AS obt_rows, (SELECT count(*) FROM silver_orders) AS silver_rows,

@@ -23,7 +23,8 @@ from sluice.operators import (
     slo,
 )
 from sluice.plans import basket, intents
-from sluice.plans.ingest_run import Ingest
+from sluice.plans.incremental import GoldTables, OrderTables
+from sluice.plans.ingest_run import CUSTOMER_NAMES, Ingest
 from sluice.plans.medallion import RUN_TS, Medallion, publish
 from sluice.schemas import (
     ENTITIES,
@@ -35,7 +36,14 @@ from sluice.schemas import (
 )
 from sluice.session import configure, scratch_dir
 from sluice.sources.layers import EPOCH, LayerStore, RunLog
-from sluice.sources.readers import read_entity, resolve_column
+from sluice.sources.readers import (
+    drift_by_file,
+    read_all_names,
+    read_entity,
+    resolve_by_file,
+    resolve_column,
+    with_arrival,
+)
 from sluice.sources.retail import Retail, derive_ledger, derive_orders
 from sluice.streaming import jobs
 
@@ -140,6 +148,42 @@ def ingest_schema_drift(lake: Lake) -> DataFrame:
     return fixed.select("order_id", "customer_id", F.lit(drift).alias("_schema_drift"))
 
 
+def _drifting_orders(lake: Lake) -> DataFrame:
+    """Files of orders in one folder; those of every third order name their customer otherwise."""
+    path = scratch_dir(lake.spark, "mixed-orders")
+    rows = lake.src.source("orders").select(*ENTITIES["orders"].column_names)
+    third = F.col("order_id") % 3 == 0
+    rows.where(~third).write.mode("append").parquet(path)
+    rows.where(third).withColumnRenamed("customer_id", "user_id").write.mode("append").parquet(path)
+    return read_all_names(lake.spark, ENTITIES["orders"], path, CUSTOMER_NAMES, "customer_id")
+
+
+def ingest_mixed_drift(lake: Lake) -> DataFrame:
+    rows = _drifting_orders(lake)
+    files = lake._keep("drift-files", drift_by_file(rows, CUSTOMER_NAMES, "customer_id"))
+    resolved = resolve_by_file(rows, files, CUSTOMER_NAMES, "customer_id")
+    return resolved.select("order_id", "customer_id", "_schema_drift")
+
+
+def ingest_drift_files(lake: Lake) -> DataFrame:
+    files = drift_by_file(_drifting_orders(lake), CUSTOMER_NAMES, "customer_id")
+    return files.groupBy("live", "_schema_drift").agg(F.sum("rows").alias("rows"))
+
+
+def ingest_last_write(lake: Lake) -> DataFrame:
+    """Three drops of orders in one window, the later ones with other states of some of them."""
+    path = scratch_dir(lake.spark, "drops")
+    rows = lake.src.source("orders").select("order_id", "status")
+    drops = (
+        rows,
+        rows.where("order_id % 7 = 0").withColumn("status", F.lit("returned")),
+        rows.where("order_id % 5 = 0").withColumn("status", F.lit("delivered")),
+    )
+    for drop in drops:
+        drop.write.mode("append").parquet(path)
+    return ingest.latest_per_key(with_arrival(lake.spark.read.schema(rows.schema).parquet(path)), "order_id")
+
+
 def ingest_stamp(lake: Lake) -> DataFrame:
     spec = ENTITIES["orders"]
     rows = lake.src.source("orders")
@@ -307,6 +351,24 @@ def transition_report(lake: Lake) -> DataFrame:
 # -- gold ---------------------------------------------------------------------------
 
 
+def live_tables(lake: Lake) -> OrderTables:
+    """Two batches of orders applied one after the other: the first drop, then the second."""
+    root = scratch_dir(lake.spark, "live")
+    t = lake.tables
+    made = GoldTables(
+        lake.spark,
+        root,
+        lambda: t.silver("customers"),
+        lambda: t.silver("products"),
+        lambda: t.bronze("payments"),
+        grain="month",
+    )
+    tables = OrderTables(lake.spark, root, grain="month", gold_tables=made)
+    tables.apply(lake.first_raw, 0)
+    tables.apply(lake.batch, 1)
+    return tables
+
+
 def gold_integrity(lake: Lake) -> DataFrame:
     t = lake.tables.share_gold()
     return audit.gold_integrity(t.obt, t.daily, t.silver("orders"))
@@ -464,7 +526,7 @@ def stream_ingest(lake: Lake) -> DataFrame:
         .option("pathGlobFilter", "orders.parquet")
         .parquet(lake.root)
     )
-    tables = jobs.OrderTables(lake.spark, root)
+    tables = OrderTables(lake.spark, root, grain="month")
     lines, parts = lake.src.table("lineitem"), lake.src.table("part")
     query = jobs.stream_ingest(
         source, tables, f"{root}/checkpoint", lambda df: derive_orders(df, lines, parts)
@@ -478,7 +540,7 @@ def stream_incident_route(lake: Lake) -> DataFrame:
     routes = jobs.stream_routes(derive_ledger(_event_stream(lake)))
     query = jobs.upsert_windows(routes, f"{root}/table", "window_start", f"{root}/checkpoint")
     query.awaitTermination()
-    return jobs.read_windows(lake.spark, f"{root}/table")
+    return jobs.read_windows(lake.spark, f"{root}/table", "window_start")
 
 
 def stream_minute_volume(lake: Lake) -> DataFrame:
@@ -486,7 +548,7 @@ def stream_minute_volume(lake: Lake) -> DataFrame:
     counts = jobs.stream_minute_counts(_event_stream(lake), "ts")
     query = jobs.upsert_windows(counts, f"{root}/table", "minute", f"{root}/checkpoint")
     query.awaitTermination()
-    return jobs.read_windows(lake.spark, f"{root}/table")
+    return jobs.read_windows(lake.spark, f"{root}/table", "minute")
 
 
 def _as_of(lake: Lake) -> str:
@@ -504,6 +566,9 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "ingest_window_payments": lambda k: ingest_window(k, "payments"),
     "ingest_window_customers": lambda k: ingest_window(k, "customers"),
     "ingest_schema_drift": ingest_schema_drift,
+    "ingest_mixed_drift": ingest_mixed_drift,
+    "ingest_drift_files": ingest_drift_files,
+    "ingest_last_write": ingest_last_write,
     "ingest_stamp": ingest_stamp,
     "ingest_high_watermark": ingest_high_watermark,
     "watermark_state": watermark_state,
@@ -537,6 +602,8 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "payment_rollup": lambda k: gold.payment_rollup(k.tables.silver("payments")),
     "gold_orders_obt": lambda k: k.tables.obt,
     "gold_revenue_daily": lambda k: k.tables.daily,
+    "gold_obt_incremental": lambda k: live_tables(k).gold.obt.rows(),
+    "gold_daily_incremental": lambda k: live_tables(k).gold.daily(),
     "gold_integrity": gold_integrity,
     "gold_leak_check": lambda k: audit.leak_checks(k.tables.share_gold().obt),
     "gold_duplicate_keys": lambda k: audit.duplicate_keys(k.tables.obt),

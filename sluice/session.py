@@ -78,6 +78,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder this library wrote, on whatever file system it lies."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """Spread a plain scan over all cores where its files give fewer splits than there are.
 

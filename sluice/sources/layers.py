@@ -1,17 +1,20 @@
 """Layered tables on plain Parquet, and the run log.
 
 Parquet has no MERGE. Tables that are rebuilt get a new folder per run, and one commit
-row makes the whole run visible at once; readers keep the version they opened. Upserted
-tables rewrite only the key ranges a batch touches, into new folders that one small
-manifest makes visible.
+row makes the whole run visible at once; readers keep the version they opened. Tables that
+are changed in place are partitioned by a derived column, and Spark's dynamic partition
+overwrite replaces the partitions a batch touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.ingest import latest_per_key, upsert
+from sluice.session import remove
 
 EPOCH = "1970-01-01 00:00:00"
 COMMIT_DDL = "version BIGINT, committed_at TIMESTAMP"
@@ -33,20 +36,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(jvm_path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a staging folder this engine wrote."""
-    files, jvm_path = _file_system(spark, path)
-    files.delete(jvm_path, True)
-
-
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies directly in a folder."""
-    files, jvm_path = _file_system(spark, path)
-    if not files.exists(jvm_path):
-        return []
-    return [status.getPath().getName() for status in files.listStatus(jvm_path)]
-
-
 class LayerStore:
     """Tables named ``<layer>_<entity>`` below one root folder."""
 
@@ -99,88 +88,82 @@ class LayerStore:
         return self.spark.read.parquet(f"{home}/v={self.version()}")
 
 
-# Files, and so tasks, that one rewritten key range is dealt over.
-SPREAD = 32
+def key_range(key: str, width: int = 10_000_000) -> Column:
+    """Partition of a key: ``width`` keys each, as keys are unique no partition runs hot."""
+    return F.coalesce(F.floor(F.col(key) / width), F.lit(-1)).cast("int")
 
 
-class RangedTable:
-    """A table kept in key ranges, so that an upsert rewrites only touched ranges.
+def calendar(time: str, grain: str = "day") -> Column:
+    """Partition of a time: its day as yyyyMMdd or its month as yyyyMM, 0 for NULL."""
+    pattern = {"day": "yyyyMMdd", "month": "yyyyMM"}[grain]
+    return F.coalesce(F.date_format(time, pattern).cast("int"), F.lit(0))
 
-    A range holds at most ``width`` keys, as keys are unique; no range can run hot. Each
-    upsert writes its ranges into a new version folder and then a manifest that names the
-    folder of every range. A version counts once its manifest is complete: a crash before
-    that leaves the table as it was, and no file a reader may have open is replaced. The
-    folders an upsert supersedes are deleted by the one after it. One writer at a time.
+
+class PartitionedTable:
+    """A table cut by one derived whole number, of which a change rewrites only some parts.
+
+    The new parts are staged completely and then replace the old ones by dynamic partition
+    overwrite. A crash in between leaves a complete stage, from which the repeated call goes on;
+    callers delete a stage once nothing will repeat the call. One writer at a time. The driver
+    sees the numbers of the touched parts, never rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pk: str, width: int = 10_000_000):
+    def __init__(self, spark: SparkSession, path: str, part: Column):
         self.spark = spark
         self.path = path
-        self.pk = pk
-        self.width = width
-
-    def _placed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_range", F.floor(F.col(self.pk) / self.width).cast("bigint"))
-
-    def _version(self) -> int:
-        """The newest version with a complete manifest, 0 before the first."""
-        home = f"{self.path}/_manifest"
-        found = sorted((int(n.split("=")[1]) for n in children(self.spark, home)), reverse=True)
-        return next((v for v in found if exists(self.spark, f"{home}/n={v}/_SUCCESS")), 0)
-
-    def _folders(self, version: int) -> dict[str, str]:
-        """Range folder name to its version folder: one small row per range of the key span."""
-        path = f"{self.path}/_manifest/n={version}"
-        if not version or not exists(self.spark, path):
-            return {}
-        return dict(self.spark.read.schema("part STRING, home STRING").parquet(path).collect())
-
-    def _read(self, folders: dict[str, str]) -> DataFrame | None:
-        if not folders:
+        self.part = part.cast("int").alias("_part")
+
+    def parts(self, *frames: DataFrame) -> list[int]:
+        """Parts that some rows belong to."""
+        found = {r[0] for f in frames for r in f.select(self.part).distinct().collect()}
+        return sorted(found)
+
+    def rows(self, parts: Sequence[int] | None = None) -> DataFrame | None:
+        """The table or some parts of it; None before its first write."""
+        if not exists(self.spark, self.path):
             return None
-        paths = [f"{self.path}/{home}/{part}" for part, home in sorted(folders.items())]
-        return self.spark.read.option("basePath", self.path).parquet(*paths).drop("v", "_range")
+        found = self.spark.read.parquet(self.path)
+        if parts is not None:
+            found = found.where(F.col("_part").isin(list(parts)))
+        return found.drop("_part")
 
-    def rows(self) -> DataFrame | None:
-        """The table, or None before its first write."""
-        return self._read(self._folders(self._version()))
+    def staged(self, stage: str) -> bool:
+        return exists(self.spark, f"{stage}/_SUCCESS")
 
-    def touched(self, keys: DataFrame) -> set[str]:
-        """Folder names of the ranges a batch falls into: at most (key span / width)."""
-        found = self._placed(keys).select("_range").distinct().collect()
-        return {f"_range={'__HIVE_DEFAULT_PARTITION__' if r[0] is None else r[0]}" for r in found}
+    def replace(self, rows: DataFrame, parts: Sequence[int], stage: str) -> None:
+        """Let ``rows`` be all that the given parts hold. ``rows`` may read the table.
 
-    def _write(self, df: DataFrame, version: int) -> list[str]:
-        # A batch often touches one range only: the hash spreads it over many tasks.
-        home = f"{self.path}/v={version}"
+        A complete ``stage`` is taken in their place: it holds what the first call began to write.
+        """
+        if not self.staged(stage):
+            rows.write.mode("overwrite").parquet(stage)
+        written = self.spark.read.schema(rows.schema).parquet(stage).select("*", self.part)
+        # Small parts share a task and a large one is split into many, by size.
         (
-            self._placed(df)
-            .repartition("_range", F.pmod(F.hash(self.pk), F.lit(SPREAD)))
+            written.hint("rebalance", "_part")
             .write.mode("overwrite")
-            .partitionBy("_range")
-            .parquet(home)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_part")
+            .parquet(self.path)
         )
-        return [n for n in children(self.spark, home) if n.startswith("_range=")]
-
-    def _publish(self, folders: dict[str, str], version: int) -> None:
-        rows = self.spark.createDataFrame(sorted(folders.items()), "part STRING, home STRING")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_manifest/n={version}")
+        left = {r[0] for r in written.select("_part").distinct().collect()}
+        for part in set(parts) - left:
+            remove(self.spark, f"{self.path}/_part={part}")
 
-    def upsert(self, batch: DataFrame) -> None:
-        """Insert or replace rows by key. Repeating the call changes nothing.
+    def upsert(self, batch: DataFrame, key: str, stage: str) -> None:
+        """Insert or replace rows by key; a key must keep its part. Repeating changes nothing.
 
         The batch is read more than once, so pass a frame over written files.
         """
-        last = self._version()
-        folders = self._folders(last)
-        touched = self.touched(batch)
-        near = self._read({part: home for part, home in folders.items() if part in touched})
-        merged = latest_per_key(batch, self.pk) if near is None else upsert(near, batch, self.pk)
-        written = self._write(merged, last + 1)
-        self._publish({**folders, **{part: f"v={last + 1}" for part in written}}, last + 1)
-        for part, home in self._folders(last - 1).items():
-            if folders.get(part) != home:
-                remove(self.spark, f"{self.path}/{home}/{part}")
+        columns = [c for c in batch.columns if c != "_arrived"]
+        if self.staged(stage):
+            # An earlier call ended while it was overwriting.
+            self.replace(self.spark.read.parquet(stage).select(*columns), [], stage)
+            remove(self.spark, stage)
+        parts = self.parts(batch)
+        near = self.rows(parts)
+        merged = latest_per_key(batch, key) if near is None else upsert(near, batch, key)
+        self.replace(merged.select(*columns), parts, stage)
 
 
 class RunLog:

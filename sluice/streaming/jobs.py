@@ -8,51 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.operators.ingest import latest_per_key
-from sluice.operators.classify import accepted, classify_orders, rejects
 from sluice.operators.ledger import route
-from sluice.operators.refresh import affected_orders
-from sluice.sources.layers import RangedTable, exists, remove
-
-FILE_WIDTH = 10_000_000
-
-
-class OrderTables:
-    """Raw orders and their verdicts; accepted and rejected rows are filters on verdicts.
-
-    A verdict row never leaves the table, it changes, so refreshing is an upsert too.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, width: int = FILE_WIDTH):
-        self.root = root.rstrip("/")
-        self.raw = RangedTable(spark, f"{self.root}/raw_orders", "order_id", width)
-        self.verdicts = RangedTable(spark, f"{self.root}/classified_orders", "order_id", width)
-
-    def silver(self) -> DataFrame:
-        return accepted(self.verdicts.rows(), "orders")
-
-    def rejects(self, run_ts: str) -> DataFrame:
-        return rejects(self.verdicts.rows(), run_ts)
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Take one batch of raw orders in. Replaying a batch changes nothing.
-
-        The verdict table still holds the versions a batch replaces until its last step,
-        also after a crash in between, so it tells which business keys are affected.
-        Verdicts once staged completely are used again by a replay.
-        """
-        spark = batch.sparkSession
-        stage = f"{self.root}/stage/batch={batch_id}"
-        if not exists(spark, f"{stage}/verdicts/_SUCCESS"):
-            latest_per_key(batch, "order_id").write.mode("overwrite").parquet(f"{stage}/rows")
-            rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
-            self.raw.upsert(rows)
-            raw, verdicts = self.raw.rows(), self.verdicts.rows()
-            affected = affected_orders(raw, verdicts, rows)
-            classify_orders(affected).write.mode("overwrite").parquet(f"{stage}/verdicts")
-        self.verdicts.upsert(spark.read.parquet(f"{stage}/verdicts"))
-        remove(spark, stage)
-
+from sluice.plans.incremental import OrderTables
+from sluice.session import remove
+from sluice.sources.layers import PartitionedTable, calendar
 
 def stream_ingest(
     source: DataFrame,
@@ -106,6 +65,11 @@ def stream_minute_counts(stream: DataFrame, ts_col: str, delay: str = "10 minute
     return grouped.select(F.col("w.start").alias("minute"), "rows")
 
 
+def windows_table(spark: SparkSession, path: str, start_col: str) -> PartitionedTable:
+    """Results of windows by the day they start on."""
+    return PartitionedTable(spark, path, calendar(start_col))
+
+
 def upsert_windows(df: DataFrame, path: str, start_col: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest result of every window in a table, day by day.
 
@@ -114,12 +78,12 @@ def upsert_windows(df: DataFrame, path: str, start_col: str, checkpoint: str) ->
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("_key", F.unix_micros(start_col))
-        table = RangedTable(batch.sparkSession, path, "_key", width=86_400_000_000)
+        spark = batch.sparkSession
         stage = f"{path}-stage/batch={batch_id}"
-        keyed.write.mode("overwrite").parquet(stage)
-        table.upsert(batch.sparkSession.read.schema(keyed.schema).parquet(stage))
-        remove(batch.sparkSession, stage)
+        batch.write.mode("overwrite").parquet(f"{stage}/rows")
+        rows = spark.read.schema(batch.schema).parquet(f"{stage}/rows")
+        windows_table(spark, path, start_col).upsert(rows, start_col, f"{stage}/merged")
+        remove(spark, stage)
 
     return (
         df.writeStream.outputMode("update")
@@ -130,5 +94,5 @@ def upsert_windows(df: DataFrame, path: str, start_col: str, checkpoint: str) ->
     )
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    return RangedTable(spark, path, "_key", width=86_400_000_000).rows().drop("_key")
+def read_windows(spark: SparkSession, path: str, start_col: str) -> DataFrame:
+    return windows_table(spark, path, start_col).rows()

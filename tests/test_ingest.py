@@ -1,13 +1,30 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
-from helpers import LATER, order, orders
+from helpers import DAY, LATER, order, orders
+from pyspark.sql import functions as F
 
 from sluice.operators import ingest
 from sluice.plans.ingest_run import Ingest
 from sluice.schemas import ENTITIES
-from sluice.sources.layers import EPOCH, RUN_LOG_DDL, LayerStore, RangedTable, RunLog
-from sluice.sources.readers import read_entity, resolve_column
+from sluice.sources.layers import (
+    EPOCH,
+    RUN_LOG_DDL,
+    LayerStore,
+    PartitionedTable,
+    RunLog,
+    calendar,
+    key_range,
+)
+from sluice.sources.readers import (
+    drift_by_file,
+    read_all_names,
+    read_entity,
+    resolve_by_file,
+    resolve_column,
+    with_arrival,
+)
 
 ORDERS, CUSTOMERS = ENTITIES["orders"], ENTITIES["customers"]
 
@@ -82,17 +99,99 @@ def test_sample_and_latest(spark):
     assert ids(ingest.latest_rows(df, "order_id", 3)) == [47, 48, 49]
 
 
-def test_ranged_table_rewrites_only_touched_ranges(spark, tmp_path):
-    table = RangedTable(spark, str(tmp_path / "t"), "order_id", width=10)
-    table.upsert(orders(spark, [order(i) for i in range(30)]))
-    table.upsert(orders(spark, [order(12, quantity=99), order(45)]))
-    folders = lambda v: {p.name for p in (tmp_path / "t" / f"v={v}").glob("_range=*")}
-    assert folders(2) == {"_range=1", "_range=4"}
-    rows = {r.order_id: r.quantity for r in table.rows().collect()}
-    assert len(rows) == 31 and rows[12] == 99 and rows[11] == 2
-    assert folders(1) == {"_range=0", "_range=1", "_range=2"}
-    table.upsert(orders(spark, [order(45, quantity=7)]))
-    assert folders(1) == {"_range=0", "_range=2"}
+def files(path, part):
+    return {p.name for p in (path / f"_part={part}").glob("*.parquet")}
+
+
+def test_an_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    path = tmp_path / "t"
+    table = PartitionedTable(spark, str(path), key_range("order_id", 10))
+    assert table.rows() is None
+    table.upsert(orders(spark, [order(1), order(2), order(25)]), "order_id", str(tmp_path / "s0"))
+    before = {part: files(path, part) for part in (0, 2)}
+    table.upsert(orders(spark, [order(25, quantity=9), order(26)]), "order_id", str(tmp_path / "s1"))
+    assert {r.order_id: r.quantity for r in table.rows().collect()} == {1: 2, 2: 2, 25: 9, 26: 2}
+    assert files(path, 0) == before[0] and not files(path, 2) & before[2]
+    plan = table.rows([2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan and "_part#" in plan.split("PartitionFilters")[1]
+
+
+def test_a_part_that_lost_all_rows_is_gone(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "t"), calendar("ordered_at"))
+    rows = orders(spark, [order(1), order(2, ordered_at="2024-02-01 00:00:00"), order(3, ordered_at=None)])
+    parts = table.parts(rows)
+    assert parts == [0, 20240102, 20240201]
+    table.replace(rows, parts, str(tmp_path / "s0"))
+    moved = rows.where("order_id = 2").withColumn("ordered_at", F.lit(DAY).cast("timestamp"))
+    table.replace(rows.where("order_id = 1").unionByName(moved), [20240102, 20240201], str(tmp_path / "s1"))
+    assert {r.order_id: str(r.ordered_at) for r in table.rows().collect()} == {1: DAY, 2: DAY, 3: "None"}
+    assert calendar("t", "month")._jc.toString().count("yyyyMM")
+
+
+def test_a_crash_while_overwriting_heals_with_the_replay(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "t"), key_range("order_id", 10))
+    table.upsert(orders(spark, [order(1), order(2), order(3)]), "order_id", str(tmp_path / "s0"))
+    batch = orders(spark, [order(1, quantity=9)])
+    # The stage is complete, but the overwrite has lost the old rows of the part.
+    ingest.upsert(table.rows([0]), batch, "order_id").write.parquet(str(tmp_path / "s1"))
+    for file in files(tmp_path / "t", 0):
+        (tmp_path / "t" / "_part=0" / file).unlink()
+    spark.catalog.clearCache()
+    table.upsert(batch, "order_id", str(tmp_path / "s1"))
+    assert {r.order_id: r.quantity for r in table.rows().collect()} == {1: 9, 2: 2, 3: 2}
+
+
+def test_files_with_either_name_of_the_customer(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    names = ["customer_id", "user_id"]
+
+    def drop(rows, name="customer_id"):
+        frame = orders(spark, rows).select(*ORDERS.column_names).withColumnRenamed("customer_id", name)
+        frame.coalesce(1).write.mode("append").parquet(path)
+
+    drop([order(1, customer_id=7), order(2, customer_id=None)])
+    drop([order(3, customer_id=8), order(4, customer_id=None)], "user_id")
+    drop([order(5, customer_id=None)])
+    rows = read_all_names(spark, ORDERS, path, names, "customer_id")
+    found = drift_by_file(rows, names, "customer_id")
+    assert sorted((r.rows, r.live, r._schema_drift) for r in found.collect()) == [
+        (1, "customer_id", False),
+        (2, "customer_id", False),
+        (2, "user_id", True),
+    ]
+    resolved = resolve_by_file(rows, found, names, "customer_id")
+    got = {r.order_id: (r.customer_id, r._schema_drift) for r in resolved.collect()}
+    assert got == {1: (7, False), 2: (None, False), 3: (8, True), 4: (None, True), 5: (None, False)}
+
+    runs = Ingest(spark, str(tmp_path / "lake"), width=10)
+    log = runs.run({"orders": path}, "2024-02-01 00:00:00", ["orders"], mode="full").first()
+    assert log.schema_drift and log.rows_read == 5
+    table = {r.order_id: (r.customer_id, r._schema_drift) for r in runs.raw("orders").rows().collect()}
+    assert table == got
+
+
+def test_of_two_versions_in_a_window_the_later_file_or_row_wins(spark, tmp_path):
+    path = tmp_path / "customers"
+    ddl = CUSTOMERS.ddl
+    at = datetime(2024, 1, 1)
+
+    def drop(*rows):
+        frame = spark.createDataFrame([(k, n, "e", "c", "t", "s", at) for k, n in rows], ddl)
+        frame.coalesce(1).write.mode("append").parquet(str(path))
+
+    drop((1, "zz first"), (2, "a"), (2, "zz"), (2, "b"))
+    drop((1, "m second"))
+    drop((1, "a third"))
+    stamps = sorted(path.glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    for i, file in enumerate(stamps):
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    rows = with_arrival(spark.read.schema(ddl).parquet(str(path)))
+    latest = ingest.latest_per_key(rows, "customer_id")
+    assert latest.columns == CUSTOMERS.column_names
+    assert {r.customer_id: r.full_name for r in latest.collect()} == {1: "a third", 2: "b"}
+    runs = Ingest(spark, str(tmp_path / "lake"), width=10)
+    runs.run({"customers": str(path)}, "2024-02-01 00:00:00", ["customers"], mode="full")
+    assert {r.customer_id: r.full_name for r in runs.raw("customers").rows().collect()} == {1: "a third", 2: "b"}
 
 
 def test_run_log_cold_start_and_unreadable_state(spark, tmp_path):
@@ -150,23 +249,3 @@ def test_a_batch_with_two_versions_of_a_key_keeps_the_later_one(spark):
     )
     rows = sorted((r.k, r.v) for r in ingest.upsert(target, batch, "k").collect())
     assert rows == [(1, "last"), (2, "old"), (3, "new")]
-
-
-def test_a_crash_before_the_manifest_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
-    table = RangedTable(spark, str(tmp_path / "t"), "order_id", width=10)
-    first = orders(spark, [order(1), order(15)])
-    table.upsert(first)
-    batch = orders(spark, [order(1, quantity=9), order(31)])
-
-    def stop(*_):
-        raise OSError("stopped")
-
-    with monkeypatch.context() as crash:
-        crash.setattr(RangedTable, "_publish", stop)
-        with pytest.raises(OSError):
-            table.upsert(batch)
-    read = lambda: {r.order_id: r.quantity for r in table.rows().collect()}
-    before = {r.order_id: r.quantity for r in first.collect()}
-    assert read() == before
-    table.upsert(batch)
-    assert read() == {**before, 1: 9, 31: before[1]}

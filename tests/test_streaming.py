@@ -4,6 +4,7 @@ from helpers import order, orders, rules
 
 from sluice.operators.classify import classify_orders
 from sluice.operators.ingest import upsert
+from sluice.plans.incremental import OrderTables
 from sluice.streaming import jobs
 
 T = datetime(2024, 1, 1)
@@ -11,7 +12,7 @@ T = datetime(2024, 1, 1)
 
 def test_two_drops_equal_one_rebuild_and_replay_changes_nothing(spark, tmp_path):
     drops = tmp_path / "drops"
-    tables = jobs.OrderTables(spark, str(tmp_path / "tables"), width=10)
+    tables = OrderTables(spark, str(tmp_path / "tables"), width=10)
     first = orders(spark, [order(1), order(2), order(3, quantity=5), order(25, quantity=6)])
     # Order 1 changes, so order 2 is no duplicate any more; order 25 is corrupted.
     second = orders(
@@ -52,7 +53,7 @@ def test_minute_counts_update_across_drops(spark, tmp_path):
         stream = spark.readStream.schema("ts TIMESTAMP").parquet(src)
         counts = jobs.stream_minute_counts(stream, "ts")
         jobs.upsert_windows(counts, str(tmp_path / "t"), "minute", str(tmp_path / "c")).awaitTermination()
-        return {r.minute: r["rows"] for r in jobs.read_windows(spark, str(tmp_path / "t")).collect()}
+        return {r.minute: r["rows"] for r in jobs.read_windows(spark, str(tmp_path / "t"), "minute").collect()}
 
     drop([1, 5, 61])
     assert drain() == {T: 2, T + timedelta(minutes=1): 1}
@@ -71,7 +72,7 @@ def test_routes_drop_incidents_past_the_watermark(spark, tmp_path):
     def drain():
         routes = jobs.stream_routes(spark.readStream.schema(ddl).parquet(src))
         jobs.upsert_windows(routes, str(tmp_path / "t"), "window_start", str(tmp_path / "c")).awaitTermination()
-        rows = jobs.read_windows(spark, str(tmp_path / "t")).collect()
+        rows = jobs.read_windows(spark, str(tmp_path / "t"), "window_start").collect()
         return {(r.window_start - T).seconds // 60: (r.route, r.incidents) for r in rows}
 
     drop([(1, "late_arrival", 1), (2, "late_arrival", 2), (3, "schema_drift", 300)])
@@ -79,15 +80,3 @@ def test_routes_drop_incidents_past_the_watermark(spark, tmp_path):
     # The watermark is at minute 240: minute 3 is too late, minute 305 joins its window.
     drop([(4, "schema_drift", 3), (5, "volume_spike", 305)])
     assert drain() == {0: ("base", 2), 300: ("cascade", 2)}
-
-
-def test_a_crash_before_the_verdicts_is_healed_by_the_replay(spark, tmp_path):
-    tables = jobs.OrderTables(spark, str(tmp_path), width=10)
-    first = orders(spark, [order(1), order(2)])
-    tables.apply(first, 0)
-    assert rules(tables.verdicts.rows(), "order_id") == {1: None, 2: "duplicate_order"}
-    second = orders(spark, [order(1, quantity=8, ingested="2024-02-01 00:00:00")])
-    # The run dies after the raw table was written, before any verdict was.
-    tables.raw.upsert(second)
-    tables.apply(second, 1)
-    assert rules(tables.verdicts.rows(), "order_id") == {1: None, 2: None}
