@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import configure, scratch_dir
+from sluice.session import configure, remove, scratch_dir
 
 # A word is a maximal run of characters that are not ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,29 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Staging:
+    """Tables of one operator's run, deleted as soon as their last reader has been written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = scratch_dir(spark, label)
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write a frame and read it back, like ``keep``."""
+        path = f"{self.root}/{len(self.kept)}-{label}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((back, path))
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables kept here. Nothing computed later may read them."""
+        for frame, path in self.kept:
+            if any(frame is f for f in frames):
+                remove(self.spark, path)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import keep
+from sluice.llm.common import Staging
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,11 +20,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges. Every step is a partial minimum per node and a join on the node against a
     written table, so a node with very many edges is split by AQE. The driver sees two
     scalars per round. The number of rounds grows with the logarithm of the longest path.
+    Only the last round's table stays on disk.
     """
+    stage = Staging(edges.sparkSession, "components")
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = keep(
-        ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges"
-    )
+    ends = ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = stage.keep(ends.distinct(), "edges")
     before = None
     while (mark := _mark(now)) != before:
         before = mark
@@ -35,19 +36,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             now.select(F.col("v").alias("n"), F.col("u").alias("m"))
         )
         low = both.groupBy("n").agg(F.min("m").alias("low"))
-        low = keep(low.select(F.col("n").alias("k"), F.least("n", "low").alias("low")), "cc-low")
+        low = stage.keep(low.select(F.col("n").alias("k"), F.least("n", "low").alias("low")), "low")
         up = both.where(F.col("m") > F.col("n")).join(low, F.col("n") == F.col("k"))
-        now = keep(up.select(F.col("m").alias("u"), F.col("low").alias("v")).distinct(), "cc-large")
+        large = stage.keep(up.select(F.col("m").alias("u"), F.col("low").alias("v")).distinct(), "large")
+        stage.drop(now, low)
         # Small star: a node and its smaller neighbours are hung below the smallest of them.
-        low = now.groupBy("u").agg(F.min("v").alias("low"))
-        low = keep(low.withColumnRenamed("u", "k"), "cc-low")
-        hung = now.join(low, F.col("u") == F.col("k")).where(F.col("v") != F.col("low"))
-        now = keep(
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = stage.keep(low.withColumnRenamed("u", "k"), "low")
+        hung = large.join(low, F.col("u") == F.col("k")).where(F.col("v") != F.col("low"))
+        now = stage.keep(
             hung.select(F.col("v").alias("u"), F.col("low").alias("v"))
             .union(low.select(F.col("k").alias("u"), F.col("low").alias("v")))
             .distinct(),
-            "cc-small",
+            "small",
         )
+        stage.drop(large, low)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

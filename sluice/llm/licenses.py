@@ -197,8 +197,8 @@ def scan_licenses(
     )
     per_key = best.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(item)).alias("licenses"))
     empty = F.array().cast("array<struct<name:string,first_shingle:int,n_shingles:int,containment:double>>")
-    return (
-        found.select("row", "key")
-        .join(per_key, F.col("key") == F.col("_key"), "left")
-        .select("row", F.coalesce("licenses", empty).alias("licenses"))
-    )
+    # Texts without a shared shingle have no key, and are not joined.
+    some = found.where(F.col("key").isNotNull()).select("row", "key")
+    some = some.join(per_key, F.col("key") == F.col("_key"), "left").select("row", "licenses")
+    others = found.where(F.col("key").isNull()).select("row", F.lit(None).alias("licenses"))
+    return some.unionByName(others).select("row", F.coalesce("licenses", empty).alias("licenses"))

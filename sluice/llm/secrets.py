@@ -97,21 +97,20 @@ def _role(kind: Column) -> Column:
 
 
 def linked(spans: DataFrame, scope: int) -> DataFrame:
-    """Weak spans with a complementary part starting at most ``scope`` away.
+    """Weak spans with a complementary part at most ``scope`` away, between their nearer ends.
 
     An identifier wants a secret, a secret an identifier or an endpoint, an endpoint a
-    secret. Starts are dealt into cells of ``scope``; a part meets the parts of its own
-    and both neighbouring cells, so a long text spreads over many join keys.
+    secret. A part lies in all cells of ``scope`` code points that it touches and meets what
+    lies there and in both neighbouring cells, so a long text spreads over many join keys.
     """
-    parts = spans.withColumn("role", _role(F.col("kind"))).withColumn(
-        "cell", F.floor(F.col("start") / scope)
-    )
-    weak = parts.where(F.col("kind").isin([k for k, *_ in WEAK])).withColumn(
-        "near", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    )
+    cell = lambda at: F.floor(at / scope)
+    first, last = cell(F.col("start")), cell(F.col("end") - 1)
+    parts = spans.withColumn("role", _role(F.col("kind")))
+    weak = parts.where(F.col("kind").isin([k for k, *_ in WEAK]))
+    weak = weak.withColumn("near", F.explode(F.sequence(first - 1, last + 1)))
     other = parts.select(
         F.col("key").alias("k2"),
-        F.col("cell").alias("c2"),
+        F.explode(F.sequence(first, last)).alias("c2"),
         F.col("start").alias("s2"),
         F.col("end").alias("e2"),
         F.col("role").alias("r2"),
@@ -120,11 +119,12 @@ def linked(spans: DataFrame, scope: int) -> DataFrame:
         (F.col("role") == "secret") | (F.col("r2") == "secret")
     )
     apart = (F.col("end") <= F.col("s2")) | (F.col("e2") <= F.col("start"))
+    gap = F.greatest(F.col("s2") - F.col("end"), F.col("start") - F.col("e2"))
     hit = weak.join(
         other,
         (F.col("key") == F.col("k2"))
         & (F.col("near") == F.col("c2"))
-        & (F.abs(F.col("start") - F.col("s2")) <= scope)
+        & (gap <= scope)
         & complementary
         & apart,
         "left_semi",
@@ -158,7 +158,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     )
     item = F.struct("start", rank.alias("rank"), "kind", "end")
     per_key = shown.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(item)).alias("spans"))
-    out = found.select("row", "key").join(per_key, F.col("key") == F.col("_key"), "left")
+    # Texts in which nothing was found have no key, and are not joined.
+    some = found.where(F.col("key").isNotNull()).select("row", "key")
+    out = some.join(per_key, F.col("key") == F.col("_key"), "left").select("row", "spans")
+    out = out.unionByName(found.where(F.col("key").isNull()).select("row", F.lit(None).alias("spans")))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     out = out.select("row", F.coalesce("spans", empty).alias("spans"))
     count = lambda test: F.size(F.filter("spans", test)).cast("long")

@@ -6,8 +6,11 @@ differing bits agree on at least ``blocks - distance`` whole blocks, so with
 keys of all combinations are joined and the distance is checked inside the join. Equal
 fingerprints are merged before, so copies never pair up.
 
-Beyond 64 bits (``lanes`` above 1) the blocks no longer guarantee a shared key at large
-distances; see ``near_duplicates``.
+With a ``similarity`` the links wanted are those of a Jaccard similarity of shingle sets. At
+0.8 every bit of a SimHash over all shingles differs with probability 0.15, so that only keys of a few
+bits are shared, and those are shared by chance as well. There each block is a SimHash of its
+own sample of three shingles instead: close sets often have a whole sample, and so a whole
+64-bit block, in common, and others hardly ever do. See ``similar_documents``.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import keep
+from sluice.llm.common import Staging, keep, whole
 from sluice.llm.components import connected_components
 
 SEED = 42
@@ -74,12 +77,10 @@ def set_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """The hash itself for lane 0, and an independent mix of it for every further lane."""
-    if lane == 0:
-        return hashes
+def _mixed(hashes: np.ndarray, block: int) -> np.ndarray:
+    """An independent one-to-one mix of the hashes for every block."""
     with np.errstate(over="ignore"):
-        z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+        z = hashes + np.uint64((block + 1) * 0x9E3779B97F4A7C15 % 2**64)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -91,14 +92,9 @@ def distinct_shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
 
 
-def text_fingerprints(texts: list, size: int, lanes: int = 1) -> np.ndarray:
-    """Fingerprints of texts, shape (texts, lanes). A text without words has zeros."""
-    return hash_fingerprints([shingle_hashes(text, size) for text in texts], lanes)
-
-
-def hash_fingerprints(texts: list, lanes: int = 1) -> np.ndarray:
-    """Fingerprints of texts given as pieces of shingle hashes, shape (texts, lanes)."""
-    counts = np.zeros((len(texts), lanes, 64), np.int64)
+def text_fingerprints(texts: list, size: int) -> np.ndarray:
+    """64-bit fingerprints of texts. A text without words has zero."""
+    counts = np.zeros((len(texts), 64), np.int64)
     totals = np.zeros(len(texts), np.int64)
     pending: list[np.ndarray] = []
     owners: list[int] = []
@@ -106,15 +102,13 @@ def hash_fingerprints(texts: list, lanes: int = 1) -> np.ndarray:
     def flush() -> None:
         if pending:
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in pending])))
-            hashes = np.concatenate(pending)
-            for lane in range(lanes):
-                np.add.at(counts[:, lane], owners, set_bits(_spread(hashes, lane), offsets))
+            np.add.at(counts, owners, set_bits(np.concatenate(pending), offsets))
             pending.clear()
             owners.clear()
 
     held = 0
-    for i, pieces in enumerate(texts):
-        for piece in pieces:
+    for i, text in enumerate(texts):
+        for piece in shingle_hashes(text, size):
             totals[i] += len(piece)
             pending.append(piece)
             owners.append(i)
@@ -123,61 +117,111 @@ def hash_fingerprints(texts: list, lanes: int = 1) -> np.ndarray:
                 flush()
                 held = 0
     flush()
-    bits = counts * 2 > totals[:, None, None]
-    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    bits = counts * 2 > totals[:, None]
+    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, size: int, lanes: int = 1) -> DataFrame:
-    """``id`` (the key) and ``fp`` (array of 64-bit words as long) of every row."""
+def fingerprints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``id`` (the key) and ``fp`` (array of one 64-bit word as long) of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = text_fingerprints(batch.column(1).to_pylist(), size, lanes).view(np.int64)
-            flat = pa.array(fps.ravel())
-            offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * lanes)
-            lists = pa.ListArray.from_arrays(offsets, flat)
+            fps = text_fingerprints(batch.column(1).to_pylist(), size).view(np.int64)
+            offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(fps))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "fp"])
 
     slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     return slim.mapInArrow(run, f"id {kind}, fp array<bigint>")
 
 
-def set_fingerprints(docs: DataFrame, key: str, text: str, size: int, lanes: int) -> DataFrame:
-    """``id``, ``fp``, ``node`` and ``m`` of every row, each distinct shingle counted once.
+def sampled_blocks(sets: list[np.ndarray], blocks: int) -> np.ndarray:
+    """Fingerprints of sets of distinct hashes, shape (sets, blocks), one SimHash a block.
 
-    ``node`` is a hash of the set of shingles and ``m`` its size.
+    A block mixes all hashes in its own way, samples the three that come out least, and sets
+    each bit that more than half of the sample has. Of two sets with Jaccard similarity s the
+    samples are equal with a probability of about s cubed. An empty set has zeros.
+    """
+    out = np.zeros((len(sets), blocks), np.uint64)
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if not some:
+        return out
+    sizes = np.array([len(sets[i]) for i in some])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate([sets[i] for i in some])
+    most = np.uint64(2**64 - 1)
+    for block in range(blocks):
+        z = _mixed(flat, block)
+        low = []
+        for k in range(3):
+            least = np.minimum.reduceat(z, starts)
+            # What is not there has no bits set.
+            low.append(np.where(sizes > k, least, np.uint64(0)))
+            z[z == np.repeat(least, sizes)] = most
+        a, b, c = low
+        out[some, block] = np.where(sizes == 1, a, (a & b) | (a & c) | (b & c))
+    return out
+
+
+def _set_names(sets: list[np.ndarray]) -> pa.Array:
+    """128-bit names of sets of hashes."""
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
+
+
+def _in_chunks(texts: list, size: int) -> Iterator[list[np.ndarray]]:
+    """Sets of shingles of texts in order, a bounded number of shingles at a time."""
+    held, n = [], 0
+    for text in texts:
+        held.append(distinct_shingles(text, size))
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def set_fingerprints(docs: DataFrame, key: str, text: str, size: int, blocks: int) -> DataFrame:
+    """``id``, ``node``, ``m`` and the blocks ``f0`` ... of every row's set of shingles.
+
+    ``node`` is a 128-bit name of the set of distinct shingles and ``m`` its size.
     """
     kind = docs.schema[key].dataType.simpleString()
+    names = [f"f{i}" for i in range(blocks)]
 
     def run(batches):
         for batch in batches:
-            sets = [distinct_shingles(t, size) for t in batch.column(1).to_pylist()]
-            fps = hash_fingerprints([[s] if len(s) else [] for s in sets], lanes).view(np.int64)
-            offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * lanes)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(fps.ravel()))
-            nodes = pa.array([_set_node(s) for s in sets], pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            columns = [batch.column(0), lists, nodes, sizes]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "node", "m"])
+            at = 0
+            for sets in _in_chunks(batch.column(1).to_pylist(), size):
+                fps = sampled_blocks(sets, blocks).view(np.int64)
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                columns = [batch.column(0).slice(at, len(sets)), _set_names(sets), sizes]
+                columns += [pa.array(fps[:, i]) for i in range(blocks)]
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "m", *names])
 
     slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    return slim.mapInArrow(run, f"id {kind}, fp array<bigint>, node bigint, m int")
-
-
-def _set_node(hashes: np.ndarray) -> int:
-    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+    made = ", ".join(f"{n} bigint" for n in names)
+    return slim.mapInArrow(run, f"id {kind}, node binary, m int, {made}")
 
 
 def confirmed(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, least: float
+    pairs: DataFrame,
+    nodes: DataFrame,
+    docs: DataFrame,
+    key: str,
+    text: str,
+    size: int,
+    least: float,
+    stage: Staging,
 ) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes whose sets of shingles have a Jaccard similarity of ``least``.
 
     The sets are made again from the texts, and only of nodes in a pair. ``nodes`` gives a
-    row's key (``low``) for each node; further rows with that key do no harm.
+    row's key (``low``) for each node; further rows with that key do no harm. ``pairs`` is a
+    written table.
     """
-    pairs = keep(pairs.select("a", "b").distinct(), "simhash-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(ends, "node", "left_semi").select(F.col("low").alias("_low"))
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text"))
@@ -185,26 +229,28 @@ def confirmed(
 
     def run(batches):
         for batch in batches:
-            sets = [distinct_shingles(t, size) for t in batch.column(0).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            nodes = pa.array([_set_node(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, lists], names=["node", "s"])
-
-    sets = texts.mapInArrow(run, "node bigint, s array<bigint>")
-    sets = keep(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+            for sets in _in_chunks(batch.column(0).to_pylist(), size):
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([_set_names(sets), lists], names=["node", "s"])
+
+    sets = texts.mapInArrow(run, "node binary, s array<bigint>")
+    sets = stage.keep(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), common.alias("common"))
-    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= least).select("a", "b")
+    both = both.where(F.col("common") / (F.col("total") - F.col("common")) >= least)
+    found = stage.keep(both.select("a", "b"), "links")
+    stage.drop(sets)
+    return found
 
 
-def block_masks(blocks: int, together: int, bits: int = 64) -> list[int]:
+def block_masks(blocks: int, together: int) -> list[int]:
     """Bit masks of all combinations of ``together`` out of ``blocks`` near-equal blocks."""
-    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(parts, together)]
 
@@ -213,68 +259,21 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def _differing(a: str, b: str) -> Column:
-    """Number of differing bits of two fingerprint columns."""
-    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+def _dealt(prints: DataFrame, blocks: int, together: int) -> DataFrame:
+    """A row per node and block key: the columns of ``prints`` but ``fp``, and ``p``, ``n``, ``k``.
 
-
-def _dealt(prints: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
-    """A row per node and block key: the columns of ``prints`` but ``fp``, and ``n``, ``k``.
-
-    ``p`` and ``q`` are two words of the fingerprint, for a first look at the distance.
+    ``p`` is the fingerprint.
     """
-    word = (1 << 64) - 1
-    keys = []
-    for n, mask in enumerate(block_masks(blocks, together, 64 * lanes)):
-        used = [(i, (mask >> (64 * i)) & word) for i in range(lanes) if (mask >> (64 * i)) & word]
-        parts = [F.get("fp", F.lit(i)).bitwiseAND(F.lit(_signed(m))) for i, m in used]
-        key = parts[0] if len(parts) == 1 else F.xxhash64(*parts)
-        keys.append(F.struct(F.lit(n).alias("n"), key.alias("k")))
-    second = F.get("fp", F.lit(1)) if lanes > 1 else F.lit(0).cast("bigint")
-    looked = prints.withColumn("p", F.get("fp", F.lit(0))).withColumn("q", second)
+    keys = [
+        F.struct(F.lit(n).alias("n"), F.get("fp", F.lit(0)).bitwiseAND(F.lit(_signed(mask))).alias("k"))
+        for n, mask in enumerate(block_masks(blocks, together))
+    ]
+    looked = prints.withColumn("p", F.get("fp", F.lit(0)))
     rest = [c for c in looked.columns if c != "fp"]
     return looked.select(*rest, F.explode(F.array(*keys)).alias("x")).select(*rest, "x.n", "x.k")
 
 
-def _close(pairs: DataFrame, prints: DataFrame, distance: int, lanes: int) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` that are close; with one lane the first look has decided."""
-    pairs = pairs.distinct()
-    if lanes == 1:
-        return pairs
-    left = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("d", _differing("fa", "fb"))
-    return both.where(F.col("d") <= distance).drop("fa", "fb")
-
-
-def _met(rough: DataFrame, blocks: int, together: int, lanes: int) -> DataFrame:
-    """``n``, ``k``, ``part`` and all words of the fingerprint, where a bucket has several parts.
-
-    Buckets of one part have nothing left to compare, so only the rest carries whole
-    fingerprints.
-    """
-    words = [F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(lanes)]
-    dealt = _dealt(rough, blocks, together, lanes)
-    if lanes == 1:
-        return dealt.select("n", "k", "part", F.col("p").alias("f0"))
-    mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = mixed.where("low < high").select("n", "k")
-    met = keep(dealt.select("node", "n", "k").join(mixed, ["n", "k"], "left_semi"), "simhash-met")
-    rest = [c for c in rough.columns if c not in ("node", "fp")]
-    whole = rough.select(F.col("node").alias("_node"), *rest, *words)
-    return met.join(whole, F.col("node") == F.col("_node")).drop("_node")
-
-
-def components(
-    prints: DataFrame,
-    distance: int,
-    blocks: int,
-    together: int,
-    lanes: int = 1,
-    confirm: Callable[[DataFrame], DataFrame] | None = None,
-    least: float = 0.0,
-) -> DataFrame:
+def components(prints: DataFrame, distance: int, blocks: int, together: int) -> DataFrame:
     """``node`` and ``component`` of distinct fingerprints (``node``, ``fp``).
 
     A group of g fingerprints close to each other has about g * g / 2 links, and nothing
@@ -283,61 +282,97 @@ def components(
     different components are compared: no link between components is lost, and a group that
     the stars have joined costs nothing more. That join checks whole fingerprints itself, so
     a large group just beyond the distance makes no rows.
-
-    With ``confirm`` (more than one lane) the distance only proposes links and ``confirm``
-    keeps the true ones of a table of pairs. Stars then ask for the closest leader of each
-    node; all other pairs of a bucket come up between components. ``prints`` has ``m``, the
-    sizes of the sets, and sizes that rule out a similarity of ``least`` make no pair.
     """
-    alike = lambda m, k: F.least(m, k) >= F.greatest(m, k) * (least - 1e-9)
-    look = lambda p, q: F.bit_count(F.col("p").bitwiseXOR(F.col(p))) + F.bit_count(
-        F.col("q").bitwiseXOR(F.col(q))
-    )
-    # Two words of a wide fingerprint rule out chance meetings: pairs at the limit differ in
-    # a sixth of their bits, others in half, and this asks for three eighths.
-    bound = distance if lanes == 1 else 48
-    dealt = _dealt(prints, blocks, together, lanes)
-    first = dealt.groupBy("n", "k").agg(F.min(F.struct("node", "p", "q")).alias("m"), F.count("*").alias("c"))
+    stage = Staging(prints.sparkSession, "simhash")
+    look = lambda p: F.bit_count(F.col("p").bitwiseXOR(F.col(p)))
+    dealt = _dealt(prints, blocks, together)
+    first = dealt.groupBy("n", "k").agg(F.min(F.struct("node", "p")).alias("m"), F.count("*").alias("c"))
     first = first.where("c > 1").select(
-        F.col("n").alias("n2"),
-        F.col("k").alias("k2"),
-        F.col("m.node").alias("b"),
-        F.col("m.p").alias("p2"),
-        F.col("m.q").alias("q2"),
+        F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("m.node").alias("b"), F.col("m.p").alias("p2")
     )
-    first = keep(first, "simhash-leaders")
+    first = stage.keep(first, "leaders")
     key = (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2"))
-    star = dealt.join(first, key & (F.col("node") != F.col("b")) & (look("p2", "q2") <= bound))
-    star = _close(star.select(F.col("node").alias("a"), "b"), prints, distance, lanes)
-    if confirm is not None:
-        star = confirm(star.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
-    rough = keep(connected_components(star), "simhash-rough")
-    rough = prints.join(rough, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    rough = keep(rough.select(*prints.columns, "part"), "simhash-parts")
-
-    words = [f"f{i}" for i in range(lanes)]
-    met = _met(rough, blocks, together, lanes)
+    star = dealt.join(first, key & (F.col("node") != F.col("b")) & (look("p2") <= distance))
+    star = connected_components(star.select(F.col("node").alias("a"), "b").distinct())
+    rough = prints.join(star, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    rough = stage.keep(rough.select(*prints.columns, "part"), "parts")
+    stage.drop(first)
+
+    met = _dealt(rough, blocks, together).select("n", "k", "part", "p")
     other = met.select(
-        F.col("part").alias("part2"),
-        F.col("n").alias("n2"),
-        F.col("k").alias("k2"),
-        *[F.col(w).alias(f"{w}_2") for w in words],
-        *([] if confirm is None else [F.col("node").alias("b"), F.col("m").alias("m2")]),
+        F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("p").alias("p2")
     )
-    apart = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words]
-    close = (sum(apart[1:2], apart[0]) <= bound) & (sum(apart[1:], apart[0]) <= distance)
-    across = met.join(other, key & (F.col("part") < F.col("part2")) & close)
-    if confirm is not None:
-        across = across.where(alike("m", "m2")).select(F.col("node").alias("a"), "b")
-        at = lambda end, name: rough.select(F.col("node").alias(end), F.col("part").alias(name))
-        across = confirm(across).join(at("a", "part"), "a").join(at("b", "part2"), "b")
-    across = across.select("part", "part2")
-    merged = connected_components(keep(across.distinct(), "simhash-across"), "part", "part2")
-    merged = keep(merged.withColumnRenamed("node", "part"), "simhash-merged")
-    joined = rough.select("node", "part").join(merged, "part", "left")
+    across = met.join(other, key & (F.col("part") < F.col("part2")) & (look("p2") <= distance))
+    merged = connected_components(across.select("part", "part2").distinct(), "part", "part2")
+    return _joined(rough.select("node", "part"), merged)
+
+
+def _joined(rough: DataFrame, merged: DataFrame) -> DataFrame:
+    """``node`` and ``component``, given the components of its parts."""
+    merged = merged.withColumnRenamed("node", "part")
+    joined = rough.join(merged, "part", "left")
     return joined.select("node", F.coalesce("component", "part").alias("component"))
 
 
+def similar_components(
+    nodes: DataFrame, blocks: int, distance: int, confirm: Callable[[DataFrame], DataFrame], stage: Staging
+) -> DataFrame:
+    """``node`` and ``component`` of distinct sets, linked where ``confirm`` says so.
+
+    ``nodes`` has ``node``, ``m`` and the blocks. As in ``components``, stars come first: each
+    node asks for the closest leader of its buckets. Then all pairs of a bucket in different
+    components come up; only buckets that hold several components carry whole fingerprints.
+    A pair within ``distance`` differing bits is a candidate, and ``confirm`` keeps the true
+    ones of a written table of them.
+    """
+    words = [f"f{i}" for i in range(blocks)]
+    deal = lambda df, *more: df.select(
+        "node", *more, F.posexplode(F.array(*words)).alias("n", "k")
+    )
+    dealt = deal(nodes)
+    first = dealt.groupBy("n", "k").agg(F.min("node").alias("b"), F.count("*").alias("c"))
+    first = stage.keep(first.where("c > 1").drop("c"), "leaders")
+    star = dealt.join(first, ["n", "k"]).where(F.col("node") != F.col("b"))
+    star = stage.keep(star.select(F.col("node").alias("a"), "b").distinct(), "star")
+    left = nodes.select(F.col("node").alias("a"), F.array(*words).alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.array(*words).alias("fb"))
+    each = F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    d = F.aggregate(each, F.lit(0), lambda s, x: s + x)
+    near = star.join(left, "a").join(right, "b").select("a", "b", d.alias("d")).where(F.col("d") <= distance)
+    near = stage.keep(near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), "near")
+    stage.drop(first, star)
+    links = confirm(near)
+    rough = nodes.join(connected_components(links), "node", "left")
+    rough = stage.keep(rough.withColumn("part", F.coalesce("component", "node")).drop("component"), "parts")
+    stage.drop(near, links)
+
+    dealt = deal(rough, "part")
+    mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = mixed.where("low < high").select("n", "k")
+    met = stage.keep(dealt.join(mixed, ["n", "k"], "left_semi"), "met")
+    met = met.join(rough.select("node", "m", *words), "node")
+    side = lambda end: met.select(
+        *[F.col(c).alias(f"{c}_{end}") for c in ("node", "part", "n", "k", "m", *words)]
+    )
+    apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words)
+    across = side("a").join(
+        side("b"),
+        (F.col("n_a") == F.col("n_b"))
+        & (F.col("k_a") == F.col("k_b"))
+        & (F.col("part_a") < F.col("part_b"))
+        & (apart <= distance),
+    )
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    across = stage.keep(across, "across")
+    found = confirm(across)
+    at = lambda end: rough.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    ends = found.join(at("a"), "a").join(at("b"), "b").select("part_a", "part_b")
+    merged = connected_components(ends, "part_a", "part_b")
+    out = stage.keep(_joined(rough.select("node", "part"), merged), "components")
+    stage.drop(rough, met, across, found)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -346,8 +381,6 @@ def near_duplicates(
     distance: int = DISTANCE,
     blocks: int = BLOCKS,
     together: int | None = None,
-    lanes: int = 1,
-    similarity: float | None = None,
 ) -> DataFrame:
     """``id``, ``fp`` and ``component_id`` (smallest id reachable) of every input row.
 
@@ -356,38 +389,67 @@ def near_duplicates(
     to ``blocks - distance``, which misses no pair; a smaller value costs fewer, a larger
     one more selective keys. Where ``together`` exceeds ``blocks - distance`` a pair can be
     missed. A null key is never a component's id unless nothing else is in it.
-
-    With ``similarity`` (more than one lane) fingerprints count each distinct shingle once
-    and only propose links; a link holds if the two sets of shingles have at least that
-    Jaccard similarity. Rows with the same set are one node then.
     """
     together = blocks - distance if together is None else together
-    if similarity is None:
-        prints = keep(fingerprints(docs, key, text, size, lanes), "simhash-prints")
-        node = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
-        prints = prints.withColumn("node", node)
-    else:
-        prints = keep(set_fingerprints(docs, key, text, size, lanes), "simhash-prints")
-    own = [F.first(c).alias(c) for c in ("fp", "m") if c in prints.columns]
-    nodes = keep(prints.groupBy("node").agg(*own, F.min("id").alias("low")), "simhash-nodes")
-    check = None
-    if similarity is not None:
-        check = lambda pairs: confirmed(pairs, nodes, docs, key, text, size, similarity)
-    parts = components(nodes.drop("low"), distance, blocks, together, lanes, check, similarity or 0.0)
-    parts = keep(parts, "simhash-components")
+    prints = keep(fingerprints(docs, key, text, size), "simhash-prints")
+    prints = prints.withColumn("node", F.get("fp", F.lit(0)))
+    nodes = keep(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low")), "simhash-nodes")
+    parts = components(nodes.drop("low"), distance, blocks, together)
+    return _labelled(prints.select("id", "fp", "node"), nodes, keep(parts, "simhash-components"))
+
+
+def _labelled(prints: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with the smallest id of their component, without their node."""
     labelled = nodes.select("node", "low").join(parts, "node")
     least = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     member = labelled.join(least, "component").select(F.col("node").alias("_node"), "component_id")
     member = keep(member, "simhash-members")
-    return prints.join(member, F.col("node") == F.col("_node")).select("id", "fp", "component_id")
+    return prints.join(member, F.col("node") == F.col("_node")).drop("node", "_node")
+
+
+def similar_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+    blocks: int = 10,
+    distance: int = 240,
+) -> DataFrame:
+    """``id`` and ``component_id`` (smallest id reachable) of every input row.
+
+    Two texts are linked if their sets of distinct ``size``-word shingles have a Jaccard
+    similarity of ``similarity``. Blocks and Hamming distance only propose: a pair at exactly
+    0.8 shares one of ten blocks with probability 0.999, and about 87 of their 640 bits
+    differ (standard deviation 30). Each proposed link is confirmed on the sets.
+
+    Texts with the same set are one node, so thousands of copies cost one; null and empty
+    texts are one. A text with fewer words has one shingle of all of them. A null key is
+    never a component's id unless nothing else is in it. Keys are taken to identify rows.
+    """
+    stage = Staging(docs.sparkSession, "similar")
+    prints = stage.keep(set_fingerprints(docs, key, text, size, blocks), "prints")
+    own = [F.max(c).alias(c) for c in ("m", *[f"f{i}" for i in range(blocks)])]
+    nodes = stage.keep(prints.groupBy("node").agg(*own, F.min("id").alias("low")), "nodes")
+    ids = stage.keep(prints.select("id", "node"), "ids")
+    stage.drop(prints)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs, nodes, docs, key, text, size, similarity, stage)
+
+    parts = similar_components(nodes.drop("low"), blocks, distance, confirm, stage)
+    out = _labelled(ids, nodes, parts)
+    stage.drop(nodes, parts)
+    return out
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that stand for their near-duplicate class, all columns kept.
 
-    The row whose key is the class's smallest stays. ``classes`` comes from
-    ``near_duplicates`` over the same rows; keys are taken to identify rows. Rows that
-    share a key are one document and share its fate; rows with a null key stay.
+    The row whose key is the class's smallest stays. ``classes`` comes from an operator
+    above over the same rows; keys are taken to identify rows. Rows that share a key are one
+    document and share its fate; rows with a null key stay.
     """
-    gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone")).distinct()
+    rows = docs.select(whole(docs))
+    return rows.join(gone, F.col(f"row.`{key}`") == F.col("gone"), "left_anti").select("row.*")

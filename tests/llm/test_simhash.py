@@ -83,28 +83,67 @@ def test_chains_of_close_fingerprints_join(spark):
     assert [got[v] for v in signed] == [signed[r] for r in roots]
 
 
-def test_wide_components_equal_brute_force(spark):
-    # Walks of 1024-bit fingerprints: some steps stay within the distance, some go beyond.
+def brute_blocks(hashes, blocks):
+    """Majority of the three least mixed hashes of a set, block by block."""
+    out = []
+    for block in range(blocks):
+        mixed = simhash._mixed(np.array(sorted(hashes), np.uint64), block).tolist()
+        sample = sorted(mixed)[:3]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(z >> b & 1 for z in sample) > len(sample)))
+    return out
+
+
+def test_sampled_blocks_equal_brute_force():
+    rng = random.Random(6)
+    sets = [{rng.getrandbits(64) for _ in range(n)} for n in (0, 1, 2, 3, 4, 50, 0)]
+    got = simhash.sampled_blocks([np.array(sorted(s), np.uint64) for s in sets], 7)
+    assert got.tolist() == [brute_blocks(s, 7) for s in sets]
+
+
+def shingle_set(text):
+    words = (text or "").split()
+    n = min(5, len(words))
+    return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def test_similar_documents_equal_brute_force_jaccard(spark):
+    # Chains of edits: neighbours mostly lie above the threshold, far ones below.
     rng = random.Random(3)
-    values = []
-    for _ in range(4):
-        v = rng.getrandbits(1024)
-        for _ in range(25):
-            values.append(v)
-            for bit in rng.sample(range(1024), rng.choice([90, 150, 190])):
-                v ^= 1 << bit
-    split = [[simhash._signed((v >> 64 * i) % 2**64) for i in range(16)] for v in values]
-    frame = spark.createDataFrame(list(enumerate(split)), "node long, fp array<long>")
-    got = {r.node: r.component for r in simhash.components(frame, 166, 51, 1, 16).collect()}
-    masks = simhash.block_masks(51, 1, 1024)
-    first = 2**128 - 1
-    close = []
-    for a, b in combinations(range(len(values)), 2):
-        x = values[a] ^ values[b]
-        if x.bit_count() <= 166 and (x & first).bit_count() <= 48 and any(not x & m for m in masks):
-            close.append((a, b))
-    assert close
-    assert [got[i] for i in range(len(values))] == union_find(len(values), close)
+    texts = [None, "", " \n", "one two", "one two", "a b c d e", "x " * 50_000]
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 300))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    names = ("node", "a", "b", "gone", "m", "low", "part", "component", "f0", "id", "row")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = frame.select("*", *[F.lit("own").alias(c) for c in names])
+    classes = simhash.similar_documents(frame)
+    got = {r.id: r.component_id for r in classes.collect()}
+    sets = [shingle_set(t) for t in texts]
+    close = [
+        (a, b)
+        for a, b in combinations(range(len(texts)), 2)
+        if sets[a] == sets[b] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    ]
+    want = union_find(len(texts), close)
+    assert len(set(want)) < len(texts) - 40
+    assert [got[i] for i in range(len(texts))] == want
+    left = simhash.one_of_each(frame, classes)
+    assert left.columns == frame.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want))
+
+
+def test_similar_documents_of_odd_keys_and_empty_tables(spark):
+    rows = [(None, "p q r s t u"), (None, "p q r s t u"), (4, "p q r s t u"), (4, "p q r s t u"), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = simhash.similar_documents(frame)
+    got = sorted((tuple(r) for r in classes.collect()), key=repr)
+    assert got == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (7, 7)], key=repr)
+    assert simhash.one_of_each(frame, classes).count() == 5
+    assert simhash.similar_documents(frame.where("doc_id > 9")).count() == 0
 
 
 def test_long_texts_overflow_no_lane():
@@ -113,22 +152,6 @@ def test_long_texts_overflow_no_lane():
     assert counts.tolist() == [[200_000] * 64, [1] * 64]
 
 
-def test_wide_fingerprints_find_similar_texts(spark):
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(5000)]
-    rows = []
-    for g in range(20):
-        base = [rng.choice(words) for _ in range(300)]
-        copy = list(base)
-        for _ in range(4):
-            copy[rng.randrange(300)] = rng.choice(words)
-        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    classes = simhash.near_duplicates(frame, size=5, distance=166, blocks=51, together=1, lanes=16)
-    assert {r.id: r.component_id for r in classes.collect()} == {i: i - i % 2 for i in range(40)}
-    assert sorted(r.doc_id for r in simhash.one_of_each(frame, classes).collect()) == list(range(0, 40, 2))
-
-
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(frame).count() == 0
