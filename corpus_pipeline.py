@@ -10,48 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, mixing, quality, secrets, simhash
-from sluice.llm.common import keep, table, where_made
+from sluice.llm.common import Staging, table, where_made
 from sluice.session import configure
 
-# Near duplicates share 0.8 of their distinct five-word shingles or more. Two texts at exactly
-# 0.8 differ in about 15% of their fingerprint's bits: of 64 blocks of 16 bits they share one
-# with probability 0.991, and 155 of 1024 bits differ with a standard deviation of 11.5, so
-# 200 bits lose one pair in 20,000. Both only propose links; the sets of shingles decide.
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-LANES = 16
-BLOCKS = 64
-DISTANCE = 200
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither a base rule nor the likelihood ratio rejects."""
+    """Documents that neither a base rule nor the likelihood ratio rejects.
+
+    Null and empty texts go, as they have fewer than 50 words. Repeated rows are judged each on
+    their own text.
+    """
     trusted = quality.trusted_rows(table(spark, sf_dir, "labels"))
     return where_made(quality.quality_rules(docs, trusted), "kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate class."""
+    """The document with the smallest id of every near-duplicate class.
+
+    Near duplicates share 0.8 of their distinct five-word shingles or more. Null and empty texts
+    are one class; rows with a null id stay, and rows that share an id share their fate.
+    """
     configure(spark)
-    classes = simhash.near_duplicates(
-        docs,
-        size=SHINGLE_WORDS,
-        distance=DISTANCE,
-        blocks=BLOCKS,
-        together=1,
-        lanes=LANES,
-        similarity=SIMILARITY,
-    )
-    return simhash.one_of_each(docs, classes)
+    return simhash.one_of_each(docs, simhash.similar_documents(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents of which less than a twentieth is benchmark text. Texts without words stay."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets found in their texts masked and sizes adjusted."""
+    """All documents, with the secrets found in their texts masked and sizes adjusted.
+
+    Null texts stay null, and their size too.
+    """
     configure(spark)
     masked = secrets.redact(docs)
     if "n_chars" in docs.columns:
@@ -60,7 +51,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with how many words it takes of each."""
+    """Documents of the mix, with how many words it takes of each.
+
+    Adds ``size``, ``source_size``, ``target`` and ``taken``, which replace columns of the input
+    that have these names. Texts without words are not in the mix.
+    """
     configure(spark)
     mixed = mixing.mix(docs, carry_text=True).where("taken > 0")
     own = ("size", "source_size", "target", "taken")
@@ -80,8 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written before the next one reads it.
+
+    A stage's table is deleted once the next one is written.
+    """
+    docs, staging, before = table(spark, sf_dir, "documents"), Staging(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = staging.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        staging.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
