@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Staging, keep, whole
@@ -183,10 +183,7 @@ def _in_chunks(texts: list, size: int) -> Iterator[list[np.ndarray]]:
 
 
 def set_fingerprints(docs: DataFrame, key: str, text: str, size: int, blocks: int) -> DataFrame:
-    """``id``, ``node``, ``m`` and the blocks ``f0`` ... of every row's set of shingles.
-
-    ``node`` is a 128-bit name of the set of distinct shingles and ``m`` its size.
-    """
+    """``id``, ``node`` (a 128-bit name) and the blocks ``f0`` ... of every row's set of shingles."""
     kind = docs.schema[key].dataType.simpleString()
     names = [f"f{i}" for i in range(blocks)]
 
@@ -195,34 +192,24 @@ def set_fingerprints(docs: DataFrame, key: str, text: str, size: int, blocks: in
             at = 0
             for sets in _in_chunks(batch.column(1).to_pylist(), size):
                 fps = sampled_blocks(sets, blocks).view(np.int64)
-                sizes = pa.array([len(s) for s in sets], pa.int32())
-                columns = [batch.column(0).slice(at, len(sets)), _set_names(sets), sizes]
+                columns = [batch.column(0).slice(at, len(sets)), _set_names(sets)]
                 columns += [pa.array(fps[:, i]) for i in range(blocks)]
                 at += len(sets)
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "m", *names])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "node", *names])
 
     slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     made = ", ".join(f"{n} bigint" for n in names)
-    return slim.mapInArrow(run, f"id {kind}, node binary, m int, {made}")
+    return slim.mapInArrow(run, f"id {kind}, node binary, {made}")
 
 
-def confirmed(
-    pairs: DataFrame,
-    nodes: DataFrame,
-    docs: DataFrame,
-    key: str,
-    text: str,
-    size: int,
-    least: float,
-    stage: Staging,
+def shingle_sets(
+    ends: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int
 ) -> DataFrame:
-    """Pairs ``a``, ``b`` of nodes whose sets of shingles have a Jaccard similarity of ``least``.
+    """``node`` and ``s``, the sorted hashes of its set of shingles, of the given nodes.
 
-    The sets are made again from the texts, and only of nodes in a pair. ``nodes`` gives a
-    row's key (``low``) for each node; further rows with that key do no harm. ``pairs`` is a
-    written table.
+    The sets are made again from the texts, and only of these nodes. ``nodes`` gives a row's key
+    (``low``) for each node; further rows with that key do no harm.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(ends, "node", "left_semi").select(F.col("low").alias("_low"))
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text"))
     texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_low")), "left_semi").select("text")
@@ -236,16 +223,14 @@ def confirmed(
                 yield pa.RecordBatch.from_arrays([_set_names(sets), lists], names=["node", "s"])
 
     sets = texts.mapInArrow(run, "node binary, s array<bigint>")
-    sets = stage.keep(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), common.alias("common"))
-    both = both.where(F.col("common") / (F.col("total") - F.col("common")) >= least)
-    found = stage.keep(both.select("a", "b"), "links")
-    stage.drop(sets)
-    return found
+    return sets.join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _alike(a: str, b: str, least: float) -> Column:
+    """Whether two sets have a Jaccard similarity of ``least``; their sizes are looked at first."""
+    m, n = F.size(a), F.size(b)
+    common = F.size(F.array_intersect(a, b))
+    return (F.least(m, n) >= F.greatest(m, n) * (least - 1e-9)) & (common / (m + n - common) >= least)
 
 
 def block_masks(blocks: int, together: int) -> list[int]:
@@ -315,15 +300,20 @@ def _joined(rough: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def similar_components(
-    nodes: DataFrame, blocks: int, distance: int, confirm: Callable[[DataFrame], DataFrame], stage: Staging
+    nodes: DataFrame,
+    blocks: int,
+    distance: int,
+    similarity: float,
+    sets_of: Callable[[DataFrame], DataFrame],
+    stage: Staging,
 ) -> DataFrame:
-    """``node`` and ``component`` of distinct sets, linked where ``confirm`` says so.
+    """``node`` and ``component`` of distinct sets, linked from a Jaccard ``similarity`` on.
 
-    ``nodes`` has ``node``, ``m`` and the blocks. As in ``components``, stars come first: each
-    node asks for the closest leader of its buckets. Then all pairs of a bucket in different
-    components come up; only buckets that hold several components carry whole fingerprints.
-    A pair within ``distance`` differing bits is a candidate, and ``confirm`` keeps the true
-    ones of a written table of them.
+    ``nodes`` has ``node`` and the blocks; ``sets_of`` gives the sets of a table of nodes. As in
+    ``components``, stars come first: each node asks for the closest leader of its buckets. Then
+    all pairs of a bucket in different components are compared; only buckets that hold several
+    components carry fingerprints and sets. That join itself checks the Hamming distance and then
+    the sets, so texts that are almost similar enough make no rows, however many they are.
     """
     words = [f"f{i}" for i in range(blocks)]
     deal = lambda df, *more: df.select(
@@ -341,18 +331,23 @@ def similar_components(
     near = star.join(left, "a").join(right, "b").select("a", "b", d.alias("d")).where(F.col("d") <= distance)
     near = stage.keep(near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")), "near")
     stage.drop(first, star)
-    links = confirm(near)
-    rough = nodes.join(connected_components(links), "node", "left")
-    rough = stage.keep(rough.withColumn("part", F.coalesce("component", "node")).drop("component"), "parts")
-    stage.drop(near, links)
+    sets = stage.keep(sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    links = near.join(left, "a").join(right, "b").where(_alike("sa", "sb", similarity)).select("a", "b")
+    links = connected_components(links)
+    rough = nodes.join(links, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    rough = stage.keep(rough.drop("component"), "parts")
+    stage.drop(near, sets)
 
     dealt = deal(rough, "part")
     mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     mixed = mixed.where("low < high").select("n", "k")
     met = stage.keep(dealt.join(mixed, ["n", "k"], "left_semi"), "met")
-    met = met.join(rough.select("node", "m", *words), "node")
-    side = lambda end: met.select(
-        *[F.col(c).alias(f"{c}_{end}") for c in ("node", "part", "n", "k", "m", *words)]
+    sets = stage.keep(sets_of(met.select("node").distinct()), "sets")
+    full = met.join(rough.select("node", *words).join(sets, "node"), "node")
+    side = lambda end: full.select(
+        *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "k", *words, "s")]
     )
     apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words)
     across = side("a").join(
@@ -360,16 +355,12 @@ def similar_components(
         (F.col("n_a") == F.col("n_b"))
         & (F.col("k_a") == F.col("k_b"))
         & (F.col("part_a") < F.col("part_b"))
-        & (apart <= distance),
+        & (apart <= distance)
+        & _alike("s_a", "s_b", similarity),
     )
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    across = stage.keep(across, "across")
-    found = confirm(across)
-    at = lambda end: rough.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-    ends = found.join(at("a"), "a").join(at("b"), "b").select("part_a", "part_b")
-    merged = connected_components(ends, "part_a", "part_b")
+    merged = connected_components(across.select("part_a", "part_b").distinct(), "part_a", "part_b")
     out = stage.keep(_joined(rough.select("node", "part"), merged), "components")
-    stage.drop(rough, met, across, found)
+    stage.drop(rough, met, sets)
     return out
 
 
@@ -421,7 +412,8 @@ def similar_documents(
     Two texts are linked if their sets of distinct ``size``-word shingles have a Jaccard
     similarity of ``similarity``. Blocks and Hamming distance only propose: a pair at exactly
     0.8 shares one of ten blocks with probability 0.999, and about 87 of their 640 bits
-    differ (standard deviation 30). Each proposed link is confirmed on the sets.
+    differ (standard deviation 30). Each proposed link is confirmed on the sets. A group of g
+    texts just below the threshold still costs g * g comparisons within its buckets.
 
     Texts with the same set are one node, so thousands of copies cost one; null and empty
     texts are one. A text with fewer words has one shingle of all of them. A null key is
@@ -429,15 +421,15 @@ def similar_documents(
     """
     stage = Staging(docs.sparkSession, "similar")
     prints = stage.keep(set_fingerprints(docs, key, text, size, blocks), "prints")
-    own = [F.max(c).alias(c) for c in ("m", *[f"f{i}" for i in range(blocks)])]
+    own = [F.max(f"f{i}").alias(f"f{i}") for i in range(blocks)]
     nodes = stage.keep(prints.groupBy("node").agg(*own, F.min("id").alias("low")), "nodes")
     ids = stage.keep(prints.select("id", "node"), "ids")
     stage.drop(prints)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs, nodes, docs, key, text, size, similarity, stage)
+    def sets_of(ends: DataFrame) -> DataFrame:
+        return shingle_sets(ends, nodes, docs, key, text, size)
 
-    parts = similar_components(nodes.drop("low"), blocks, distance, confirm, stage)
+    parts = similar_components(nodes.drop("low"), blocks, distance, similarity, sets_of, stage)
     out = _labelled(ids, nodes, parts)
     stage.drop(nodes, parts)
     return out
