@@ -16,7 +16,9 @@ own sample of three shingles instead: close sets often have a whole sample, and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -350,12 +352,15 @@ def similar_components(
         *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "k", *words, "s")]
     )
     apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words)
+    # A pair that shares several blocks is looked at in the first of them only.
+    earlier = [(F.col("n_a") > i) & (F.col(f"{w}_a") == F.col(f"{w}_b")) for i, w in enumerate(words)]
     across = side("a").join(
         side("b"),
         (F.col("n_a") == F.col("n_b"))
         & (F.col("k_a") == F.col("k_b"))
         & (F.col("part_a") < F.col("part_b"))
         & (apart <= distance)
+        & ~reduce(or_, earlier)
         & _alike("s_a", "s_b", similarity),
     )
     merged = connected_components(across.select("part_a", "part_b").distinct(), "part_a", "part_b")
