@@ -103,17 +103,12 @@ def classify_orders(df: DataFrame) -> DataFrame:
     return _apply(mark_duplicates(df), rules).drop("_duplicate")
 
 
-def classify_payments(df: DataFrame, accepted_orders: DataFrame) -> DataFrame:
-    """Orphan test first; it needs the accepted orders.
-
-    Orphans may all name one order id. Both sides are plain shuffles, so AQE splits it.
-    """
-    known = accepted_orders.select("order_id", F.lit(True).alias("_known"))
-    marked = df.join(known, "order_id", "left")
-    rules: list[Rule] = [
+def payment_rules(known: Column) -> list[Rule]:
+    """Three rules in order; the first asks for ``known``, whether the order was accepted."""
+    return [
         (
             "orphan_payment",
-            F.col("_known").isNull(),
+            ~known,
             F.concat(
                 F.lit("order_id "),
                 shown(F.col("order_id")),
@@ -131,10 +126,24 @@ def classify_payments(df: DataFrame, accepted_orders: DataFrame) -> DataFrame:
             F.concat(F.lit("status "), quoted("status"), F.lit(" not in known PAYMENT_STATUSES")),
         ),
     ]
-    out = _apply(marked, rules).drop("_known")
+
+
+def classify_payments(df: DataFrame, accepted_orders: DataFrame) -> DataFrame:
+    """Orphan test first; it needs the accepted orders.
+
+    Orphans may all name one order id. Both sides are plain shuffles, so AQE splits it.
+    """
+    known = accepted_orders.select("order_id", F.lit(True).alias("_known"))
+    marked = df.join(known, "order_id", "left")
+    out = _apply(marked, payment_rules(F.col("_known").isNotNull())).drop("_known")
     return out.select(*df.columns, "reject_rule", "reject_reason")
 
 
+def judged_payments(marked: DataFrame, known: str) -> DataFrame:
+    """Verdicts of payments on which a join has left ``known``, NULL without an order."""
+    return _apply(marked, payment_rules(F.col(known).isNotNull()))
+
+
 def late_flag() -> Column:
     """More than seven calendar-day boundaries between the event and its ingest."""
     return days_between("_ingested_at", "ordered_at") > LATE_DAYS

@@ -103,6 +103,21 @@ def minute_counts(df: DataFrame, ts_col: str) -> DataFrame:
     )
 
 
+def _spike(stats: DataFrame, factor: int, floor: int) -> DataFrame:
+    """The finding from total rows, latest and median minute, and number of minutes."""
+    limit = F.greatest(F.col("median_minute_rows") * factor, F.lit(float(floor)))
+    return stats.select(
+        F.lit("volume_spike").alias("failure_key"),
+        (F.col("latest_minute_rows") > limit).alias("found"),
+        F.col("latest_minute_rows").alias("count"),
+        F.lit(EXPECTED_SURFACE["volume_spike"]).alias("evidence_surface"),
+        "total_rows",
+        "latest_minute_rows",
+        "median_minute_rows",
+        "minutes_observed",
+    )
+
+
 def spike_test(
     minutes: DataFrame, factor: int = SPIKE_FACTOR, floor: int = SPIKE_FLOOR
 ) -> DataFrame:
@@ -116,17 +131,23 @@ def spike_test(
         F.coalesce(F.median("rows"), F.lit(0.0)).alias("median_minute_rows"),
         F.count("*").alias("minutes_observed"),
     )
-    limit = F.greatest(F.col("median_minute_rows") * factor, F.lit(float(floor)))
-    return stats.select(
-        F.lit("volume_spike").alias("failure_key"),
-        (F.col("latest_minute_rows") > limit).alias("found"),
-        F.col("latest_minute_rows").alias("count"),
-        F.lit(EXPECTED_SURFACE["volume_spike"]).alias("evidence_surface"),
-        "total_rows",
-        "latest_minute_rows",
-        "median_minute_rows",
-        "minutes_observed",
+    return _spike(stats, factor, floor)
+
+
+def spike_from_histogram(
+    histogram: DataFrame, latest: DataFrame, factor: int = SPIKE_FACTOR, floor: int = SPIKE_FLOOR
+) -> DataFrame:
+    """The same from how many ``minutes`` have how many ``rows``, and the latest minute's row.
+
+    The exact median comes from the counts of counts: no minute is read.
+    """
+    newest = latest.agg(F.max("rows").alias("rows")).scalar()
+    stats = histogram.agg(
+        F.coalesce(F.sum(F.col("rows") * F.col("minutes")), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.percentile("rows", 0.5, F.col("minutes")), F.lit(0.0)).alias("median_minute_rows"),
+        F.coalesce(F.sum("minutes"), F.lit(0)).alias("minutes_observed"),
     )
+    return _spike(stats.withColumn("latest_minute_rows", F.coalesce(newest, F.lit(0))), factor, floor)
 
 
 def volume_spike(

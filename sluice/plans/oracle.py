@@ -943,6 +943,10 @@ FINALS: dict[str, str] = {
     "stream_incident_route": """SELECT make_timestamp(window_id * 600000000) AS window_start, route,
       array_to_string(keys, ',') AS failure_keys, incidents,
       CASE WHEN route = 'base' THEN last_key END AS dispatch_key FROM routed WHERE incidents > 0""",
+    "stream_volume_spike": """SELECT 'volume_spike' AS failure_key, latest > greatest(med * 10, 200) AS found,
+      latest AS count, 'silver_orders.count' AS evidence_surface, total_rows, latest AS latest_minute_rows,
+      med AS median_minute_rows, minutes AS minutes_observed FROM spike""",
+    "stream_payments": "SELECT payment_id, reject_rule, reject_reason FROM cls_payments",
     "stream_minute_volume": """SELECT date_trunc('minute', ts) AS minute, count(*) AS rows FROM events GROUP BY 1""",
 }
 

@@ -35,7 +35,7 @@ from sluice.schemas import (
     PAYMENT_STATUSES,
 )
 from sluice.session import configure, scratch_dir
-from sluice.sources.layers import EPOCH, LayerStore, RunLog
+from sluice.sources.layers import EPOCH, LayerStore, PartitionedTable, RunLog, key_range
 from sluice.sources.readers import (
     drift_by_file,
     read_all_names,
@@ -45,11 +45,13 @@ from sluice.sources.readers import (
     with_arrival,
 )
 from sluice.sources.retail import Retail, derive_ledger, derive_orders
-from sluice.streaming import jobs
+from sluice.streaming import jobs, payments, volumes
 
 # Where the second ingest run starts, as its first run left it.
 PRIOR_TS = "1999-01-01 00:00:00"
 LEDGER_SINCE = "2024-01-15 00:00:00"
+# Where the first drop of a streamed table ends.
+STREAM_CUT = "1998-01-01 00:00:00"
 
 
 class Lake:
@@ -551,6 +553,61 @@ def stream_minute_volume(lake: Lake) -> DataFrame:
     return jobs.read_windows(lake.spark, f"{root}/table", "minute")
 
 
+def _drop(path: str, rows: DataFrame) -> None:
+    """One more file of a folder that a stream reads file by file."""
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def _drops(lake: Lake, path: str, like: DataFrame) -> DataFrame:
+    stream = lake.spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(path)
+
+
+def stream_volume_spike(lake: Lake) -> DataFrame:
+    """Accepted orders in two drops, the spike test after the second."""
+    root = scratch_dir(lake.spark, "stream-spike")
+    rows = lake.tables.share("orders").silver("orders").select("ordered_at")
+    for part in (F.col("ordered_at") < ts(STREAM_CUT), F.col("ordered_at") >= ts(STREAM_CUT)):
+        _drop(f"{root}/source", rows.where(part))
+    found = volumes.MinuteVolumes(lake.spark, root, grain="month")
+    counts = jobs.stream_minute_counts(_drops(lake, f"{root}/source", rows), "ordered_at")
+    volumes.stream_volumes(counts, found, f"{root}/checkpoint").awaitTermination()
+    return found.spike()
+
+
+def stream_payments(lake: Lake) -> DataFrame:
+    """Payments and accepted orders as two streams of three drops.
+
+    Every fifth early order comes one drop after its payments. The third drop is a marker
+    beyond all times, which makes the verdicts of all orphans final.
+    """
+    root = scratch_dir(lake.spark, "stream-payments")
+    paid = lake.tables.bronze("payments").select(*ENTITIES["payments"].column_names, "_ingested_at")
+    orders = lake.tables.share("orders").silver("orders").select("order_id", "ordered_at")
+    early_payment = F.coalesce("paid_at", "_ingested_at") < ts(STREAM_CUT)
+    early_order = (F.col("ordered_at") < ts(STREAM_CUT)) & (F.col("order_id") % 5 != 0)
+    marker = lambda df, time: lake.spark.range(1).select(
+        *[(ts("2100-01-01") if n == time else F.lit(None)).cast(k).alias(n) for n, k in df.dtypes]
+    )
+    for part in (early_payment, ~early_payment):
+        _drop(f"{root}/payments", paid.where(part))
+    for part in (early_order, ~early_order):
+        _drop(f"{root}/orders", orders.where(part))
+    _drop(f"{root}/payments", marker(paid, "paid_at"))
+    _drop(f"{root}/orders", marker(orders, "ordered_at"))
+    verdicts = payments.stream_payment_verdicts(
+        _drops(lake, f"{root}/payments", paid),
+        _drops(lake, f"{root}/orders", orders),
+        # In the given tables orders and shipping dates lie up to seven years apart.
+        delay="3000 days",
+        reach="2600 days",
+        ahead="2600 days",
+    )
+    table = PartitionedTable(lake.spark, f"{root}/verdicts", key_range("payment_id"))
+    payments.keep_verdicts(verdicts, table, f"{root}/checkpoint").awaitTermination()
+    return table.rows().select("payment_id", "reject_rule", "reject_reason")
+
+
 def _as_of(lake: Lake) -> str:
     """Newest order time: one scalar."""
     newest = lake.src.source("orders").agg(F.max("ordered_at").cast("string"))
@@ -691,6 +748,8 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "stream_ingest": stream_ingest,
     "stream_incident_route": stream_incident_route,
     "stream_minute_volume": stream_minute_volume,
+    "stream_volume_spike": stream_volume_spike,
+    "stream_payments": stream_payments,
 }
 
 

@@ -119,8 +119,11 @@ class PartitionedTable:
         return sorted(found)
 
     def rows(self, parts: Sequence[int] | None = None) -> DataFrame | None:
-        """The table or some parts of it; None before its first write."""
-        if not exists(self.spark, self.path):
+        """The table or some parts of it; None before its first row was written."""
+        files, home = _file_system(self.spark, self.path)
+        if not files.exists(home):
+            return None
+        if not any(f.getPath().getName().startswith("_part=") for f in files.listStatus(home)):
             return None
         found = self.spark.read.parquet(self.path)
         if parts is not None:
