@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import strip
-from sluice.operators.ledger import window_keys
+from sluice.operators.ledger import keys_in_spans, window_keys
 from sluice.schemas import ALIASES, CASCADE_KEY, EXPECTED_SURFACE
 
 # --- fixed values: the rubric -----------------------------------------------------
@@ -25,9 +25,31 @@ def grade(diagnoses: DataFrame, ledger: DataFrame, window_col: str) -> DataFrame
     cascade is graded as a cascade even where the ledger holds none, so it earns at
     least the base score.
     """
-    truth = window_keys(ledger, window_col).select(
-        F.col(window_col).alias("_w"), "keys", "last_key", "incidents"
-    )
+    return grade_against(diagnoses, window_keys(ledger, window_col), window_col)
+
+
+def grade_by_range(
+    diagnoses: DataFrame,
+    ledger: DataFrame,
+    window_col: str,
+    start: str,
+    end: str,
+    cell_s: int = 600,
+) -> DataFrame:
+    """Grades where a window is a span of time, ``start`` included and ``end`` not.
+
+    ``window_col`` names each diagnosis; spans may overlap, nest or have any length. A
+    span without incidents, an empty or reversed one and one with a NULL end is
+    ``no-run``.
+    """
+    spans = diagnoses.select(window_col, start, end)
+    truth = keys_in_spans(spans, ledger, window_col, start, end, cell_s)
+    return grade_against(diagnoses, truth, window_col)
+
+
+def grade_against(diagnoses: DataFrame, found: DataFrame, window_col: str) -> DataFrame:
+    """Grades against what each window holds: keys, last key and number of incidents."""
+    truth = found.select(F.col(window_col).alias("_w"), "keys", "last_key", "incidents")
     d = diagnoses.join(truth, F.col(window_col) == F.col("_w"), "left")
 
     claimed, last = F.col("failure_key"), F.col("last_key")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import ensure_checkpointing
+
 WORD = "[a-z0-9_]+"
+# Rarest words of a text that give the first candidates of the search without look-back.
+SEEDS = 3
 
 
 def recent_history(history: DataFrame, recent: int) -> DataFrame:
@@ -78,6 +82,103 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
     )
 
 
+def similar_topk_whole(
+    queries: DataFrame, history: DataFrame, k: int = 3, min_score: float = 0.0
+) -> DataFrame:
+    """The ``k`` most similar incidents of each (query_id, text) in the whole history.
+
+    Same similarity, ties and result as ``similar_topk``, without a look-back; only
+    incidents with at least ``min_score`` count. ``query_id`` and ``incident_id`` are
+    unique.
+
+    A prefix-filtered join, exact for any texts. Words are ordered from rare to
+    frequent. Incidents that share one of a text's ``SEEDS`` rarest words are scored
+    first; the k-th best of them bounds what a better one must reach. Sets of n and m
+    words with that similarity overlap in at least ``need`` words, so they share one
+    among their first n - need + 1 and m - need + 1: frequent words meet only where
+    the bound is weak. Every pair left is checked on the whole sets.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    ensure_checkpointing(queries.sparkSession)
+    label = F.concat_ws(" ", "failure_key", F.coalesce("detail", F.lit("")))
+    past = history.select("incident_id", "failure_key", "injected_at", tokens(label).alias("words"))
+    frequency = past.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+    def rare_first(texts: DataFrame, key: str) -> DataFrame:
+        """Words the history knows with their place; unknown ones are rarer than all."""
+        known = (
+            texts.select(key, F.size("words").alias("size"), F.explode("words").alias("word"))
+            .join(frequency, "word")
+            .groupBy(key, "size")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+        )
+        return known.select(key, "size", F.col("ranked.word").alias("known")).checkpoint()
+
+    asked = queries.where(F.col("text").isNotNull()).select("query_id", tokens(F.col("text")).alias("words"))
+    asked = rare_first(asked, "query_id")
+    found = rare_first(past, "incident_id").join(past.drop("words"), "incident_id").checkpoint()
+
+    def placed(rows: DataFrame, *keys: str) -> DataFrame:
+        places = rows.select(*keys, "size", "known", F.posexplode("known").alias("at", "word"))
+        return places.withColumn("at", F.col("at") + F.col("size") - F.size("known")).drop("known")
+
+    postings = placed(found, "incident_id").withColumnsRenamed({"size": "m", "at": "past_at"})
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Exact scores, the ``k`` best of each text."""
+        sides = pairs.join(asked.withColumnsRenamed({"size": "n", "known": "mine"}), "query_id").join(
+            found.withColumnsRenamed({"size": "m", "known": "theirs"}), "incident_id"
+        )
+        overlap = F.size(F.array_intersect("mine", "theirs")).cast("bigint")
+        scored = sides.withColumn("overlap", overlap).select(
+            "query_id",
+            "incident_id",
+            "failure_key",
+            "injected_at",
+            "overlap",
+            (F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap"))).alias("score"),
+        )
+        order = Window.partitionBy("query_id").orderBy(
+            F.desc("score"), F.desc("injected_at"), F.desc("incident_id")
+        )
+        enough = scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(order))
+        return enough.where(F.col("rank") <= k)
+
+    # The rarest words that the history knows.
+    seeds = asked.select("query_id", F.explode(F.slice("known", 1, SEEDS)).alias("word"))
+    first = checked(seeds.join(postings, "word").select("query_id", "incident_id").distinct())
+    reached = first.groupBy("query_id").agg(
+        F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(min_score)).alias("bound")
+    )
+    bounded = asked.join(reached, "query_id", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float(min_score)))
+    )
+    bounded = bounded.checkpoint()
+
+    def need(size: Column) -> Column:
+        # A little slack for rounding: a smaller need only lengthens the prefix.
+        return F.ceil(size - F.lit(1e-9))
+
+    # The shortest need, that of an incident with as few words as the bound allows,
+    # cuts the text's words before the join; the pair's own need inside it.
+    least = F.greatest(F.lit(1), need(F.col("bound") * F.col("size")))
+    mine = placed(bounded.withColumn("least", least), "query_id", "bound", "least")
+    mine = mine.where(F.col("at") <= F.col("size") - F.col("least"))
+    both = F.greatest(
+        F.lit(1), need(F.col("bound") / (1 + F.col("bound")) * (F.col("size") + F.col("m")))
+    )
+    pairs = (
+        mine.join(postings, "word")
+        .where(F.col("m") >= F.col("bound") * F.col("size") - 1e-9)
+        .where(F.col("m") * F.col("bound") <= F.col("size") + 1e-9)
+        .where((F.col("at") <= F.col("size") - both) & (F.col("past_at") <= F.col("m") - both))
+        .select("query_id", "incident_id")
+        .distinct()
+    )
+    return checked(pairs).select("query_id", "rank", "incident_id", "failure_key", "overlap", "score")
+
+
 def recurrence(queries: DataFrame, history: DataFrame, recent: int = 200) -> DataFrame:
     """How often the best match's failure key occurs in the recent history."""
     best = similar_topk(queries, history, 1, recent).select("query_id", "failure_key", "score")

@@ -64,6 +64,53 @@ def window_keys(ledger: DataFrame, window_col: str) -> DataFrame:
     )
 
 
+def keys_in_spans(
+    spans: DataFrame, ledger: DataFrame, span_col: str, start: str, end: str, cell_s: int = 600
+) -> DataFrame:
+    """What ``window_keys`` returns, for spans of time: ``start`` included, ``end`` not.
+
+    An interval join by cells of time. A span covers whole cells and at most two in
+    part. For whole cells it meets one summary per cell and key instead of the
+    incidents; only in its outer cells does it meet single incidents. Spans without an
+    incident are left out. ``cell_s`` should be near the length of a usual span; a long
+    one is dealt out over its cells.
+    """
+    if cell_s < 1:
+        raise ValueError("cell_s must be at least 1")
+
+    def cell(micros: Column) -> Column:
+        return F.floor(micros / F.lit(cell_s * 1_000_000)).cast("bigint")
+
+    begin, stop = F.unix_micros(start), F.unix_micros(end)
+    covered = spans.where(begin < stop).select(
+        F.col(span_col),
+        begin.alias("_begin"),
+        stop.alias("_stop"),
+        F.explode(F.sequence(cell(begin), cell(stop - 1))).alias("_cell"),
+    )
+    width = F.lit(cell_s * 1_000_000)
+    whole = (F.col("_begin") <= F.col("_cell") * width) & ((F.col("_cell") + 1) * width <= F.col("_stop"))
+
+    at = F.unix_micros("injected_at")
+    last = F.struct("injected_at", "incident_id")
+    incidents = ledger.select("failure_key", last.alias("_last"), at.alias("_at"), cell(at).alias("_cell"))
+    by_cell = incidents.groupBy("_cell", "failure_key").agg(
+        F.max("_last").alias("_last"), F.count("*").alias("_n")
+    )
+    inner = covered.where(whole).join(by_cell, "_cell").select(span_col, "failure_key", "_last", "_n")
+    outer = (
+        covered.where(~whole)
+        .join(incidents, "_cell")
+        .where((F.col("_at") >= F.col("_begin")) & (F.col("_at") < F.col("_stop")))
+        .select(span_col, "failure_key", "_last", F.lit(1).cast("bigint").alias("_n"))
+    )
+    return inner.unionByName(outer).groupBy(span_col).agg(
+        F.array_sort(F.collect_set("failure_key")).alias("keys"),
+        F.max_by("failure_key", "_last").alias("last_key"),
+        F.sum("_n").alias("incidents"),
+    )
+
+
 def route(keys: Column, incidents: Column) -> Column:
     """Cascade if the window names one or holds several distinct keys."""
     cascade = F.array_contains(keys, CASCADE_KEY) | (F.size(keys) > 1)

@@ -39,6 +39,37 @@ def parse_failures(lines: DataFrame) -> DataFrame:
     )
 
 
+def failure_fields(lines: DataFrame) -> DataFrame:
+    """Failure lines with every ``name=value`` before ``error=`` as a map.
+
+    The last assignment of a name wins; a word without ``=`` is no field. Lines without any field and without an error are left out.
+    """
+    tail = strip(F.regexp_extract("line", f"{FAILURE_LINE_PREFIX}(.*)$", 1))
+    has_error = F.col("_tail").contains("error=")
+    head = F.when(has_error, F.regexp_extract("_tail", "^(.*?)error=", 1)).otherwise(F.col("_tail"))
+    words = F.filter(F.split("_head", r"\s+"), lambda w: F.instr(w, "=") > 0)
+
+    def name(word: Column) -> Column:
+        return F.substring_index(word, "=", 1)
+
+    def value(key: Column) -> Column:
+        last = F.element_at(F.filter("_words", lambda w: name(w) == key), -1)
+        return F.substring(last, F.length(key) + 2, F.length(last))
+
+    found = (
+        lines.where(F.col("line").contains(FAILURE_LINE_PREFIX))
+        .withColumn("_tail", tail)
+        .withColumn("_head", head)
+        .withColumn("_words", words)
+        .withColumn("_names", F.array_distinct(F.transform("_words", name)))
+    )
+    return found.select(
+        "seq",
+        F.map_from_arrays("_names", F.transform("_names", value)).alias("fields"),
+        F.when(has_error, strip(F.regexp_extract("_tail", "error=(.*)$", 1))).alias("error"),
+    ).where((F.size("fields") > 0) | F.col("error").isNotNull())
+
+
 def log_failures(lines: DataFrame, run_id: str = "latest") -> DataFrame:
     """One record and the number of matching failures.
 
@@ -80,6 +111,40 @@ def run_result_failures(documents: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def run_result_summary(documents: DataFrame, body: str = "body") -> DataFrame:
+    """One row per run-result document of any shape.
+
+    ``parsed`` is false where the text is no JSON object. ``results`` that are missing
+    or no list count as none. A result that is no object is a node without id and
+    status; it counts in ``total_nodes`` and does not fail. ``failed_nodes`` holds
+    (node, status, message) in the document's order; ``found`` says it has any.
+    """
+    doc = F.try_parse_json(F.col(body))
+    kept = [c for c in documents.columns if c != body]
+    results = F.coalesce(
+        F.try_variant_get("_doc", "$.results", "array<variant>"), F.array().cast("array<variant>")
+    )
+    is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
+
+    def node(result: Column) -> Column:
+        text = lambda path: F.try_variant_get(result, path, "string")
+        return F.struct(
+            F.coalesce(text("$.unique_id"), F.lit("<unknown>")).alias("node"),
+            F.lower(F.coalesce(text("$.status"), F.lit(""))).alias("status"),
+            F.coalesce(text("$.message"), F.lit("")).alias("message"),
+        )
+
+    read = documents.withColumn("_doc", doc).withColumn("_results", results)
+    nodes = F.transform("_results", node)
+    failed = F.filter(nodes, lambda n: n["status"].isin(*FAILED_NODE_STATUSES))
+    return read.select(
+        *kept,
+        is_object.alias("parsed"),
+        F.size("_results").alias("total_nodes"),
+        failed.alias("failed_nodes"),
+    ).withColumn("found", F.size("failed_nodes") > 0)
+
+
 def validate_text(reports: DataFrame) -> DataFrame:
     """Accept or refuse each report; the first failing check gives the reason."""
 

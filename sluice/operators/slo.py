@@ -11,6 +11,10 @@ from sluice.functions.expressions import round_to, seconds_between
 from sluice.functions.ranking import nearest_rank, percentiles
 from sluice.schemas import ANALYTICS_APP, FRESHNESS_BUDGET_S, LOAD_FLOORS, WRITER_APP
 
+# Size of a latency sketch and the error of its ranks.
+SKETCH_K = 800
+SKETCH_ERROR = 0.01
+
 STAGES = ("ingest_s", "build_s", "gold_wait_s")
 
 
@@ -99,6 +103,49 @@ def merge_stats(samples: DataFrame, by: Sequence[str] = ("role",)) -> DataFrame:
     )
 
 
+def latency_sketches(samples: DataFrame, by: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """One small KLL sketch of the successful latencies per group, with the tallies.
+
+    A row has a bounded size whatever the number of samples, so it can be kept per
+    worker and hour and merged later without the samples. Groups without a success
+    have an empty sketch.
+    """
+    value = F.when(F.col("outcome") == "ok", F.col("latency_ms").cast("double"))
+    ok = F.col("outcome") == "ok"
+    return samples.groupBy(*by).agg(
+        F.count_if(ok & F.col("latency_ms").isNotNull()).alias("operations"),
+        F.count_if(F.col("outcome") == "error").alias("errors"),
+        F.count_if(F.col("outcome") == "timeout").alias("timeouts"),
+        F.max(value).alias("max_ms"),
+        F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches and tallies of coarser groups; may be merged again."""
+    return sketches.groupBy(*by).agg(
+        F.sum("operations").alias("operations"),
+        F.sum("errors").alias("errors"),
+        F.sum("timeouts").alias("timeouts"),
+        F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+
+def sketch_quantiles(sketches: DataFrame, points: dict[str, float]) -> DataFrame:
+    """Quantiles of each sketch, NULL for an empty one.
+
+    The rank of an answer is off by at most ``SKETCH_ERROR`` with the default size, at a
+    confidence of 99%.
+    """
+    filled = F.kll_sketch_get_n_double("sketch") > 0
+    found = {
+        name: F.when(filled, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))))
+        for name, p in points.items()
+    }
+    return sketches.withColumns(found).drop("sketch")
+
+
 def latency_nearest_rank(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Nearest-rank p50, p95 and maximum per group, and over all samples as ``*``."""
     both = samples.select(

@@ -333,6 +333,18 @@ CTES: dict[str, str] = {
       CAST(CASE WHEN tier = 'cascade' THEN n_overlap ELSE 0 END AS INTEGER) AS overlap,
       CAST(CASE WHEN tier = 'cascade' THEN n_members ELSE 0 END AS INTEGER) AS members,
       CASE WHEN tier = 'no-run' THEN 0 ELSE incidents END AS oracle_incidents FROM tiered)""",
+    "timed": """
+    SELECT window_id, failure_key, named, coalesce(surface, 'silver_orders_rejects') AS surface,
+      to_timestamp(window_id * 600 - 780)::TIMESTAMP AS span_start,
+      to_timestamp(window_id * 600 - 780 + (window_id % 51 + 1) * 420)::TIMESTAMP AS span_end FROM diagnoses""",
+    "span_truth": """
+    SELECT window_id AS w, list_sort(list_distinct(list(l.failure_key))) AS keys,
+      last(l.failure_key ORDER BY injected_at, incident_id) AS last_key, count(*) AS incidents
+    FROM timed JOIN (SELECT incident_id, failure_key, injected_at FROM ledger) l
+      ON injected_at >= span_start AND injected_at < span_end GROUP BY window_id""",
+    "span_diagnoses": """
+    SELECT window_id, failure_key, named, surface, keys, last_key, incidents, w
+    FROM timed LEFT JOIN span_truth ON w = window_id""",
     "routed": """
     SELECT d.window_id, coalesce(keys, []) AS keys, coalesce(incidents, 0) AS incidents, last_key,
       CASE WHEN coalesce(incidents, 0) = 0 THEN 'no-run'
@@ -350,6 +362,10 @@ CTES: dict[str, str] = {
         'user ' || CAST(user_id AS VARCHAR) AS message FROM events WHERE event_id % 17 <> 0)
     WHERE lower(status) IN ('error', 'fail', 'runtime error', 'skipped')""",
     # -- history ----------------------------------------------------------------------------------
+    "whole_past": f"""
+    SELECT *, list_distinct(regexp_extract_all(lower(failure_key || ' ' || detail), '[a-z0-9_]+')) AS toks
+    FROM (SELECT item_id AS incident_id, {_array(FAILURE_KEYS)}[1 + item_id % 14] AS failure_key, text AS detail
+      FROM benchmark)""",
     "past": f"""
     SELECT *, list_distinct(regexp_extract_all(lower(failure_key || ' ' || detail), '[a-z0-9_]+')) AS toks
     FROM (SELECT item_id AS incident_id, {_array(FAILURE_KEYS)}[1 + item_id % 14] AS failure_key, text AS detail,
@@ -409,6 +425,10 @@ CTES: dict[str, str] = {
     JOIN activity b ON b.sampled_at = w.sampled_at AND b.pid = w.blocked_by""",
 }
 
+# The same grading over spans of time.
+CTES["span_tiered"] = CTES["tiered"].replace("FROM diagnoses d", "FROM span_diagnoses d")
+CTES["span_graded"] = CTES["graded"].replace("FROM tiered)", "FROM span_tiered)")
+
 
 def _intent(keys: str, measures: str, source: str, order: str, limit: int, where: str = "") -> str:
     return f"SELECT {keys}, {measures} FROM {source} {where} GROUP BY {keys} ORDER BY {order} LIMIT {limit}"
@@ -870,8 +890,23 @@ FINALS: dict[str, str] = {
       max_by(error, seq) AS error, count(*) AS count FROM log_parsed""",
     "log_failures_by_run": """SELECT run_id, min_by(job, seq) AS job, min_by(error, seq) AS error, count(*) AS count
       FROM log_parsed GROUP BY run_id""",
+    "run_result_summary": """SELECT document_id, kind = 'plain' OR kind IN ('none', 'wrong', 'loose') AS parsed,
+      CAST(CASE WHEN kind IN ('plain', 'loose') THEN 2 ELSE 0 END AS INTEGER) AS total_nodes,
+      CASE WHEN kind = 'loose' THEN '<unknown>:fail:' WHEN kind = 'plain' AND bad THEN node || ':' || status || ':' || message
+        ELSE '' END AS failed_nodes, kind = 'loose' OR (kind = 'plain' AND bad) AS found
+      FROM (SELECT *, status IN ('error', 'fail', 'runtime error', 'skipped') AS bad FROM (
+        SELECT event_id AS document_id, 'model.' || event_type AS node, 'user ' || CAST(user_id AS VARCHAR) AS message,
+          lower(['success', 'Error', 'fail', 'SKIPPED', 'runtime error', 'pass'][1 + event_id % 6]) AS status,
+          CASE WHEN event_id % 19 = 0 THEN 'list' WHEN event_id % 23 = 0 THEN 'none' WHEN event_id % 29 = 0 THEN 'wrong'
+            WHEN event_id % 31 = 0 THEN 'loose' WHEN event_id % 37 = 0 OR event_id % 17 = 0 THEN 'broken'
+            ELSE 'plain' END AS kind FROM events))""",
+    "log_failure_fields": """SELECT event_id AS seq, 'attempt=' || CAST(event_id % 3 AS VARCHAR) || ';job=backbone;run_id=r-'
+        || CAST(user_id AS VARCHAR) AS fields,
+      'step failed: code=' || CAST(event_id % 100 AS VARCHAR) || ' props ' || trim(props) AS error
+      FROM events WHERE event_type = 'error'""",
     "run_result_failures": "SELECT * FROM node_failures",
     # -- ledger, grading, history
+    "stream_ledger_once": "SELECT incident_id, failure_key, injected_at FROM ledger",
     "ledger_window": f"SELECT * FROM ledger WHERE injected_at >= {SINCE}",
     "ledger_cursor": f"""SELECT coalesce(max(injected_at), {SINCE}) AS cursor_ts,
       max_by(incident_id, injected_at) AS cursor_id, count(*) AS incidents FROM ledger WHERE injected_at >= {SINCE}""",
@@ -880,6 +915,7 @@ FINALS: dict[str, str] = {
     "grade_cascade": "SELECT * FROM graded WHERE tier = 'cascade'",
     "grade_evidence": "SELECT window_id, matched, evidence_score FROM graded",
     "grade_no_run": "SELECT * FROM graded WHERE tier = 'no-run'",
+    "grade_by_range": "SELECT * FROM span_graded",
     "scorecard": """SELECT tier, count(*) AS diagnoses, round(avg(diagnosis_score), 6) AS mean_score,
       round(avg(evidence_score), 6) AS mean_evidence, count(*) FILTER (WHERE label = 'correct') AS correct
       FROM graded GROUP BY tier""",
@@ -887,6 +923,13 @@ FINALS: dict[str, str] = {
       FROM ranked_past WHERE rank <= 3""",
     "recurrence": """SELECT query_id, failure_key, times_seen, score FROM ranked_past
       JOIN (SELECT failure_key, count(*) AS times_seen FROM past GROUP BY 1) USING (failure_key) WHERE rank = 1""",
+    "similar_topk_whole": """SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_key, overlap, score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, incident_id DESC) AS rank
+        FROM (SELECT query_id, incident_id, failure_key, overlap, overlap::DOUBLE / (n + m - overlap) AS score FROM (
+          SELECT query_id, incident_id, failure_key, n, m, count(*) AS overlap
+          FROM (SELECT query_id, len(toks) AS n, unnest(toks) AS t FROM asked) a
+          JOIN (SELECT incident_id, failure_key, len(toks) AS m, unnest(toks) AS t FROM whole_past) p USING (t)
+          GROUP BY ALL))) WHERE rank <= 3""",
     "similar_topk_recent": """SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_key, overlap, score
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recency) AS rank
         FROM (SELECT *, overlap::DOUBLE / (n + m - overlap) AS score FROM shared_tokens WHERE recency <= 20))
@@ -919,6 +962,9 @@ FINALS: dict[str, str] = {
         {_interpolated("0.99", "p99_ms")} FROM ok_sorted GROUP BY role) USING (role)""",
     "latency_nearest_rank": f"""SELECT role, max(n) AS n, {_nearest(50, "p50_ms")}, {_nearest(95, "p95_ms")},
       {_nearest(100, "max_ms")} FROM all_sorted GROUP BY role""",
+    "latency_sketch": """SELECT role, CAST(sum(operations) AS BIGINT) AS operations, CAST(sum(errors) AS BIGINT) AS errors,
+      CAST(sum(timeouts) AS BIGINT) AS timeouts, max(max_ms) AS max_ms, true AS p50_ms_near, true AS p95_ms_near,
+      true AS p99_ms_near FROM tally GROUP BY role""",
     "merge_stats": "SELECT * FROM tally",
     "lock_wait_edges": "SELECT * FROM edges",
     "load_verdict": """SELECT *, CASE WHEN NOT load_floor_met THEN 'INCONCLUSIVE'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import comparable, outside, portable, ts
@@ -461,6 +461,12 @@ def grade_evidence(lake: Lake) -> DataFrame:
     return graded(lake).select("window_id", "matched", "evidence_score")
 
 
+def grade_by_range(lake: Lake) -> DataFrame:
+    return grade.grade_by_range(
+        lake.src.timed_diagnoses, lake.src.ledger, "window_id", "span_start", "span_end"
+    )
+
+
 def similar_topk(lake: Lake) -> DataFrame:
     return history.similar_topk(lake.src.incident_notes, lake.src.incident_history)
 
@@ -478,6 +484,24 @@ def recurrence_recent(lake: Lake) -> DataFrame:
     return history.recurrence(lake.src.incident_notes, lake.src.incident_history, recent=20)
 
 
+def similar_topk_whole(lake: Lake) -> DataFrame:
+    return history.similar_topk_whole(lake.src.incident_notes, lake.src.incident_history)
+
+
+def run_result_summary(lake: Lake) -> DataFrame:
+    """Failed nodes as text, one after the other."""
+    found = logs.run_result_summary(lake.src.odd_run_documents)
+    shown = F.transform("failed_nodes", lambda n: F.concat_ws(":", n["node"], n["status"], n["message"]))
+    return found.withColumn("failed_nodes", F.array_join(shown, ";"))
+
+
+def log_failure_fields(lake: Lake) -> DataFrame:
+    """Fields as sorted text."""
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    found = logs.failure_fields(lake.src.log_lines)
+    return found.withColumn("fields", F.array_join(F.array_sort(pairs), ";"))
+
+
 # -- service levels ----------------------------------------------------------------------
 
 
@@ -499,6 +523,43 @@ def latency_nearest_rank(lake: Lake) -> DataFrame:
     return slo.latency_nearest_rank(lake.src.latency_samples, "role", "latency_ms")
 
 
+QUANTILES = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+
+
+def latency_sketch(lake: Lake) -> DataFrame:
+    """Sketches per worker and hour, merged by role.
+
+    Where the answers stand among all samples is shown as whether the asked rank lies
+    within the stated error.
+    """
+    kept = slo.latency_sketches(lake.src.latency_samples, ["role", "worker", "run_id"])
+    merged = slo.merge_sketches(slo.merge_sketches(kept, ["role", "worker"]), ["role"])
+    merged = lake._keep("latency-sketch", slo.sketch_quantiles(merged, QUANTILES))
+    ok = lake.src.latency_samples.where((F.col("outcome") == "ok") & F.col("latency_ms").isNotNull())
+    places = []
+    for name in QUANTILES:
+        places += [
+            F.count_if(F.col("latency_ms") < F.col(name)).alias(f"below_{name}"),
+            F.count_if(F.col("latency_ms") <= F.col(name)).alias(f"upto_{name}"),
+        ]
+    placed = ok.join(merged.select("role", *QUANTILES), "role").groupBy("role").agg(*places)
+
+    def near(name: str, p: float) -> Column:
+        n = F.col("operations")
+        low = F.col(f"below_{name}") / n <= p + slo.SKETCH_ERROR
+        high = F.col(f"upto_{name}") / n >= p - slo.SKETCH_ERROR
+        return (low & high).alias(f"{name}_near")
+
+    return merged.join(placed, "role").select(
+        "role",
+        "operations",
+        "errors",
+        "timeouts",
+        "max_ms",
+        *[near(name, p) for name, p in QUANTILES.items()],
+    )
+
+
 def load_verdict(lake: Lake) -> DataFrame:
     """One run per hour of events."""
     runs = lake.src.latency_samples.groupBy("run_id").agg(
@@ -608,6 +669,21 @@ def stream_payments(lake: Lake) -> DataFrame:
     return table.rows().select("payment_id", "reject_rule", "reject_reason")
 
 
+def stream_ledger_once(lake: Lake) -> DataFrame:
+    """Three polls of the ledger, each from half an hour before the last one's end."""
+    root = scratch_dir(lake.spark, "stream-ledger")
+    rows = lake.src.ledger.select("incident_id", "failure_key", "injected_at")
+    cuts = ("2024-01-08 00:00:00", LEDGER_SINCE)
+    back = F.expr("INTERVAL 30 MINUTES")
+    at = F.col("injected_at")
+    for since, until in zip((None, *cuts), (*cuts, None), strict=True):
+        poll = rows if since is None else rows.where(at >= ts(since) - back)
+        _drop(f"{root}/polls", poll if until is None else poll.where(at <= ts(until)))
+    once = jobs.stream_ledger_once(_drops(lake, f"{root}/polls", rows))
+    jobs.append_rows(once, f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
+    return lake.spark.read.schema(rows.schema).parquet(f"{root}/ledger")
+
+
 def _as_of(lake: Lake) -> str:
     """Newest order time: one scalar."""
     newest = lake.src.source("orders").agg(F.max("ordered_at").cast("string"))
@@ -721,6 +797,8 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "log_failures_latest": lambda k: logs.log_failures(k.src.log_lines),
     "log_failures_by_run": lambda k: logs.failures_by_run(k.src.log_lines),
     "run_result_failures": lambda k: logs.run_result_failures(k.src.run_documents),
+    "run_result_summary": run_result_summary,
+    "log_failure_fields": log_failure_fields,
     # ledger, grading, history
     "ledger_window": ledger_window,
     "ledger_cursor": ledger_cursor,
@@ -729,9 +807,11 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "grade_cascade": lambda k: graded_tiers(k, "cascade"),
     "grade_evidence": grade_evidence,
     "grade_no_run": lambda k: graded_tiers(k, "no-run"),
+    "grade_by_range": grade_by_range,
     "scorecard": lambda k: grade.scorecard(graded(k)),
     "similar_topk": similar_topk,
     "recurrence": recurrence,
+    "similar_topk_whole": similar_topk_whole,
     "similar_topk_recent": similar_topk_recent,
     "recurrence_recent": recurrence_recent,
     "validate_text": lambda k: logs.validate_text(k.src.reports),
@@ -740,6 +820,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "freshness_report": lambda k: slo.freshness_report(freshness_samples(k)),
     "latency_summary": lambda k: slo.latency_summary(k.src.latency_samples),
     "latency_nearest_rank": latency_nearest_rank,
+    "latency_sketch": latency_sketch,
     "merge_stats": lambda k: slo.merge_stats(k.src.latency_samples, ["role", "worker"]),
     "lock_wait_edges": lambda k: slo.lock_wait_edges(k.src.activity),
     "load_verdict": load_verdict,
@@ -750,6 +831,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "stream_minute_volume": stream_minute_volume,
     "stream_volume_spike": stream_volume_spike,
     "stream_payments": stream_payments,
+    "stream_ledger_once": stream_ledger_once,
 }
 
 

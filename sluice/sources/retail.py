@@ -264,6 +264,17 @@ class Retail:
             .alias("evidence_surface"),
         )
 
+    @cached_property
+    def timed_diagnoses(self) -> DataFrame:
+        """The diagnoses with spans of time that overlap: 10 minutes to six hours."""
+        begin = F.col("window_id") * 600 - 780
+        return self.diagnoses.withColumns(
+            {
+                "span_start": F.timestamp_seconds(begin),
+                "span_end": F.timestamp_seconds(begin + (F.col("window_id") % 51 + 1) * 420),
+            }
+        )
+
     @cached_property
     def incident_history(self) -> DataFrame:
         """Past incidents whose notes are the benchmark passages."""
@@ -344,6 +355,19 @@ class Retail:
             F.when(every("event_id", 17), F.substring(body, 1, 20)).otherwise(body).alias("body"),
         )
 
+    @cached_property
+    def odd_run_documents(self) -> DataFrame:
+        """Run documents of which some are of another shape."""
+        return self.run_documents.withColumn(
+            "body",
+            F.when(every("document_id", 19), F.lit("[1, 2]"))
+            .when(every("document_id", 23), F.lit('{"metadata":{}}'))
+            .when(every("document_id", 29), F.lit('{"results":{"unique_id":"x"}}'))
+            .when(every("document_id", 31), F.lit('{"results":["loose",{"status":"FAIL"}]}'))
+            .when(every("document_id", 37), F.lit(None).cast("string"))
+            .otherwise(F.col("body")),
+        )
+
     # -- sample tables for the service-level statistics -------------------------------
     @cached_property
     def latency_samples(self) -> DataFrame:

@@ -55,6 +55,27 @@ def stream_routes(ledger: DataFrame, window: str = "10 minutes", delay: str = "1
     )
 
 
+def stream_ledger_once(polls: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each incident of overlapping polls once.
+
+    A poll from a time cursor reads the last incidents again. State is one row per
+    incident of the last ``delay`` before the watermark, which must be longer than the
+    overlap; an incident later than that is dropped.
+    """
+    return polls.withWatermark("injected_at", delay).dropDuplicatesWithinWatermark(["incident_id"])
+
+
+def append_rows(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows of a stream in files, exactly once: the sink logs the files of every batch."""
+    return (
+        df.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_minute_counts(stream: DataFrame, ts_col: str, delay: str = "10 minutes") -> DataFrame:
     """Rows per minute of event time."""
     grouped = (
