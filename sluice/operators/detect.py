@@ -97,6 +97,89 @@ def flag_probe(silver_orders: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def reject_evidence(
+    rejects: DataFrame, keys: tuple[str, ...], pk: str, sample_limit: int = 5
+) -> DataFrame:
+    """The finding per key with whole rejected rows as evidence, lowest key first.
+
+    ``sample_rows`` is an array of structs with all columns of the rejects.
+    """
+    found = _reject_counts(rejects, keys)
+    samples = _sample_rows(rejects, "reject_rule", pk, sample_limit)
+    return _with_samples(found, samples, "reject_rule").select(
+        "failure_key", "found", "reject_rule", "count", "evidence_surface", "sample_rows"
+    )
+
+
+def flag_evidence(silver_orders: DataFrame, pk: str = "order_id", sample_limit: int = 5) -> DataFrame:
+    """The finding per flag with whole flagged rows as evidence, lowest key first."""
+    flags = F.array(
+        *[F.when(F.col(flag), F.lit(key)) for key, flag in FLAG_COLUMNS.items()]
+    )
+    flagged = silver_orders.withColumn("_flag", F.explode(F.array_compact(flags)))
+    found = flag_probe(silver_orders).drop("found")
+    samples = _sample_rows(flagged, "_flag", pk, sample_limit)
+    return _with_samples(found.withColumn("_flag", F.col("failure_key")), samples, "_flag").select(
+        "failure_key", "found", "count", "evidence_surface", "sample_rows"
+    )
+
+
+def _sample_rows(rows: DataFrame, rule: str, pk: str, limit: int) -> DataFrame:
+    """Per rule its ``limit`` lowest rows; every task keeps that many before the shuffle."""
+    if limit < 0:
+        raise ValueError("sample_limit must not be negative")
+    per_rule = Window.partitionBy(rule).orderBy(F.asc_nulls_last(pk))
+    columns = [c for c in rows.columns if not c.startswith("_flag")]
+    ranked = rows.select(rule, F.struct(*columns).alias("_row"), F.row_number().over(per_rule).alias("_n"))
+    picked = F.array_sort(F.collect_list(F.struct("_n", "_row")))
+    return ranked.where(F.col("_n") <= limit).groupBy(rule).agg(picked["_row"].alias("sample_rows"))
+
+
+def _with_samples(found: DataFrame, samples: DataFrame, rule: str) -> DataFrame:
+    kind = samples.schema["sample_rows"].dataType
+    rows = F.coalesce("sample_rows", F.array().cast(kind))
+    joined = found.join(samples, rule, "left")
+    return joined.withColumn("sample_rows", rows).withColumn("found", F.col("count") > 0)
+
+
+def profile(tables: Silver, failure_key: str, sample_limit: int = 5) -> DataFrame:
+    """The answer for one key as a row; an unknown key is answered, not refused.
+
+    ``sample_rows`` are JSON texts here, as keys of different tables share the columns.
+    """
+    if failure_key in ORDER_REJECT_KEYS:
+        found = reject_evidence(tables["silver_orders_rejects"], (failure_key,), "order_id", sample_limit)
+    elif failure_key in PAYMENT_REJECT_KEYS:
+        found = reject_evidence(
+            tables["silver_payments_rejects"], (failure_key,), "payment_id", sample_limit
+        )
+    elif failure_key in FLAG_COLUMNS:
+        found = flag_evidence(tables["silver_orders"], sample_limit=sample_limit).where(
+            F.col("failure_key") == failure_key
+        )
+    elif failure_key == "volume_spike":
+        found = volume_spike(tables["silver_orders"], "ordered_at").withColumn(
+            "sample_rows", F.array().cast("array<struct<order_id: bigint>>")
+        )
+    else:
+        return tables["silver_orders"].sparkSession.range(1).select(
+            F.lit(failure_key).alias("failure_key"),
+            F.lit(False).alias("found"),
+            F.lit(0).cast("bigint").alias("count"),
+            F.lit("").alias("evidence_surface"),
+            F.array().cast("array<string>").alias("sample_rows"),
+            F.lit("no probe for this failure key").alias("detail"),
+        )
+    return found.select(
+        "failure_key",
+        "found",
+        F.col("count").cast("bigint").alias("count"),
+        "evidence_surface",
+        F.transform("sample_rows", lambda r: F.to_json(r)).alias("sample_rows"),
+        F.lit("").alias("detail"),
+    )
+
+
 def minute_counts(df: DataFrame, ts_col: str) -> DataFrame:
     return df.groupBy(F.date_trunc("minute", F.col(ts_col)).alias("minute")).agg(
         F.count("*").alias("rows")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import realised, sort_columns
@@ -278,13 +278,17 @@ COUNTABLE_TABLES = (
 
 
 def schema_info(gold: Gold, table: str | None = None) -> DataFrame:
-    """Exposed tables with their columns, types and row counts."""
+    """Exposed tables with their columns, types and row counts.
+
+    A table that has not been built is one row without columns and count.
+    """
     if table is not None and table not in EXPOSED_TABLES:
         raise IntentError(f"table {table!r} is not exposed; one of {', '.join(EXPOSED_TABLES)}")
-    parts = []
+    parts, unbuilt = [], []
     for name in EXPOSED_TABLES if table is None else (table,):
         df = gold.get(name)
         if df is None:
+            unbuilt.append(name)
             continue
         columns = [
             F.struct(
@@ -303,11 +307,30 @@ def schema_info(gold: Gold, table: str | None = None) -> DataFrame:
                 F.explode(F.array(*columns)).alias("c"),
             ).select("table_name", "materialised", "row_count", "c.*")
         )
-    if not parts:
-        raise IntentError("no exposed table has been built")
+    if unbuilt:
+        ddl = (
+            "table_name STRING, materialised BOOLEAN, row_count BIGINT, position INT, column_name STRING, type STRING"
+        )
+        spark = SparkSession.active()
+        parts.append(spark.createDataFrame([(n, False, None, None, None, None) for n in unbuilt], ddl))
     return stack(parts)
 
 
+def catalogue(gold: Gold) -> DataFrame:
+    """Everything that may be asked: tables with their number of columns, intents with
+    their number of sort columns, reports with their number of sections."""
+    tables = schema_info(gold).groupBy("table_name", "materialised", "row_count").agg(
+        F.count("column_name").cast("int").alias("entries")
+    )
+    rows = [("intent", name, None, None, len(i.sortable)) for name, i in INTENTS.items()]
+    rows += [("report", name, None, None, len(sections)) for name, sections in REPORTS.items()]
+    ddl = "kind STRING, name STRING, materialised BOOLEAN, row_count BIGINT, entries INT"
+    asked = SparkSession.active().createDataFrame(rows, ddl)
+    return tables.select(
+        F.lit("table").alias("kind"), F.col("table_name").alias("name"), "materialised", "row_count", "entries"
+    ).unionByName(asked)
+
+
 def intent_info(any_frame: DataFrame) -> DataFrame:
     """The intents and reports with their parameters and sort columns."""
     rows = [

@@ -802,6 +802,25 @@ FINALS: dict[str, str] = {
             ),
         ]
     ),
+    "catalogue": _union(
+        [
+            f"""SELECT 'table' AS kind, 'gold_revenue_daily' AS name, true AS materialised,
+              (SELECT count(*) FROM daily) AS row_count, 6 AS entries""",
+            "SELECT 'table', 'gold_orders_obt', false, CAST(NULL AS BIGINT), 0",
+        ]
+        + [
+            f"SELECT '{kind}', '{name}', NULL, NULL, {entries}"
+            for kind, name, entries in (
+                ("intent", "revenue_by_period", 4),
+                ("intent", "revenue_by_category", 4),
+                ("intent", "revenue_by_country", 3),
+                ("intent", "top_products", 4),
+                ("intent", "order_status_breakdown", 3),
+                ("report", "executive_summary", 4),
+                ("report", "daily_revenue", 2),
+            )
+        ]
+    ),
     "schema_info": _union(
         f"""SELECT '{table}' AS table_name, true AS materialised, (SELECT count(*) FROM {source}) AS row_count,
         CAST({i} AS INTEGER) AS position, '{column}' AS column_name, '{kind}' AS type"""
@@ -852,6 +871,16 @@ FINALS: dict[str, str] = {
         SELECT 'o' AS side, reject_rule, list_sort(list(order_id)) AS pks FROM order_rejects GROUP BY ALL
         UNION ALL SELECT 'p', reject_rule, list_sort(list(payment_id)) FROM payment_rejects GROUP BY ALL) s
       ON s.reject_rule = f.reject_rule AND s.side = CASE f.failure_key WHEN 'orphan_payment' THEN 'p' ELSE 'o' END""",
+    "probe_evidence": """SELECT f.failure_key, true AS found, f.n AS count, CAST(s.at AS INTEGER) AS at, s.pk, s.status,
+      s._ingested_at AS ingested_at
+      FROM (SELECT failure_key, reject_rule, n, CASE failure_key WHEN 'orphan_payment' THEN 'p' ELSE 'o' END AS side
+          FROM reject_found UNION ALL SELECT failure_key, failure_key, n, 'f' FROM flags) f
+      JOIN (SELECT *, row_number() OVER (PARTITION BY side, reject_rule ORDER BY pk) - 1 AS at FROM (
+        SELECT 'o' AS side, reject_rule, order_id AS pk, status, _ingested_at FROM order_rejects
+        UNION ALL SELECT 'p', reject_rule, payment_id, status, _ingested_at FROM payment_rejects
+        UNION ALL SELECT 'f', 'late_arrival', order_id, status, _ingested_at FROM silver_orders WHERE is_late
+        UNION ALL SELECT 'f', 'schema_drift', order_id, status, _ingested_at FROM silver_orders WHERE _schema_drift)) s
+      ON s.side = f.side AND s.reject_rule = f.reject_rule AND s.at < 5""",
     "probe_flag": "SELECT failure_key, n > 0 AS found, n AS count, evidence_surface FROM flags",
     "volume_spike": """SELECT 'volume_spike' AS failure_key, latest > greatest(med * 10, 200) AS found,
       latest AS count, 'silver_orders.count' AS evidence_surface, total_rows, latest AS latest_minute_rows,
@@ -890,6 +919,8 @@ FINALS: dict[str, str] = {
       max_by(error, seq) AS error, count(*) AS count FROM log_parsed""",
     "log_failures_by_run": """SELECT run_id, min_by(job, seq) AS job, min_by(error, seq) AS error, count(*) AS count
       FROM log_parsed GROUP BY run_id""",
+    "log_files_by_run": """SELECT run_id, min_by(job, (seq % 3, seq)) AS job, min_by(error, (seq % 3, seq)) AS error,
+      count(*) AS count FROM log_parsed GROUP BY run_id""",
     "run_result_summary": """SELECT document_id, kind = 'plain' OR kind IN ('none', 'wrong', 'loose') AS parsed,
       CAST(CASE WHEN kind IN ('plain', 'loose') THEN 2 ELSE 0 END AS INTEGER) AS total_nodes,
       CASE WHEN kind = 'loose' THEN '<unknown>:fail:' WHEN kind = 'plain' AND bad THEN node || ':' || status || ':' || message

@@ -40,6 +40,7 @@ from sluice.sources.readers import (
     drift_by_file,
     read_all_names,
     read_entity,
+    read_log_lines,
     resolve_by_file,
     resolve_column,
     with_arrival,
@@ -397,6 +398,11 @@ def reconcile_category(lake: Lake) -> DataFrame:
     return audit.reconcile(named, direct, ["product_category"], ["order_count", "gross_revenue"])
 
 
+def catalogue(lake: Lake) -> DataFrame:
+    """What may be asked while only the daily table has been built."""
+    return intents.catalogue({"gold_revenue_daily": lake.tables.share_gold().daily})
+
+
 # -- detection, ledger, history --------------------------------------------------------
 
 
@@ -407,6 +413,43 @@ def probe_reject(lake: Lake) -> DataFrame:
     )
 
 
+def probe_evidence(lake: Lake) -> DataFrame:
+    """One row per evidence row of every reject and flag."""
+    t = lake.tables.share("orders", "payments")
+    parts = [
+        (detect.reject_evidence(t.rejects("orders"), ORDER_REJECT_KEYS, "order_id"), "order_id"),
+        (detect.reject_evidence(t.rejects("payments"), PAYMENT_REJECT_KEYS, "payment_id"), "payment_id"),
+        (detect.flag_evidence(t.silver("orders")), "order_id"),
+    ]
+    return audit.stack(
+        [
+            found.select(
+                "failure_key", "found", "count", F.posexplode("sample_rows").alias("at", "row")
+            ).select(
+                "failure_key",
+                "found",
+                "count",
+                "at",
+                F.col(f"row.{pk}").alias("pk"),
+                F.col("row.status").alias("status"),
+                F.col("row._ingested_at").alias("ingested_at"),
+            )
+            for found, pk in parts
+        ]
+    )
+
+
+def log_files_by_run(lake: Lake) -> DataFrame:
+    """The log lines as text files of three groups, read back in their order."""
+    root = scratch_dir(lake.spark, "logs")
+    groups = ("logs/event.log", "storage/err", "storage/out")
+    for i, group in enumerate(groups):
+        lines = lake.src.log_lines.where(F.col("seq") % 3 == i)
+        placed = lines.repartitionByRange(4, "seq").sortWithinPartitions("seq")
+        placed.select("line").write.text(f"{root}/{group}")
+    return logs.failures_by_run(read_log_lines(lake.spark, [f"{root}/{g}" for g in groups]))
+
+
 def detection_sweep(lake: Lake) -> DataFrame:
     return detect.detection_sweep(lake.tables.share("orders"))
 
@@ -761,6 +804,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
         k.tables.share_gold(), "daily_revenue", INTENT_WINDOW
     ),
     "schema_info": lambda k: intents.schema_info(k.tables.share_gold()),
+    "catalogue": catalogue,
     "table_counts": lambda k: intents.table_counts(
         k.tables.share("orders", "payments").share_gold()
     ),
@@ -785,6 +829,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "sq_status": lambda k: basket.status_totals(k.src.source("orders")),
     # detection
     "probe_reject": probe_reject,
+    "probe_evidence": probe_evidence,
     "probe_flag": lambda k: detect.flag_probe(k.tables.silver("orders")),
     "volume_spike": lambda k: detect.volume_spike(k.tables.silver("orders"), "ordered_at"),
     "detection_sweep": detection_sweep,
@@ -796,6 +841,7 @@ QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "log_failures": lambda k: logs.parse_failures(k.src.log_lines),
     "log_failures_latest": lambda k: logs.log_failures(k.src.log_lines),
     "log_failures_by_run": lambda k: logs.failures_by_run(k.src.log_lines),
+    "log_files_by_run": log_files_by_run,
     "run_result_failures": lambda k: logs.run_result_failures(k.src.run_documents),
     "run_result_summary": run_result_summary,
     "log_failure_fields": log_failure_fields,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,30 @@ def read_jdbc(spark: SparkSession, spec: EntitySpec, options: dict[str, str]) ->
         "pushDownPredicate": "true",
     }
     return spark.read.format("jdbc").options(**{**defaults, **options}).load()
+
+
+def read_log_lines(spark: SparkSession, groups: Sequence[str]) -> DataFrame:
+    """Lines of text files as (seq, path, line); ``seq`` orders them.
+
+    ``groups`` are paths or globs; all files of a group come after those of the group
+    before it, in the order of their paths. Within a file the start of the split and the
+    row's place in it give the order of lines, so large files are split and nothing is
+    numbered in one task.
+    """
+    parts = []
+    for number, group in enumerate(groups):
+        reader = spark.read.format("text").option("recursiveFileLookup", "true")
+        lines = reader.option("ignoreMissingFiles", "true").load(group)
+        parts.append(
+            lines.select(
+                F.struct(
+                    F.lit(number).alias("group"),
+                    F.col("_metadata.file_path").alias("path"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("place"),
+                ).alias("seq"),
+                F.col("_metadata.file_path").alias("path"),
+                F.col("value").alias("line"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import grade, history, ledger, logs, slo
+from sluice.operators import detect, grade, history, ledger, logs, slo
+from sluice.plans import intents
+from sluice.sources.readers import read_log_lines
 from sluice.streaming import jobs
 
 T = datetime(2024, 1, 1)
@@ -193,3 +195,61 @@ def test_overlapping_polls_give_each_incident_once(spark, tmp_path):
     poll(book[130:])
     # A second start goes on where the first ended.
     assert read() == list(range(200))
+
+
+def test_log_files_keep_the_order_of_their_lines(spark, tmp_path):
+    prefix = logs.FAILURE_LINE_PREFIX
+    first, second = tmp_path / "event.log", tmp_path / "storage"
+    second.mkdir()
+    first.write_text("".join(f"x\n{prefix} run_id=r{i % 3} job=j{i}\n" for i in range(300)))
+    (second / "a.err").write_text(f"{prefix} run_id=r9 job=late error=a b\n\n")
+    (second / "b.err").write_text(f"{prefix} run_id=r1 job=last\nINFO\n")
+    (second / "c.err").write_text("")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = read_log_lines(spark, [str(first), f"{second}/*.err"])
+        assert lines.rdd.getNumPartitions() > 5
+        latest = logs.log_failures(lines).first()
+        assert (latest.run_id, latest.job, latest["count"]) == ("r1", "last", 302)
+        by_run = {r.run_id: (r.job, r["count"]) for r in logs.failures_by_run(lines).collect()}
+        assert by_run == {"r0": ("j0", 100), "r1": ("j1", 101), "r2": ("j2", 100), "r9": ("late", 1)}
+        backwards = logs.log_failures(read_log_lines(spark, [f"{second}/*.err", str(first)])).first()
+        assert backwards.job == "j299"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_probes_show_whole_rows_and_answer_unknown_keys(spark):
+    rejects = spark.createDataFrame(
+        [(i, "negative_price", f"s{i}", T) for i in (9, 3, 7, 1)] + [(2, "other", "x", T)],
+        "order_id BIGINT, reject_rule STRING, status STRING, _ingested_at TIMESTAMP",
+    )
+    silver = spark.createDataFrame(
+        [(1, T, True, False), (2, T, False, False), (3, T, True, True)],
+        "order_id BIGINT, ordered_at TIMESTAMP, is_late BOOLEAN, _schema_drift BOOLEAN",
+    )
+    tables = {"silver_orders": silver, "silver_orders_rejects": rejects, "silver_payments_rejects": rejects}
+    found = detect.reject_evidence(rejects, ("negative_price", "missing_customer"), "order_id", 2)
+    rows = {r.failure_key: r for r in found.collect()}
+    assert [(x.order_id, x.status) for x in rows["negative_price"].sample_rows] == [(1, "s1"), (3, "s3")]
+    assert rows["negative_price"]["count"] == 4
+    assert (rows["missing_customer"].found, rows["missing_customer"].sample_rows) == (False, [])
+    flags = {r.failure_key: r for r in detect.flag_evidence(silver).collect()}
+    assert [x.order_id for x in flags["late_arrival"].sample_rows] == [1, 3]
+    assert [x.order_id for x in flags["schema_drift"].sample_rows] == [3]
+    none = {r.failure_key: r for r in detect.flag_evidence(silver, sample_limit=0).collect()}
+    assert none["late_arrival"].sample_rows == [] and none["late_arrival"]["count"] == 2
+    for key, count in (("negative_price", 4), ("late_arrival", 2), ("volume_spike", 3), ("no such key", 0)):
+        answer = detect.profile(tables, key).collect()
+        assert [(a.failure_key, a["count"]) for a in answer] == [(key, count)]
+    assert detect.profile(tables, "no such key").first().detail
+
+
+def test_unbuilt_tables_are_named(spark):
+    info = intents.schema_info({"gold_revenue_daily": spark.range(3)})
+    assert {(r.table_name, r.materialised, r.row_count) for r in info.collect()} == {
+        ("gold_revenue_daily", True, 3),
+        ("gold_orders_obt", False, None),
+    }
+    assert {r.materialised for r in intents.schema_info({}).collect()} == {False}
