@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -240,25 +242,68 @@ def run_report(
 def report_rows(
     gold: Gold, name: str, params: Mapping[str, object] | None = None
 ) -> DataFrame:
-    """A report as one frame: section, rank, label, order count and amount."""
-    parts = []
-    frames = run_report(gold, name, params)
+    """A report as one frame: section, rank, label, order count and amount.
+
+    All sections on one gold table are grouping sets of one aggregation, so a table is
+    scanned and shuffled once however many sections it feeds.
+    """
+    if name not in REPORTS:
+        raise IntentError(f"unknown report {name!r}; one of {', '.join(REPORTS)}")
+    by_table: dict[str, list[Section]] = {}
     for section in REPORTS[name]:
-        intent = INTENTS[section.intent]
-        # At most `limit` (60) rows reach this window.
-        order = Window.orderBy(*sort_columns(sort_order(intent, None)))
-        amount = "total_amount" if section.intent == "order_status_breakdown" else "gross_revenue"
-        label = F.concat_ws(" / ", *[F.col(k).cast("string") for k in intent.keys])
-        parts.append(
-            frames[section.key].select(
-                F.lit(section.key).alias("section"),
-                F.row_number().over(order).alias("rank"),
-                label.alias("label"),
-                "order_count",
-                F.col(amount).cast("decimal(38,2)").alias("amount"),
-            )
-        )
-    return stack(parts)
+        by_table.setdefault(INTENTS[section.intent].table, []).append(section)
+    return stack([_grouped_sections(gold[t], part, params or {}) for t, part in by_table.items()])
+
+
+def _grouped_sections(
+    table: DataFrame, sections: Sequence[Section], params: Mapping[str, object]
+) -> DataFrame:
+    """Sections over one table. A set holds a section's keys and whether its filters pass."""
+    copies, sets, measures = {}, [], []
+    order, labels, counts, amounts = [], [], [], []
+    for s in sections:
+        intent = INTENTS[s.intent]
+        shared = {k: v for k, v in params.items() if k in intent.filters}
+        passes = F.lit(True)
+        for param, value in {**s.params, **shared}.items():
+            if value is not None:
+                passes = passes & intent.filters[param](value)
+        own = {f"_in_{s.key}": F.coalesce(passes, F.lit(False))}
+        own |= {f"_{s.key}_{k}": F.col(k) for k in intent.keys}
+        copies |= own
+        sets.append(list(own))
+        names = table.groupBy().agg(*intent.measures()).columns
+        measures += [m.alias(f"_{s.key}_{n}") for m, n in zip(intent.measures(), names, strict=True)]
+        measures.append(F.grouping(f"_in_{s.key}").alias(f"_out_{s.key}"))
+
+        here = F.col("section") == s.key
+        for column, descending in sort_order(intent, None):
+            spot = F.when(here, F.col(f"_{s.key}_{column}"))
+            order.append(spot.desc_nulls_last() if descending else spot.asc_nulls_last())
+        amount = "total_amount" if s.intent == "order_status_breakdown" else "gross_revenue"
+        label = F.concat_ws(" / ", *[F.col(f"_{s.key}_{k}").cast("string") for k in intent.keys])
+        labels.append(F.when(here, label))
+        counts.append(F.when(here, F.col(f"_{s.key}_order_count")))
+        amounts.append(F.when(here, F.col(f"_{s.key}_{amount}").cast("decimal(38,2)")))
+
+    any_passes = reduce(or_, [copies[f"_in_{s.key}"] for s in sections])
+    grouped = table.where(any_passes).withColumns(copies).groupingSets(sets, *copies).agg(*measures)
+    section = F.coalesce(
+        *[F.when((F.col(f"_out_{s.key}") == 0) & F.col(f"_in_{s.key}"), s.key) for s in sections]
+    )
+    # Tasks keep no more groups of a section than the longest section shows.
+    ranked = grouped.withColumn("section", section).where(F.col("section").isNotNull()).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("section").orderBy(*order))
+    )
+    limit = F.coalesce(*[F.when(F.col("section") == s.key, s.limit) for s in sections])
+    shown = ranked.where(F.col("rank") <= max(s.limit for s in sections)).where(F.col("rank") <= limit)
+    return shown.select(
+        "section",
+        "rank",
+        F.coalesce(*labels).alias("label"),
+        F.coalesce(*counts).alias("order_count"),
+        F.coalesce(*amounts).alias("amount"),
+    )
 
 
 EXPOSED_TABLES = ("gold_orders_obt", "gold_revenue_daily")

@@ -253,3 +253,51 @@ def test_unbuilt_tables_are_named(spark):
         ("gold_orders_obt", False, None),
     }
     assert {r.materialised for r in intents.schema_info({}).collect()} == {False}
+
+
+def test_a_report_scans_each_table_once(spark, tmp_path):
+    rows = [
+        (i, "abc"[i % 3] if i % 7 else None, f"c{i % 4}", f"s{i % 30}", "placed" if i % 5 else "returned", i % 2 == 0)
+        for i in range(400)
+    ]
+    ddl = "order_id INT, product_category STRING, customer_country STRING, product_sku STRING, status STRING, is_late BOOLEAN"
+    obt = spark.createDataFrame(rows, ddl).select(
+        "*",
+        F.col("product_sku").alias("product_name"),
+        (F.col("order_id") % 6).alias("quantity"),
+        (F.col("order_id") % 11).cast("decimal(12,2)").alias("total_amount"),
+        (F.lit(T) + F.make_dt_interval(days=F.col("order_id") % 20)).alias("ordered_at"),
+    )
+    daily = obt.groupBy(F.to_date("ordered_at").alias("order_date"), "product_category").agg(
+        F.count("*").alias("order_count"),
+        F.sum("quantity").alias("units_sold"),
+        F.sum("total_amount").alias("gross_revenue"),
+    )
+    gold = {}
+    for name, df in (("gold_orders_obt", obt), ("gold_revenue_daily", daily)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        gold[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    for name, params, scans in (
+        ("executive_summary", None, 2),
+        # The product section has no dates, the other ones no category.
+        ("executive_summary", {"start_date": "2024-01-05", "category": "a"}, 2),
+        ("daily_revenue", {"start_date": "2024-01-05", "end_date": "2024-01-12"}, 1),
+        ("daily_revenue", {"start_date": "2030-01-01"}, 1),
+    ):
+        made = intents.report_rows(gold, name, params)
+        assert made._jdf.queryExecution().sparkPlan().toString().count("FileScan") == scans
+        found = {}
+        for r in made.orderBy("section", "rank").collect():
+            found.setdefault(r.section, []).append((r.label, r.order_count, r.amount))
+        expected = {}
+        for key, frame in intents.run_report(gold, name, params).items():
+            section = next(s for s in intents.REPORTS[name] if s.key == key)
+            keys = intents.INTENTS[section.intent].keys
+            amount = "total_amount" if key == "status_mix" else "gross_revenue"
+            shown = [
+                (" / ".join(str(r[k]) for k in keys if r[k] is not None), r.order_count, r[amount])
+                for r in frame.collect()
+            ]
+            if shown:
+                expected[key] = shown
+        assert found == expected
