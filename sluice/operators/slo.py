@@ -157,7 +157,8 @@ def latency_nearest_rank(samples: DataFrame, by: str, value: str) -> DataFrame:
 def lock_wait_edges(activity: DataFrame) -> DataFrame:
     """Who waits behind whom: one row per (sample, waiter, blocker).
 
-    Only lock waits with a known blocker count. The blocker side is unique on
+    ``waiter_query`` is a short form for display, ``waiter_text`` the whole query. Only
+    lock waits with a known blocker count. The blocker side is unique on
     (sample, pid), so a pid many sessions wait for is split on the waiter side.
     """
     waiting = activity.where(
@@ -169,6 +170,7 @@ def lock_wait_edges(activity: DataFrame) -> DataFrame:
         "wait_event_type",
         "wait_event",
         F.left("query", F.lit(200)).alias("waiter_query"),
+        F.col("query").alias("waiter_text"),
         F.explode("blocking_pids").alias("blocker_pid"),
     )
     blockers = activity.select(
@@ -186,6 +188,7 @@ def lock_wait_edges(activity: DataFrame) -> DataFrame:
             "wait_event_type",
             "wait_event",
             "waiter_query",
+            "waiter_text",
         )
         .withColumn("analytics_attributable", attributable)
     )

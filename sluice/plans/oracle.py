@@ -419,7 +419,7 @@ CTES: dict[str, str] = {
       FROM events GROUP BY 1, 2)""",
     "edges": """
     SELECT w.sampled_at, w.pid AS waiter_pid, w.app AS waiter_app, b.pid AS blocker_pid, b.app AS blocker_app,
-      w.wait_event_type, w.wait_event, left(w.query, 200) AS waiter_query,
+      w.wait_event_type, w.wait_event, left(w.query, 200) AS waiter_query, w.query AS waiter_text,
       w.app = 'oltp_writer' AND b.app = 'dagster_ingest' AS analytics_attributable
     FROM (SELECT *, unnest(blockers) AS blocked_by FROM activity WHERE wait_event_type = 'Lock') w
     JOIN activity b ON b.sampled_at = w.sampled_at AND b.pid = w.blocked_by""",
