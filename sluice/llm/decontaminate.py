@@ -2,9 +2,14 @@
 
 Every Arrow batch of documents is a shard. Its words become numbers of the benchmark's
 vocabulary (0 for any other word), and the suffixes that start like some test suffix are
-sorted into a suffix array. Each test suffix is binary-searched in every shard; runs of
-consecutive hits on one diagonal are the longest verbatim matches, with their places in
-both texts. A document is judged within its own task, so nothing is shuffled.
+sorted into a suffix array. Each test suffix is binary-searched in every shard. Where its
+range is not empty, the longest verbatim matches of its item are followed along the shard,
+with their places in both texts. A document is judged within its own task, so nothing is
+shuffled.
+
+Equal windows are searched once, and an item's matches are followed from left to right, each
+from the first window that no earlier match of the item holds. So a shard needs memory for
+its words and the benchmark's only, also where both repeat one word.
 
 The benchmark is the stated query set. It is taken in blocks of bounded text, each
 broadcast and matched against all documents.
@@ -28,6 +33,9 @@ BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
 # First words a document suffix must share with a test suffix to enter the array.
 LEAD = 3
+# Windows looked ahead at a time, and compared at a time, in following a match.
+AHEAD = 1024
+COMPARED = 1 << 16
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -61,15 +69,24 @@ class TestSuffixes:
                 start.append(at)
                 length.append(size)
             self.names.append(name)
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, window)
+        rows = np.array(rows, dtype=np.int64).reshape(-1, window)
+        length = np.array(length, dtype=np.int64)
         self.item = np.array(item, dtype=np.int64)
         self.start = np.array(start, dtype=np.int64)
-        self.length = np.array(length, dtype=np.int64)
-        self.lead = int(min(LEAD, self.length.min())) if len(rows) else LEAD
-        self.leads = np.unique(_packed(self.rows[:, : self.lead]))
+        self.lead = int(min(LEAD, length.min())) if len(rows) else LEAD
+        self.leads = np.unique(_packed(rows[:, : self.lead]))
+        # Equal windows are one: ``number`` says which, for each window of the items in order.
+        self.low, first, self.number = np.unique(_bytes_of(rows), return_index=True, return_inverse=True)
+        self.length = length[first]
+        # The end of a short window's range: everything that starts with it.
+        past = rows[first]
+        past[np.arange(window)[None, :] >= self.length[:, None]] = 2**32 - 1
+        self.past = _bytes_of(past)
+        # Where the windows of each item begin.
+        self.begins = np.searchsorted(self.item, np.arange(len(self.names) + 1))
 
     def __len__(self) -> int:
-        return len(self.rows)
+        return len(self.item)
 
 
 def _packed(columns: np.ndarray) -> np.ndarray:
@@ -100,33 +117,74 @@ def suffix_array(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.n
     return places[order], prefixes[order]
 
 
-def matches(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest verbatim matches in a shard: test suffix number, place, number of words."""
-    none = np.zeros(0, np.int64)
+def matches(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches in a shard: item, its first word, place, number of words.
+
+    Sorted by item and place. Every window of an item that occurs in the shard is inside one of
+    the item's matches.
+    """
+    none = (np.zeros(0, np.int64),) * 4
     if not len(tests) or not len(ids):
-        return none, none, none
+        return none
     places, prefixes = suffix_array(ids, tests)
-    low = np.searchsorted(prefixes, _bytes_of(tests.rows), "left")
-    # The end of a short window's range: everything that starts with it.
-    past = tests.rows.copy()
-    past[np.arange(tests.window)[None, :] >= tests.length[:, None]] = 2**32 - 1
-    high = np.searchsorted(prefixes, _bytes_of(past), "right")
-    size = high - low
-    test = np.repeat(np.arange(len(tests)), size)
-    if not len(test):
-        return none, none, none
-    offset = np.arange(len(test)) - np.repeat(np.cumsum(size) - size, size)
-    place = places[np.repeat(low, size) + offset]
-    # Hits of consecutive windows of one item on one diagonal make one longer match.
-    diagonal = place - tests.start[test]
-    order = np.lexsort((place, diagonal, tests.item[test]))
-    test, place, diagonal = test[order], place[order], diagonal[order]
-    item = tests.item[test]
-    fresh = np.ones(len(test), bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    run = np.diff(np.concatenate((first, [len(test)])))
-    return test[first], place[first], tests.length[test[first]] + run - 1
+    low = np.searchsorted(prefixes, tests.low, "left")
+    high = np.searchsorted(prefixes, tests.past, "right")
+    seen = high > low
+    if not seen.any():
+        return none
+    # The full window that begins at each place, if any; one place more ends the last match.
+    at = np.full(len(ids) + 1, -1, np.int64)
+    for number in np.flatnonzero(seen & (tests.length == tests.window)).tolist():
+        at[places[low[number] : high[number]]] = number
+    parts = []
+    for item in np.unique(tests.item[seen[tests.number]]).tolist():
+        windows = tests.number[tests.begins[item] : tests.begins[item + 1]]
+        hit = np.unique(windows[seen[windows]])
+        where = np.sort(np.concatenate([places[low[n] : high[n]] for n in hit.tolist()]))
+        size = tests.length[windows[0]]
+        if size < tests.window:
+            start, place, length = np.zeros_like(where), where, np.full_like(where, size)
+        else:
+            start, place, length = _follow(windows, at, where)
+            length += tests.window - 1
+        parts.append((np.full_like(place, item), start, place, length))
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _follow(windows: np.ndarray, at: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(window of the item, place, number of windows) of an item's longest matches.
+
+    ``windows`` are the item's in order, ``at`` those of the shard and ``where`` the sorted
+    places of the item's windows there. Of all windows of the item equal to that at a place,
+    those are kept that agree longest with the shard; of several the first.
+    """
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    if (ranked[1:] != ranked[:-1]).all():
+        # Each place has one window of the item: matches are what runs on in both texts.
+        start = order[np.searchsorted(ranked, at[where])]
+        goes_on = (np.diff(where) == 1) & (np.diff(start) == 1)
+        first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+        return start[first], where[first], np.diff(np.concatenate((first, [len(where)])))
+    ended = np.concatenate((windows, np.full(AHEAD, -2)))
+    found, i = [], 0
+    while i < len(where):
+        place, n, width, best = int(where[i]), 0, 0, 0
+        a = np.searchsorted(ranked, at[place], "left")
+        b = np.searchsorted(ranked, at[place], "right")
+        starts = order[a:b]
+        while best == width:
+            ahead = at[place + n : place + n + max(1, min(AHEAD, COMPARED // len(starts)))]
+            width = len(ahead)
+            same = ended[starts[:, None] + (n + np.arange(width))] == ahead
+            alike = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            best = int(alike.max())
+            starts = starts[alike == best]
+            n += best
+        found.append((int(starts[0]), place, n))
+        i = int(np.searchsorted(where, place + n, "left"))
+    start, place, length = np.array(found, dtype=np.int64).T
+    return start, place, length
 
 
 def _shards(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -143,29 +201,37 @@ def _shards(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
-def _judge(tests, texts: list) -> tuple[list[int], list[list[dict]]]:
-    """Word count and matches of every text of one shard."""
+def _judge(tests: TestSuffixes, texts: list, before: pa.StructArray) -> pa.StructArray:
+    """``before`` with the word counts of a shard's texts, and their matches added."""
     number = tests.vocabulary.get
-    parts, counts = [], []
+    parts = []
     for text in texts:
-        words = split_words(text)
-        counts.append(len(words))
         # One stop between documents, so that no match crosses them.
-        parts.append(np.array([number(w, 0) for w in words] + [0], dtype=np.int64))
+        parts.append(np.array([number(w, 0) for w in split_words(text)] + [0], dtype=np.int64))
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    found: list[list[dict]] = [[] for _ in texts]
-    for test, place, length in zip(*(x.tolist() for x in matches(ids, tests))):
-        doc = int(np.searchsorted(begins, place, "right")) - 1
-        found[doc].append(
-            {
-                "item": tests.names[tests.item[test]],
-                "item_start": int(tests.start[test]),
-                "doc_start": int(place - begins[doc]),
-                "length": int(length),
-            }
-        )
-    return counts, found
+    del parts
+    item, item_start, place, length = matches(ids, tests)
+    owner = np.searchsorted(begins, place, "right") - 1
+    old = before.field("found")
+    kind = old.type.value_type
+    made = pa.StructArray.from_arrays(
+        [
+            pa.array(tests.names, pa.string()).take(pa.array(item)),
+            pa.array(item_start, pa.int32()),
+            pa.array(place - begins[owner], pa.int32()),
+            pa.array(length, pa.int32()),
+        ],
+        fields=list(kind),
+    )
+    had = np.diff(old.offsets.to_numpy())
+    owners = np.concatenate((np.repeat(np.arange(len(texts)), had), owner))
+    order = np.argsort(owners, kind="stable")
+    values = pa.concat_arrays([old.flatten(), made]).take(pa.array(order))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(texts)))))
+    found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=old.type)
+    return pa.StructArray.from_arrays([pa.array(sizes - 1, pa.int32()), found], fields=list(before.type))
 
 
 def benchmark_blocks(items: DataFrame, key: str, text: str, size: int) -> Iterator[list]:
@@ -192,8 +258,10 @@ def find_matches(
 ) -> DataFrame:
     """``row``, ``n_words`` and ``matches`` of every document; one output row per input row.
 
-    A match is the longest run of words that a document and an item share, if it holds a
-    window: ``window`` consecutive item words, or the whole item if it is shorter. Null and
+    A match is the longest run of words that a document and an item share from a place on, if
+    it holds a window: ``window`` consecutive item words, or the whole item if it is shorter.
+    An item's matches are taken from left to right, each from the first window that no earlier
+    one holds, so every window of the item in the document is inside one of them. Null and
     empty texts and items have no words and match nothing. An item with a null key counts
     under the empty key; items that share a key are one item.
     """
@@ -208,15 +276,9 @@ def find_matches(
 
         def run(batches, tests=suffixes):
             for shard in _shards(batches, 1):
-                counts, found = _judge(tests, shard.column(1).to_pylist())
-                before = shard.column(2)
-                merged = [
-                    {"n": n, "found": (old["found"] or []) + new}
-                    for n, old, new in zip(counts, before.to_pylist(), found)
-                ]
+                judged = _judge(tests, shard.column(1).to_pylist(), shard.column(2))
                 yield pa.RecordBatch.from_arrays(
-                    [shard.column(0), shard.column(1), pa.array(merged, type=before.type)],
-                    names=["row", "body", "so_far"],
+                    [shard.column(0), shard.column(1), judged], names=["row", "body", "so_far"]
                 )
 
         state = state.mapInArrow(run, schema)

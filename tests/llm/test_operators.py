@@ -2,8 +2,10 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,54 @@ def test_contamination_equals_brute_force(spark, block):
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def brute_follow(words, own, window):
+    """(first item word, place, length) of an item's matches in a text, from left to right."""
+    longest = lambda i, j: next(
+        (n for n in range(min(len(own) - i, len(words) - j)) if own[i + n] != words[j + n]),
+        min(len(own) - i, len(words) - j),
+    )
+    out, upto = [], -1
+    for j in range(len(words) - window + 1):
+        if j + window <= upto:
+            continue
+        n, i = max(((longest(i, j), -i) for i in range(len(own) - window + 1)), default=(0, 0))
+        if n >= window:
+            out.append((-i, j, n))
+            upto = j + n
+    return out
+
+
+def test_matches_of_repeating_texts_equal_brute_force():
+    rng = random.Random(21)
+    for _ in range(300):
+        window = rng.choice([2, 3, 5])
+        say = lambda n: [rng.choice("aab") for _ in range(n)]
+        items = [say(rng.randint(window, 25)) for _ in range(3)]
+        words = say(40) + rng.choice(items) + say(5)
+        tests = decontaminate.TestSuffixes([(str(i), " ".join(x)) for i, x in enumerate(items)], window)
+        ids = np.array([tests.vocabulary.get(w.encode(), 0) for w in words])
+        got = [list(x.tolist()) for x in decontaminate.matches(ids, tests)]
+        want = [(i, *m) for i, own in enumerate(items) for m in brute_follow(words, own, window)]
+        assert list(zip(*got)) == want
+
+
+def test_a_million_equal_words_match_in_linear_memory():
+    tests = decontaminate.TestSuffixes([("a", "x " * 300), ("b", "x " * 13), ("c", "y")], 13)
+    ids = np.concatenate((np.full(1_000_000, tests.vocabulary[b"x"]), [0]))
+    tracemalloc.start()
+    item, start, place, length = decontaminate.matches(ids, tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600_000_000
+    for number, most in ((0, 300), (1, 13)):
+        own = item == number
+        covered = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(covered, place[own], 1)
+        np.add.at(covered, place[own] + length[own], -1)
+        assert (np.cumsum(covered)[:1_000_000] > 0).all() and length[own].max() == most
+    assert set(item.tolist()) == {0, 1}
+
+
 # -- licenses, urls, language, suffixes ---------------------------------------------
 
 
