@@ -175,6 +175,49 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS n, 'd' AS side, doc_id, NULL AS item, text FROM documents
+  UNION ALL SELECT NULL, 'b', NULL, coalesce(item_id::VARCHAR, ''), text FROM benchmark
+), worded AS (
+  SELECT n, side, doc_id, item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), item_windows AS (
+  SELECT item, size, s, array_to_string(w[s:s + size - 1], ' ') AS words
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s
+    FROM worded WHERE side = 'b' AND len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT n, size, p, array_to_string(w[p:p + size - 1], ' ') AS words
+  FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS p
+    FROM worded, sizes WHERE side = 'd' AND len(w) >= size)
+), hits AS (
+  SELECT DISTINCT n, item, size, s, p FROM doc_windows JOIN item_windows USING (size, words)
+), covered AS (
+  SELECT n, count(*) AS n_hit
+  FROM (SELECT DISTINCT n, p + unnest(range(size)) AS place FROM (SELECT DISTINCT n, p, size FROM hits))
+  GROUP BY n
+), runs AS (
+  -- Consecutive hits on one diagonal are one longer match.
+  SELECT n, max(size) + count(*) - 1 AS words
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY n, item, size, p - s ORDER BY p) AS run FROM hits)
+  GROUP BY n, item, size, p - s, run
+), longest AS (
+  SELECT n, max(words) AS longest FROM runs GROUP BY n
+), found AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated,
+  coalesce(longest, 0)::BIGINT AS longest_match
+FROM worded LEFT JOIN covered USING (n) LEFT JOIN longest USING (n) LEFT JOIN found USING (n)
+WHERE side = 'd'
+""",
     "op12_importance_resampling": r"""
 WITH polynomial AS (
   -- The table of the byte-wise checksum, from its polynomial.
