@@ -92,6 +92,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "sluice-bench")
     times: dict[str, float] = {}
+    warm: dict[str, float] = {}
 
     registry.run("bronze_orders", spark, sf_dir).count()  # start the JVM's code paths
     lake = registry.Lake(spark, sf_dir)
@@ -113,8 +114,7 @@ def main() -> None:
     for name in FROM_RAW:
         run = lambda name=name: drain(registry.run(name, spark, sf_dir))
         times[name] = timed(run)
-        if times[name] < 2.0:
-            times[name] = timed(run)
+        warm[name] = timed(run)
 
     print(
         json.dumps(
@@ -123,6 +123,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": {k: round(v, 3) for k, v in times.items()},
+                "second_run": {k: round(v, 3) for k, v in warm.items()},
                 "gold_p95_ms": round(nearest_rank(samples, 95) * 1000, 1),
                 "gold_p50_ms": round(nearest_rank(samples, 50) * 1000, 1),
                 "gold_reps": REPS,

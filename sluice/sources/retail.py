@@ -21,7 +21,6 @@ from sluice.schemas import (
     ORPHAN_ORDER_ID,
     PAYMENT_METHODS,
 )
-from sluice.session import spread_scan
 from sluice.sources.readers import project
 
 TABLES = {
@@ -288,9 +287,12 @@ class Retail:
 
     @cached_property
     def incident_notes(self) -> DataFrame:
-        """Free-text descriptions to look up in the history."""
-        documents = spread_scan(self.table("documents"))
-        return documents.select(F.col("doc_id").alias("query_id"), "text")
+        """Free-text descriptions to look up in the history.
+
+        Dealt by key, as a lookup takes far longer than moving its text, however the files are cut.
+        """
+        notes = self.table("documents").select(F.col("doc_id").alias("query_id"), "text")
+        return notes.repartition("query_id")
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -310,8 +312,8 @@ class Retail:
                 F.col(cause).alias("recurrence_note"),
             )
 
-        documents = report(spread_scan(self.table("documents")), "d", "doc_id", "source", "text", "lang")
-        pages = report(spread_scan(self.table("pages")), "p", "page_id", "url", "url", "html")
+        documents = report(self.table("documents"), "d", "doc_id", "source", "text", "lang")
+        pages = report(self.table("pages"), "p", "page_id", "url", "url", "html")
         return documents.unionByName(pages)
 
     @cached_property
