@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sluice.session import ensure_checkpointing
 
 WORD = "[a-z0-9_]+"
+# Counts held at a time while texts are compared with the recent incidents.
+CELLS = 8_000_000
 # Rarest words of a text that give the first candidates of the search without look-back.
 SEEDS = 3
 
@@ -31,10 +38,9 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
     without a common token are left out, and ties go to the newer one. A null text has
     no matches.
 
-    The look-back is bounded (``recent`` incidents), so it becomes one row that reaches
-    every text as a scalar subquery: no text, token or pair is shuffled. As a join on
-    tokens the same result needs up to ``recent`` rows per text in a shuffle and one row
-    per common token and incident before it.
+    The look-back is bounded (``recent`` incidents), so its words become one table of words by
+    incidents that every task has: no text, token or pair is shuffled, and a text's overlaps
+    with all incidents are the sum of its words' rows.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -44,42 +50,74 @@ def similar_topk(queries: DataFrame, history: DataFrame, k: int = 3, recent: int
         "failure_key",
         tokens(F.concat_ws(" ", "failure_key", F.coalesce("detail", F.lit("")))).alias("words"),
     )
-    one = newest.agg(
-        F.sort_array(F.collect_list(F.struct(*newest.columns)), asc=False).alias("past"),
-        F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"),
-    )
-    past, known = one.select("past").scalar(), one.select("known").scalar()
+    one = newest.agg(F.sort_array(F.collect_list(F.struct(*newest.columns)), asc=False).alias("past"))
+    shared = queries.sparkSession.sparkContext.broadcast(_words_by_incident(one.first().past))
     asked = queries.where(F.col("text").isNotNull()).select("query_id", tokens(F.col("text")).alias("words"))
-    # Both columns are used more than once, so they are computed once, outside the lambda.
-    asked = asked.select(
-        "query_id",
-        F.size("words").alias("n"),
-        F.array_intersect("words", known).alias("common"),
-        past.alias("past"),
+    kinds = dict(queries.dtypes) | dict(history.dtypes)
+    return asked.mapInArrow(
+        _closest(shared, k),
+        f"query_id {kinds['query_id']}, rank int, incident_id {kinds['incident_id']}, "
+        "failure_key string, overlap bigint, score double",
     )
 
-    def scored(incident: Column, place: Column) -> Column:
-        overlap = F.size(F.array_intersect(F.col("common"), incident["words"]))
-        score = overlap / (F.col("n") + F.size(incident["words"]) - overlap)
-        return F.struct(
-            (-score).alias("back"),
-            place.alias("place"),
-            overlap.cast("bigint").alias("overlap"),
-            incident["incident_id"].alias("incident_id"),
-            incident["failure_key"].alias("failure_key"),
-        )
 
-    every = F.when(F.size("common") > 0, F.transform("past", scored))
-    best = F.slice(F.array_sort(F.filter(every, lambda x: x["overlap"] > 0)), 1, k)
-    found = asked.select("query_id", F.posexplode(best).alias("at", "x"))
-    return found.select(
-        "query_id",
-        (F.col("at") + 1).alias("rank"),
-        "x.incident_id",
-        "x.failure_key",
-        "x.overlap",
-        (-F.col("x.back")).alias("score"),
-    )
+def _words_by_incident(past: list[Row]) -> tuple[list, list, list[str], np.ndarray, np.ndarray]:
+    """Ids, keys, known words, words by incidents (0 or 1), and words of each incident."""
+    words = sorted({w for incident in past for w in incident.words})
+    at = {w: i for i, w in enumerate(words)}
+    held = np.zeros((len(words), len(past)), np.int32)
+    for place, incident in enumerate(past):
+        held[[at[w] for w in incident.words], place] = 1
+    sizes = np.array([len(incident.words) for incident in past], np.int64)
+    return [i.incident_id for i in past], [i.failure_key for i in past], words, held, sizes
+
+
+def _closest(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` closest incidents of every row (query_id, words); the first one wins a tie."""
+
+    def overlaps(lists: pa.Array, words: list[str], held: np.ndarray) -> np.ndarray:
+        """Common words of each list and each incident."""
+        flat = lists.flatten()
+        found = pc.index_in(flat, value_set=pa.array(words, flat.type))
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        places = found.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        ends = np.searchsorted(known, ends)
+        out = np.zeros((len(lists), held.shape[1]), np.int64)
+        step = max(1, CELLS // held.shape[1])
+        begin = 0
+        for row, end in enumerate(ends):
+            for a in range(begin, end, step):
+                out[row] += held[places[a : min(a + step, end)]].sum(axis=0)
+            begin = end
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, words, held, sizes = shared.value
+        for batch in batches:
+            if not words:
+                continue
+            lists = batch.column(1)
+            common = overlaps(lists, words, held)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            with np.errstate(invalid="ignore"):
+                score = common / (n[:, None] + sizes[None, :] - common)
+            best = np.argsort(np.where(common > 0, -score, np.inf), axis=1, kind="stable")[:, :k]
+            row, rank = np.nonzero(np.take_along_axis(common, best, axis=1) > 0)
+            place = best[row, rank]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)),
+                    pa.array(rank + 1, pa.int32()),
+                    pa.array([ids[i] for i in place]),
+                    pa.array([keys[i] for i in place], pa.string()),
+                    pa.array(common[row, place]),
+                    pa.array(score[row, place]),
+                ],
+                names=["query_id", "rank", "incident_id", "failure_key", "overlap", "score"],
+            )
+
+    return run
 
 
 def similar_topk_whole(
@@ -103,15 +141,17 @@ def similar_topk_whole(
     ensure_checkpointing(queries.sparkSession)
     label = F.concat_ws(" ", "failure_key", F.coalesce("detail", F.lit("")))
     past = history.select("incident_id", "failure_key", "injected_at", tokens(label).alias("words"))
-    frequency = past.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    frequency = past.select(F.explode("words").alias("text")).groupBy("text").agg(F.count("*").alias("df"))
+    # From here on a word is a number: sets of numbers meet several times faster than sets of texts.
+    frequency = frequency.withColumn("word", F.monotonically_increasing_id()).checkpoint()
 
     def rare_first(texts: DataFrame, key: str) -> DataFrame:
         """Words the history knows with their place; unknown ones are rarer than all."""
         known = (
-            texts.select(key, F.size("words").alias("size"), F.explode("words").alias("word"))
-            .join(frequency, "word")
+            texts.select(key, F.size("words").alias("size"), F.explode("words").alias("text"))
+            .join(frequency, "text")
             .groupBy(key, "size")
-            .agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+            .agg(F.sort_array(F.collect_list(F.struct("df", "text", "word"))).alias("ranked"))
         )
         return known.select(key, "size", F.col("ranked.word").alias("known")).checkpoint()
 
