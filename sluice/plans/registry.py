@@ -62,17 +62,27 @@ class Lake:
         self.spark = configure(spark)
         self.src = Retail(spark, root)
         self.root = root
+        self._settled: set[str] = set()
         self.tables = Medallion(self.src.raw, keep=self._keep)
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write a table that has several consumers to the shared folder, once."""
         path = scratch_dir(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self, *entities: str) -> Lake:
+        """Write out entities that are about to be read more than once, as their source holds them."""
+        for entity in entities:
+            if entity not in self._settled:
+                self._settled.add(entity)
+                self.src.__dict__[entity] = self._keep(f"source_{entity}", self.src.raw(entity))
+        return self
+
     @cached_property
     def first_raw(self) -> DataFrame:
         """Raw orders as the first run left them: all it had seen by then."""
+        self.settle("orders")
         return self.src.orders.where(F.col("_ingested_at") < ts(PRIOR_TS))
 
     @cached_property
@@ -335,13 +345,14 @@ def append_only_new(lake: Lake) -> DataFrame:
 
 def refresh_orders(lake: Lake) -> DataFrame:
     before = lake.before.silver("orders")
-    now = lake.after.share("orders").classified("orders")
+    now = lake.after.classified("orders")
     return refresh.refresh(before, now, "orders", "order_id", "strict")
 
 
 def refresh_payments(lake: Lake, mode: str) -> DataFrame:
+    lake.settle("payments")
     before = lake.before.silver("payments")
-    now = lake.after.share("payments").classified("payments")
+    now = lake.after.classified("payments")
     return refresh.refresh(before, now, "payments", "payment_id", mode)
 
 
