@@ -669,34 +669,37 @@ def stream_minute_volume(lake: Lake) -> DataFrame:
 
 
 def _drop(path: str, rows: DataFrame) -> None:
-    """One more file of a folder that a stream reads file by file."""
-    rows.coalesce(1).write.mode("append").parquet(path)
+    """One more drop in a folder that a stream reads, as many files as there are tasks."""
+    rows.write.mode("append").parquet(path)
 
 
-def _drops(lake: Lake, path: str, like: DataFrame) -> DataFrame:
-    stream = lake.spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1)
-    return stream.parquet(path)
+def _arrived(lake: Lake, path: str, like: DataFrame) -> DataFrame:
+    """All files that came since the last drain, in one batch."""
+    return lake.spark.readStream.schema(like.schema).parquet(path)
 
 
 def stream_volume_spike(lake: Lake) -> DataFrame:
     """Accepted orders in two drops, the spike test after the second."""
     root = scratch_dir(lake.spark, "stream-spike")
     rows = lake.tables.share("orders").silver("orders").select("ordered_at")
+    found = volumes.MinuteVolumes(lake.spark, root, grain="month")
     for part in (F.col("ordered_at") < ts(STREAM_CUT), F.col("ordered_at") >= ts(STREAM_CUT)):
         _drop(f"{root}/source", rows.where(part))
-    found = volumes.MinuteVolumes(lake.spark, root, grain="month")
-    counts = jobs.stream_minute_counts(_drops(lake, f"{root}/source", rows), "ordered_at")
-    volumes.stream_volumes(counts, found, f"{root}/checkpoint").awaitTermination()
+        counts = jobs.stream_minute_counts(_arrived(lake, f"{root}/source", rows), "ordered_at")
+        volumes.stream_volumes(counts, found, f"{root}/checkpoint").awaitTermination()
     return found.spike()
 
 
 def stream_payments(lake: Lake) -> DataFrame:
     """Payments and accepted orders as two streams of three drops.
 
-    Every fifth early order comes one drop after its payments. The third drop is a marker
+    A drop has at most as many files as a batch takes, so that no task writes or reads a whole
+    drop. Where it has fewer, a batch also takes files of the next one; as the delay covers all
+    times and the markers come last, the verdicts do not depend on that. Every fifth early order comes one drop after its payments. The third drop is a marker
     beyond all times, which makes the verdicts of all orphans final.
     """
     root = scratch_dir(lake.spark, "stream-payments")
+    lake.settle("payments")
     paid = lake.tables.bronze("payments").select(*ENTITIES["payments"].column_names, "_ingested_at")
     orders = lake.tables.share("orders").silver("orders").select("order_id", "ordered_at")
     early_payment = F.coalesce("paid_at", "_ingested_at") < ts(STREAM_CUT)
@@ -704,15 +707,19 @@ def stream_payments(lake: Lake) -> DataFrame:
     marker = lambda df, time: lake.spark.range(1).select(
         *[(ts("2100-01-01") if n == time else F.lit(None)).cast(k).alias(n) for n, k in df.dtypes]
     )
+    files = max(2, lake.spark.sparkContext.defaultParallelism)
     for part in (early_payment, ~early_payment):
-        _drop(f"{root}/payments", paid.where(part))
+        _drop(f"{root}/payments", paid.where(part).coalesce(files))
     for part in (early_order, ~early_order):
-        _drop(f"{root}/orders", orders.where(part))
+        _drop(f"{root}/orders", orders.where(part).coalesce(files))
     _drop(f"{root}/payments", marker(paid, "paid_at"))
     _drop(f"{root}/orders", marker(orders, "ordered_at"))
+    by_drop = lambda path, like: (
+        lake.spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
+    )
     verdicts = payments.stream_payment_verdicts(
-        _drops(lake, f"{root}/payments", paid),
-        _drops(lake, f"{root}/orders", orders),
+        by_drop(f"{root}/payments", paid),
+        by_drop(f"{root}/orders", orders),
         # In the given tables orders and shipping dates lie up to seven years apart.
         delay="3000 days",
         reach="2600 days",
@@ -733,8 +740,8 @@ def stream_ledger_once(lake: Lake) -> DataFrame:
     for since, until in zip((None, *cuts), (*cuts, None), strict=True):
         poll = rows if since is None else rows.where(at >= ts(since) - back)
         _drop(f"{root}/polls", poll if until is None else poll.where(at <= ts(until)))
-    once = jobs.stream_ledger_once(_drops(lake, f"{root}/polls", rows))
-    jobs.append_rows(once, f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
+        once = jobs.stream_ledger_once(_arrived(lake, f"{root}/polls", rows))
+        jobs.append_rows(once, f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
     return lake.spark.read.schema(rows.schema).parquet(f"{root}/ledger")
 
 

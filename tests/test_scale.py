@@ -78,3 +78,25 @@ def test_refreshed_payments_are_derived_once(spark, tmp_path):
     # Strict mode equals a full rebuild.
     rebuilt = registry.Lake(spark, lake.root).after.silver("payments")
     assert sorted(map(str, found.collect())) == sorted(map(str, rebuilt.collect())) != []
+
+
+def test_a_drop_is_written_by_all_its_tasks_and_read_in_one_batch(spark, tmp_path):
+    lake = registry.Lake(spark, str(tmp_path))
+    path, seen = str(tmp_path / "drops"), []
+    for start in (0, 100):
+        rows = spark.range(start, start + 100, 1, 5)
+        registry._drop(path, rows)
+        stream = registry._arrived(lake, path, rows).writeStream.trigger(availableNow=True)
+        stream = stream.option("checkpointLocation", str(tmp_path / "c"))
+        stream.foreachBatch(lambda df, i: seen.append(df.count())).start().awaitTermination()
+    assert len(list((tmp_path / "drops").glob("part-*.parquet"))) == 10
+    assert seen == [100, 100]
+
+
+def test_streamed_payments_equal_the_batch_verdicts_in_drops_of_many_files(spark, tmp_path):
+    root = tables(spark, str(tmp_path / "t"))
+    found = registry.stream_payments(registry.Lake(spark, root))
+    lake = registry.Lake(spark, root)
+    want = lake.tables.classified("payments").select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert found.count() == 16
