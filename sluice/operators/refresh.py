@@ -71,6 +71,9 @@ def affected_orders(raw: DataFrame, before: DataFrame | None, batch: DataFrame)
     classified on its own. Touched keys are matched by hash, first rows are found on the
     full key; a hash collision only adds rows.
     """
+    if before is None and raw is batch:
+        # Every row is the batch's own; one without a key has never been matched.
+        return raw.where(F.col("order_id").isNotNull())
     key_hash = F.xxhash64(*BUSINESS_KEY)
     touched = batch.select(key_hash.alias("_bk"))
     if before is not None:

@@ -78,12 +78,15 @@ class GoldTables:
         groups = self.groups.rows(parts)
         groups = gold.revenue_groups(now.limit(0)) if groups is None else groups
         self.groups.replace(merge_revenue(groups, deltas), parts, f"{stage}/groups")
-        rows = now if near is None else _without(near, ids).unionByName(now)
-        self.obt.replace(rows, parts, f"{stage}/obt")
+        if near is None:
+            # What was kept is already the stage.
+            self.obt.replace(now, parts, f"{stage}/obt-after")
+        else:
+            self.obt.replace(self.obt.with_new(_without(near, ids), now), parts, f"{stage}/obt")
 
     def _keep(self, df: DataFrame, path: str) -> DataFrame:
         if not exists(self.spark, f"{path}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,7 +121,7 @@ class OrderTables:
 
     def _keep(self, df: DataFrame, path: str) -> DataFrame:
         if not exists(self.spark, f"{path}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
@@ -132,7 +135,7 @@ class OrderTables:
         rows = self._keep(latest_per_key(batch, "order_id"), f"{stage}/rows")
         known = self.raw.rows(self.raw.parts(rows))
         old = self._keep(rows.limit(0) if known is None else _only(known, rows), f"{stage}/old")
-        self.raw.upsert(rows, "order_id", f"{stage}/raw")
+        self.raw.upsert(rows, "order_id", f"{stage}/raw", unique=True)
 
         parts = self.verdicts.parts(rows, old)
         near = self.verdicts.rows(parts)
@@ -141,10 +144,13 @@ class OrderTables:
         verdicts = self._keep(classify_orders(affected), f"{stage}/verdicts")
         was = verdicts.limit(0) if near is None else _only(near, verdicts)
         was = self._keep(was.select(*verdicts.columns), f"{stage}/before")
-        merged = verdicts
-        if near is not None:
-            merged = _without(near, verdicts).select(*verdicts.columns).unionByName(verdicts)
-        self.verdicts.replace(merged, parts, f"{stage}/merged")
+        if near is None:
+            # What was kept is already the stage.
+            self.verdicts.replace(verdicts, parts, f"{stage}/verdicts")
+        else:
+            others = _without(near, verdicts).select(*verdicts.columns)
+            merged = self.verdicts.with_new(others, verdicts)
+            self.verdicts.replace(merged, parts, f"{stage}/merged")
         if self.gold is not None:
             self.gold.apply(accepted(was, "orders"), accepted(verdicts, "orders"), f"{stage}/gold")
 

@@ -86,7 +86,7 @@ class Ingest:
             F.max(spec.watermark).cast("string").alias("t"),
             F.max(spec.pk).alias("i"),
             F.max(drifted).alias("d"),
-        ).write.mode("overwrite").parquet(stage)
+        ).write.mode("overwrite").option("compression", "zstd").parquet(stage)
         rows_read, newest, highest, any_drift = (seen.get[k] for k in ("n", "t", "i", "d"))
         high_ts = max(newest or prior_ts, prior_ts)
         high_id = max(prior_id if highest is None else highest, prior_id)

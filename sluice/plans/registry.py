@@ -254,6 +254,7 @@ def ingest_load_stats(lake: Lake) -> DataFrame:
 
 def ingest_run(lake: Lake) -> DataFrame:
     """A full run over the four entities, then an incremental one; both run logs."""
+    lake.settle("orders", "payments")
     runs = Ingest(lake.spark, scratch_dir(lake.spark, "ingest"))
     sources = {e: lake.src.source(e) for e in ENTITY_ORDER}
     runs.run(sources, PRIOR_TS, mode="full")
@@ -368,7 +369,7 @@ def transition_report(lake: Lake) -> DataFrame:
 def live_tables(lake: Lake) -> OrderTables:
     """Two batches of orders applied one after the other: the first drop, then the second."""
     root = scratch_dir(lake.spark, "live")
-    t = lake.tables
+    t = lake.settle("payments").tables
     made = GoldTables(
         lake.spark,
         root,

@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.ingest import latest_per_key, upsert
+from sluice.operators.ingest import latest_per_key
 from sluice.session import remove
 
 EPOCH = "1970-01-01 00:00:00"
+# Parts a staged file may hold on average before its rows are shuffled by part.
+FEW_PARTS = 4
 COMMIT_DDL = "version BIGINT, committed_at TIMESTAMP"
 RUN_LOG_DDL = (
     "run_ts TIMESTAMP, entity STRING, rows_read BIGINT, rows_upserted BIGINT, "
@@ -137,26 +139,40 @@ class PartitionedTable:
         """Let ``rows`` be all that the given parts hold. ``rows`` may read the table.
 
         A complete ``stage`` is taken in their place: it holds what the first call began to write.
+        Where its files hold few parts each, as rows that came from the table do, they are written
+        as they lie; else rows are shuffled by part.
         """
         if not self.staged(stage):
-            rows.write.mode("overwrite").parquet(stage)
-        written = self.spark.read.schema(rows.schema).parquet(stage).select("*", self.part)
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(stage)
+        written = self.spark.read.schema(rows.schema).parquet(stage)
+        placed = written.select(self.part, "_metadata.file_path").distinct()
+        lie = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}
+        few = FEW_PARTS * (len(written.inputFiles()) + len(lie))
+        self._overwrite(written.select("*", self.part), sum(lie.values()) <= few)
+        for part in set(parts) - set(lie):
+            remove(self.spark, f"{self.path}/_part={part}")
+
+    def with_new(self, near: DataFrame, new: DataFrame) -> DataFrame:
+        """Rows read from the table beside new ones, of which each task gets few parts."""
+        placed = new.select("*", self.part).hint("rebalance", "_part").drop("_part")
+        return near.unionByName(placed)
+
+    def _overwrite(self, rows: DataFrame, clustered: bool) -> None:
         # Small parts share a task and a large one is split into many, by size.
+        placed = rows if clustered else rows.hint("rebalance", "_part")
         (
-            written.hint("rebalance", "_part")
-            .write.mode("overwrite")
+            placed.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("_part")
             .parquet(self.path)
         )
-        left = {r[0] for r in written.select("_part").distinct().collect()}
-        for part in set(parts) - left:
-            remove(self.spark, f"{self.path}/_part={part}")
 
-    def upsert(self, batch: DataFrame, key: str, stage: str) -> None:
+    def upsert(self, batch: DataFrame, key: str, stage: str, unique: bool = False) -> None:
         """Insert or replace rows by key; a key must keep its part. Repeating changes nothing.
 
-        The batch is read more than once, so pass a frame over written files.
+        The batch is read more than once, so pass a frame over written files. ``unique`` says that
+        it has one row per key. The first batch needs no stage: it does not read the table, and
+        repeating it replaces what a crash has left.
         """
         columns = [c for c in batch.columns if c != "_arrived"]
         if self.staged(stage):
@@ -165,8 +181,12 @@ class PartitionedTable:
             remove(self.spark, stage)
         parts = self.parts(batch)
         near = self.rows(parts)
-        merged = latest_per_key(batch, key) if near is None else upsert(near, batch, key)
-        self.replace(merged.select(*columns), parts, stage)
+        last = batch.select(*columns) if unique else latest_per_key(batch, key)
+        if near is None:
+            self._overwrite(last.select(*columns, self.part), False)
+            return
+        merged = near.join(last.select(F.col(key).alias("_pk")), F.col(key) == F.col("_pk"), "left_anti")
+        self.replace(self.with_new(merged, last).select(*columns), parts, stage)
 
 
 class RunLog:

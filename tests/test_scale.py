@@ -3,8 +3,11 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from sluice.operators import history
 from sluice.plans import registry
+from sluice.sources.layers import PartitionedTable, key_range
 
 
 def plan(df):
@@ -100,3 +103,28 @@ def test_streamed_payments_equal_the_batch_verdicts_in_drops_of_many_files(spark
     want = lake.tables.classified("payments").select(*found.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     assert found.count() == 16
+
+
+def test_a_batch_shuffles_no_rows_that_lie_by_part(spark, tmp_path, monkeypatch):
+    table = PartitionedTable(spark, str(tmp_path / "t"), key_range("id", 100))
+    as_they_lie, write = [], PartitionedTable._overwrite
+    monkeypatch.setattr(PartitionedTable, "_overwrite", lambda s, df, c: (as_they_lie.append(c), write(s, df, c))[1])
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id bigint, v int").repartition(4)
+    table.upsert(rows(range(2000), 1), "id", str(tmp_path / "s0"))
+    # Nothing of the table is read by the first batch, so nothing is staged.
+    assert not (tmp_path / "s0").exists()
+    table.upsert(rows(range(5, 2005, 10), 2), "id", str(tmp_path / "s1"))
+    assert as_they_lie == [False, True]
+    found = {r.id: r.v for r in table.rows().collect()}
+    assert found == {i: 2 if i % 10 == 5 else 1 for i in range(2000)}
+    # A part that loses all rows goes.
+    table.replace(table.rows().where("id >= 100"), list(range(20)), str(tmp_path / "s2"))
+    assert table.rows().agg(F.min("id")).first()[0] == 100
+
+
+def test_a_repeated_first_batch_replaces_what_a_crash_left(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "t"), key_range("id", 10))
+    rows = spark.createDataFrame([(i % 25, i) for i in range(50)], "id bigint, _ingested_at int")
+    table._overwrite(rows.where("id < 5").select("*", table.part), False)
+    table.upsert(rows, "id", str(tmp_path / "s"))
+    assert {r.id: r._ingested_at for r in table.rows().collect()} == {i: i + 25 for i in range(25)}
