@@ -3,11 +3,11 @@
 Two multinomials over hashed word unigrams and bigrams are compared: one of trusted
 target texts, one of the raw corpus. A text's score is the mean log ratio of its n-grams,
 so that long and short texts are held against the same threshold. The raw counts come
-from every text; the target counts come from a bounded, hash-ordered sample of the trusted
-rows. The threshold is cross-fitted: each half of the sample is scored with the counts of the
-other half, which has not seen it. The model has a fixed number of buckets and reaches the rows
-as a scalar subquery. All of it is built-in expressions inside one row; only bucket counts
-are shuffled.
+from every text, the target counts from every trusted one. The threshold is cross-fitted: each
+half of the trusted texts is scored with the counts of the other half, which has not seen it, and
+its medians are exact ones of all their scores. The model has a fixed number of buckets and
+reaches the rows as a scalar subquery. All of it is built-in expressions inside one row; bucket
+counts and scores are shuffled, and texts only where the trusted keys are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.ranking import percentiles
 from sluice.llm.common import keep, whole, words
 
 BUCKETS = 65536
-# Trusted rows taken for the target multinomial, lowest hash of the id first.
-TARGET_ROWS = 20_000
 # Occurrences added to what a bucket has in the target, and to what it would have there if the
 # target were like the corpus. So a bucket seen a few times says little either way, and one that
 # is common in the corpus and absent from the target says much.
@@ -27,6 +26,7 @@ EVIDENCE = 1.0
 # Robust standard deviations below the median score of unseen trusted texts, at which a text
 # counts as unlike the target.
 DEVIATIONS = 5.0
+WHOLE = {"byte", "short", "integer", "long"}
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 BLANKS = " \t\n\x0b\x0c\r"
@@ -50,39 +50,48 @@ def hashed(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFra
     return step.withColumn("grams", _buckets(F.col("hashes"), buckets))
 
 
-def trusted_ids(trusted: DataFrame, key: str, limit: int = TARGET_ROWS) -> DataFrame:
-    """At most ``limit`` distinct trusted keys ``id``, the same on every run, in two halves."""
-    ids = trusted.select(F.col(f"`{key}`").alias("id")).where(F.col("id").isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(limit)
-    return ids.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)))
-
-
-def ratios(
-    docs: DataFrame,
-    trusted: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    buckets: int = BUCKETS,
-    limit: int = TARGET_ROWS,
+def trusted_texts(
+    docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS
 ) -> DataFrame:
+    """``id``, ``half`` (0 or 1, by a hash of the key), ``n`` words and ``grams`` of every trusted row.
+
+    Whole-number keys meet as bitmaps, a bit per key where keys are dense, so that texts need not
+    be shuffled to find the trusted ones. Other keys, and bitmaps too large to broadcast, are joined
+    as they are.
+    """
+    ids = trusted.select(F.col(f"`{key}`").alias("id")).where(F.col("id").isNotNull()).distinct()
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body"))
+    if {rows.schema["key"].dataType.typeName(), ids.schema["id"].dataType.typeName()} <= WHOLE:
+        places = ids.select(F.bitmap_bucket_number("id").alias("b"), F.bitmap_bit_position("id").alias("bit"))
+        maps = places.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        # Written, so that its true size decides how it is joined.
+        maps = keep(maps, "quality-trusted")
+        met = rows.join(maps, F.bitmap_bucket_number("key") == F.col("b"))
+        bit = F.bitmap_bit_position("key")
+        octet = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        picked = met.where(octet.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(key) % 8 AS INT))")) != 0)
+    else:
+        picked = rows.join(ids, F.col("key") == F.col("id"))
+    found = hashed(picked.select(F.col("key").alias("id"), "body"), "body", buckets)
+    half = F.pmod(F.xxhash64("row.id", F.lit(1)), F.lit(2))
+    return found.select("row.id", half.alias("half"), F.size("words").alias("n"), "grams")
+
+
+def ratios(docs: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row: the log ratios of every bucket, target to raw, 0 where unseen.
 
-    ``ratios`` is made of all trusted texts, ``without_0`` and ``without_1`` each of one half
-    only. Without any trusted text all are 0. ``limit`` bounds the broadcast keys.
+    ``target`` comes from ``trusted_texts`` over the same rows. ``ratios`` is made of all trusted
+    texts, ``without_0`` and ``without_1`` each of one half only. Without any trusted text all are 0.
     """
-    ids = F.broadcast(trusted_ids(trusted, key, limit))
-    grams = hashed(docs, text, buckets).select(F.col(f"row.`{key}`").alias("key"), "grams")
-    marked = grams.join(ids, F.col("key") == F.col("id"), "left")
     # The outer form: the optimizer would else test each array's size by making it twice.
-    counts = (
-        marked.select(F.explode_outer("grams").alias("b"), "half")
-        .where(F.col("b").isNotNull())
-        .groupBy("b")
-        .agg(
-            F.count("*").alias("raw"),
-            F.count_if(F.col("half") == 0).alias("t0"),
-            F.count_if(F.col("half") == 1).alias("t1"),
-        )
+    raw = hashed(docs, text, buckets).select(F.explode_outer("grams").alias("b"))
+    raw = raw.where(F.col("b").isNotNull()).groupBy("b").agg(F.count("*").alias("raw"))
+    halves = target.select(F.explode("grams").alias("b"), "half").groupBy("b").agg(
+        F.count_if(F.col("half") == 0).alias("t0"), F.count_if(F.col("half") == 1).alias("t1")
+    )
+    none = F.lit(0).cast("bigint")
+    counts = raw.join(halves, "b", "left").select(
+        "b", "raw", F.coalesce("t0", none).alias("t0"), F.coalesce("t1", none).alias("t1")
     )
     everything = Window.partitionBy()
     n_raw = F.sum("raw").over(everything)
@@ -108,41 +117,24 @@ def _score(grams: str, ratios: str) -> Column:
     return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
 
 
-def _median(values: str) -> Column:
-    """Median of an array column; null if it is empty."""
-    ordered, n = F.sort_array(values), F.size(values)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return (F.get(ordered, low) + F.get(ordered, high)) / 2
-
-
-def threshold(
-    docs: DataFrame,
-    trusted: DataFrame,
-    model: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    deviations: float = DEVIATIONS,
-    limit: int = TARGET_ROWS,
-    buckets: int = BUCKETS,
-) -> DataFrame:
+def threshold(target: DataFrame, model: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """One row with ``t``: the median minus ``deviations`` robust deviations of trusted scores.
 
-    Each trusted text of 50 words or more is scored without its own half. A robust deviation is
-    1.4826 times the median distance from the median. Null where there are fewer than two.
+    Each trusted text of 50 words or more is scored without its own half; rows that share a key
+    count once, with the least score. A robust deviation is 1.4826 times the median distance from
+    the median. Both medians are exact. Null or no row where there are fewer than two.
     """
-    ids = F.broadcast(trusted_ids(trusted, key, limit))
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body"))
-    picked = rows.join(ids, F.col("key") == F.col("id")).select("id", "half", "body")
-    scored = hashed(picked, "body", buckets)
+    scored = target.where(F.col("n") >= MIN_WORDS)
     for name in ("without_0", "without_1"):
         scored = scored.withColumn(name, model.select(name).scalar())
-    own = F.when(F.col("row.half") == 0, _score("grams", "without_0")).otherwise(_score("grams", "without_1"))
-    scored = scored.select("row.id", F.size("words").alias("n"), own.alias("s")).where(F.col("n") >= MIN_WORDS)
-    # One per key, the least where rows share it: at most ``limit`` numbers.
-    middle = scored.groupBy("id").agg(F.min("s").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("m", _median("s"))
-    away = middle.withColumn("away", F.transform("s", lambda x: F.abs(x - F.col("m"))))
-    spread = 1.4826 * _median("away")
-    return away.select(F.when(F.size("s") > 1, F.col("m") - deviations * spread).alias("t"))
+    own = F.when(F.col("half") == 0, _score("grams", "without_0")).otherwise(_score("grams", "without_1"))
+    least = scored.select("id", own.alias("s")).groupBy("id").agg(F.min("s").alias("s"))
+    least = keep(least.select(F.lit(0).alias("all"), "s"), "quality-scores")
+    middle = keep(percentiles(least, ["all"], "s", {"m": 0.5}), "quality-median")
+    away = least.select("all", F.abs(F.col("s") - middle.select("m").scalar()).alias("away"))
+    spread = percentiles(away, ["all"], "away", {"d": 0.5}).select("all", "d")
+    t = F.col("m") - deviations * 1.4826 * F.col("d")
+    return middle.join(spread, "all").select(F.when(F.col("n") > 1, t).alias("t"))
 
 
 def repeated_words(hashes: Column) -> tuple[Column, Column]:
@@ -201,7 +193,6 @@ def quality_rules(
     text: str = "text",
     buckets: int = BUCKETS,
     deviations: float = DEVIATIONS,
-    limit: int = TARGET_ROWS,
 ) -> DataFrame:
     """Judge every text; one output row per input row.
 
@@ -212,8 +203,9 @@ def quality_rules(
     empty texts fail the word-count rule. Rows with a repeated or null key are judged each
     on their own text.
     """
-    model = keep(ratios(docs, trusted, key, text, buckets, limit), "quality-model")
-    least = keep(threshold(docs, trusted, model, key, text, deviations, limit, buckets), "quality-threshold")
+    target = keep(trusted_texts(docs, trusted, key, text, buckets), "quality-target")
+    model = keep(ratios(docs, target, text, buckets), "quality-model")
+    least = keep(threshold(target, model, deviations), "quality-threshold")
     out = measures(docs, text, buckets).withColumn("ratios", model.select("ratios").scalar())
     mean = _score("grams", "ratios")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,30 @@ def test_texts_without_a_finding_meet_in_no_join(spark, scan):
     assert out.count() == 501
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "isnull(key" in plan and "isnotnull(key" in plan
+
+
+def test_every_trusted_text_counts(spark):
+    n = 20_300
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id") % 7).alias("text"))
+    target = quality.trusted_texts(docs, docs.select("doc_id"), buckets=64)
+    assert target.count() == n
+    # The threshold is the exact one of the scores of all of them.
+    scores = [((i * 7919) % 1009) / 1009 for i in range(n)]
+    rows = [(i, i % 2, 50, [0 if i % 2 else 1, 2 + i]) for i in range(n)]
+    target = spark.createDataFrame(rows, "id bigint, half bigint, n int, grams array<int>")
+    model = spark.createDataFrame([([0.0, 0.0, *scores],) * 3], "ratios array<double>, without_0 array<double>, without_1 array<double>")
+    found = quality.threshold(target, model, 5.0).first().t
+    halves = np.array(scores) / 2
+    middle = np.median(halves)
+    assert abs(found - (middle - 5 * 1.4826 * np.median(np.abs(halves - middle)))) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_trusted_rows_are_found_by_key_of_any_kind(spark, kind):
+    keys = [0, 1, -1, 7, 8, -40_000, 32_768, 32_769, 65_536, 65_537, 2_000_000_000]
+    docs = [(k, f"text {k}") for k in keys] + [(7, "again"), (None, "none"), (9, "not trusted"), (-8, "nor this")]
+    rows = spark.createDataFrame(docs, "k bigint, text string").withColumn("k", F.col("k").cast(kind))
+    trusted = spark.createDataFrame([(k,) for k in [*keys, 7, None, 12345]], "k bigint").withColumn("k", F.col("k").cast(kind))
+    found = quality.trusted_texts(rows, trusted, "k", "text", 64)
+    assert found.schema["id"].dataType == rows.schema["k"].dataType
+    assert sorted(int(r.id) for r in found.collect()) == sorted([*keys, 7])
