@@ -33,6 +33,8 @@ SEED = 42
 SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 7
+# All pairs of a bucket of no more nodes than this are at most eight rows a node.
+SMALL = 16
 # Shingles hashed at a time, which bounds memory for very long texts.
 CHUNK = 200_000
 
@@ -316,6 +318,13 @@ def similar_components(
     all pairs of a bucket in different components are compared; only buckets that hold several
     components carry fingerprints and sets. That join itself checks the Hamming distance and then
     the sets, so texts that are almost similar enough make no rows, however many they are.
+
+    Many texts around the threshold of each other are left apart by one star, and the links
+    between them grow with the square of their number. So the large buckets are starred again,
+    each round with twice as many drawn leaders as before and every node linked to all that it is
+    similar to. A round's links tell how many links between components there are; the rounds end
+    when these are no more than the rows of the large buckets. Whatever they leave apart is
+    compared as a whole, so they lose no link.
     """
     words = [f"f{i}" for i in range(blocks)]
     deal = lambda df, *more: df.select(
@@ -338,37 +347,74 @@ def similar_components(
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     links = near.join(left, "a").join(right, "b").where(_alike("sa", "sb", similarity)).select("a", "b")
     links = connected_components(links)
-    rough = nodes.join(links, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    rough = stage.keep(rough.drop("component"), "parts")
+    rough = nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    rough = stage.keep(rough, "parts")
     stage.drop(near, sets)
 
-    dealt = deal(rough, "part")
-    mixed = dealt.groupBy("n", "k").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = mixed.where("low < high").select("n", "k")
-    met = stage.keep(dealt.join(mixed, ["n", "k"], "left_semi"), "met")
+    met = stage.keep(_of_several_parts(deal(nodes.join(rough, "node"), "part")), "met")
     sets = stage.keep(sets_of(met.select("node").distinct()), "sets")
-    full = met.join(rough.select("node", *words).join(sets, "node"), "node")
-    side = lambda end: full.select(
-        *[F.col(c).alias(f"{c}_{end}") for c in ("part", "n", "k", *words, "s")]
-    )
+    looks = nodes.select("node", *words).join(sets, "node")
     apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words)
+
+    def linked(rows: DataFrame, other: DataFrame, pairs: Column) -> DataFrame:
+        """Links between ``rows`` and ``other`` of the same bucket; only they leave the join."""
+        side = lambda df, end: df.join(looks, "node").select(
+            *[F.col(c).alias(f"{c}_{end}") for c in (*df.columns, *words, "s")]
+        )
+        same = (F.col("n_a") == F.col("n_b")) & (F.col("k_a") == F.col("k_b"))
+        close = (apart <= distance) & _alike("s_a", "s_b", similarity)
+        return side(rows, "a").join(side(other, "b"), same & pairs & close)
+
+    heads = 1
+    while True:
+        large = met.where(F.col("c") > SMALL)
+        found = linked(large, _drawn(large, heads), F.col("part_a") != F.col("part_b"))
+        found = stage.keep(found.select("part_a", "part_b", "c_a"), "found")
+        seen = found.agg(F.count("*").alias("n"), F.sum("c_a").alias("c")).first()
+        if seen.n == 0:
+            stage.drop(found)
+            break
+        # Of all links of a bucket of c nodes, about 2 * heads / c have a drawn end.
+        enough = seen.c / (2 * heads) <= large.count()
+        merged = connected_components(found.select("part_a", "part_b").distinct(), "part_a", "part_b")
+        before = (found, rough, met)
+        rough = _joined(rough, merged).withColumnRenamed("component", "part")
+        rough = stage.keep(rough, "parts")
+        met = stage.keep(_of_several_parts(met.drop("part", "c").join(rough, "node")), "met")
+        stage.drop(*before)
+        if enough:
+            break
+        heads *= 2
+
     # A pair that shares several blocks is looked at in the first of them only.
     earlier = [(F.col("n_a") > i) & (F.col(f"{w}_a") == F.col(f"{w}_b")) for i, w in enumerate(words)]
-    across = side("a").join(
-        side("b"),
-        (F.col("n_a") == F.col("n_b"))
-        & (F.col("k_a") == F.col("k_b"))
-        & (F.col("part_a") < F.col("part_b"))
-        & (apart <= distance)
-        & ~reduce(or_, earlier)
-        & _alike("s_a", "s_b", similarity),
-    )
+    slim = met.drop("c")
+    across = linked(slim, slim, (F.col("part_a") < F.col("part_b")) & ~reduce(or_, earlier))
     merged = connected_components(across.select("part_a", "part_b").distinct(), "part_a", "part_b")
-    out = stage.keep(_joined(rough.select("node", "part"), merged), "components")
+    out = stage.keep(_joined(rough, merged), "components")
     stage.drop(rough, met, sets)
     return out
 
 
+def _of_several_parts(dealt: DataFrame) -> DataFrame:
+    """Rows of buckets (``n``, ``k``) that hold several parts, with ``c``, their number of rows."""
+    mixed = dealt.groupBy("n", "k").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("c")
+    )
+    return dealt.join(mixed.where("low < high").select("n", "k", "c"), ["n", "k"])
+
+
+def _drawn(met: DataFrame, count: int) -> DataFrame:
+    """Up to ``count`` rows of every bucket: ``n``, ``k``, ``node`` and ``part``, drawn by a hash.
+
+    They are partial minima, so no bucket is sorted or held as a whole.
+    """
+    h = F.xxhash64("node", "n", F.lit(count))
+    drawn = met.groupBy("n", "k", F.pmod(h, F.lit(count)).alias("slot"))
+    drawn = drawn.agg(F.min(F.struct(h.alias("h"), "node", "part")).alias("m"))
+    return drawn.select("n", "k", "m.node", "m.part")
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",

@@ -163,3 +163,31 @@ def test_connected_components_of_paths_and_stars(spark):
     got = dict(connected_components(frame).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert connected_components(frame.where(F.lit(False))).count() == 0
+
+
+def test_a_large_group_around_the_threshold_makes_few_links(spark, monkeypatch):
+    # Each copy has three words of its own: about half of all pairs are similar enough.
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(245)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(0, 245), 3):
+            words[at] = f"own{i}"
+        texts.append(" ".join(words))
+    seen = []
+    real = simhash.connected_components
+
+    def counted(edges, *ends):
+        seen.append(edges.count())
+        return real(edges, *ends)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    sets = [shingle_set(t) for t in texts]
+    pairs = combinations(range(len(texts)), 2)
+    close = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(close) > 10_000
+    assert [got[i] for i in range(len(texts))] == union_find(len(texts), close)
+    assert max(seen) <= 3 * len(texts)
