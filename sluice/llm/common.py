@@ -30,21 +30,25 @@ class Staging:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = scratch_dir(spark, label)
+        self.made = 0
         self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         """Write a frame and read it back, like ``keep``."""
-        path = f"{self.root}/{len(self.kept)}-{label}"
+        path = f"{self.root}/{self.made}-{label}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
+        self.made += 1
         self.kept.append((back, path))
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables kept here. Nothing computed later may read them."""
-        for frame, path in self.kept:
-            if any(frame is f for f in frames):
-                remove(self.spark, path)
+        gone = [x for x in self.kept if any(x[0] is f for f in frames)]
+        for _, path in gone:
+            remove(self.spark, path)
+        # A frame that is held here keeps its plan and file list in the driver's memory.
+        self.kept = [x for x in self.kept if not any(x is g for g in gone)]
 
 
 def words(text: Column) -> Column:

@@ -8,35 +8,33 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Staging
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node with an edge.
 
     Self-loops, repeated edges and both directions may occur; rows with a null end are no
     edges. Every step is a partial minimum per node and a join on the node against a
-    written table, so a node with very many edges is split by AQE. The driver sees two
-    scalars per round. The number of rounds grows with the logarithm of the longest path.
-    Only the last round's table stays on disk.
+    written table, so a node with very many edges is split by AQE. The rounds end when every
+    component is a star around its smallest node, which the first aggregate of a round tells:
+    the driver sees one row per round. The number of rounds grows with the logarithm of the
+    longest path. Only the last round's table stays on disk.
     """
     stage = Staging(edges.sparkSession, "components")
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     ends = ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = stage.keep(ends.distinct(), "edges")
-    before = None
-    while (mark := _mark(now)) != before:
-        before = mark
-        if mark[0] == 0:
-            break
+    while True:
         # Large star: every larger neighbour of a node is hung below its smallest neighbour.
-        both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).union(
-            now.select(F.col("v").alias("n"), F.col("u").alias("m"))
+        both = now.select(F.col("u").alias("n"), F.col("v").alias("m"), F.lit(1).alias("up")).union(
+            now.select(F.col("v").alias("n"), F.col("u").alias("m"), F.lit(0).alias("up"))
         )
-        low = both.groupBy("n").agg(F.min("m").alias("low"))
-        low = stage.keep(low.select(F.col("n").alias("k"), F.least("n", "low").alias("low")), "low")
+        low = both.groupBy("n").agg(F.min("m").alias("low"), F.sum("up").alias("ups"), F.count("*").alias("c"))
+        # In a star a node has only larger neighbours, or a single one that is smaller.
+        starred = (F.col("ups") == 0) | (F.col("c") == 1)
+        low = low.select(F.col("n").alias("k"), F.least("n", "low").alias("low"), starred.alias("starred"))
+        low = stage.keep(low, "low")
+        if low.agg(F.coalesce(F.bool_and("starred"), F.lit(True)).alias("all")).first().all:
+            stage.drop(low)
+            break
         up = both.where(F.col("m") > F.col("n")).join(low, F.col("n") == F.col("k"))
         large = stage.keep(up.select(F.col("m").alias("u"), F.col("low").alias("v")).distinct(), "large")
         stage.drop(now, low)

@@ -321,7 +321,7 @@ def similar_components(
 
     Many texts around the threshold of each other are left apart by one star, and the links
     between them grow with the square of their number. So the large buckets are starred again,
-    each round with twice as many drawn leaders as before and every node linked to all that it is
+    each round with four times as many drawn leaders as before and every node linked to all that it is
     similar to. A round's links tell how many links between components there are; the rounds end
     when these are no more than the rows of the large buckets. Whatever they leave apart is
     compared as a whole, so they lose no link.
@@ -352,8 +352,8 @@ def similar_components(
     stage.drop(near, sets)
 
     met = stage.keep(_of_several_parts(deal(nodes.join(rough, "node"), "part")), "met")
-    sets = stage.keep(sets_of(met.select("node").distinct()), "sets")
-    looks = nodes.select("node", *words).join(sets, "node")
+    looks = nodes.select("node", *words).join(sets_of(met.select("node").distinct()), "node")
+    looks = stage.keep(looks, "looks")
     apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words)
 
     def linked(rows: DataFrame, other: DataFrame, pairs: Column) -> DataFrame:
@@ -384,7 +384,7 @@ def similar_components(
         stage.drop(*before)
         if enough:
             break
-        heads *= 2
+        heads *= 4
 
     # A pair that shares several blocks is looked at in the first of them only.
     earlier = [(F.col("n_a") > i) & (F.col(f"{w}_a") == F.col(f"{w}_b")) for i, w in enumerate(words)]
@@ -392,7 +392,7 @@ def similar_components(
     across = linked(slim, slim, (F.col("part_a") < F.col("part_b")) & ~reduce(or_, earlier))
     merged = connected_components(across.select("part_a", "part_b").distinct(), "part_a", "part_b")
     out = stage.keep(_joined(rough, merged), "components")
-    stage.drop(rough, met, sets)
+    stage.drop(rough, met, looks)
     return out
 
 

@@ -5,7 +5,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sluice.llm import simhash
+from sluice.llm import components, simhash
+from sluice.llm.common import Staging
 from sluice.llm.components import connected_components
 
 
@@ -165,6 +166,43 @@ def test_connected_components_of_paths_and_stars(spark):
     assert connected_components(frame.where(F.lit(False))).count() == 0
 
 
+def test_connected_components_equal_union_find_on_drawn_graphs(spark):
+    rng = random.Random(11)
+    for n, m in [(60, 25), (200, 180), (400, 1200)]:
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+        roots = union_find(n, edges)
+        assert got == {x: roots[x] for e in edges if e[0] != e[1] for x in e}
+
+
+def test_connected_components_write_few_tables(spark, monkeypatch):
+    # Every table is a query, and its plan, stages and tasks stay in the driver for long.
+    made = []
+
+    class Counted(Staging):
+        def keep(self, df, label):
+            made.append(label)
+            return super().keep(df, label)
+
+    monkeypatch.setattr(components, "Staging", Counted)
+    stars = spark.createDataFrame([(9 * i, 9 * i + j) for i in range(20) for j in range(1, 9)], "a long, b long")
+    assert dict(connected_components(stars).collect()) == {i: i // 9 * 9 for i in range(180)}
+    assert made == ["edges", "low"]
+    made.clear()
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    assert dict(connected_components(path).collect()) == dict.fromkeys(range(5), 0)
+    assert len(made) <= 10
+
+
+def test_staging_forgets_what_it_drops(spark):
+    stage = Staging(spark, "test-forget")
+    kept = [stage.keep(spark.range(n), "same") for n in (1, 2, 3)]
+    stage.drop(kept[0], kept[2])
+    assert [frame is kept[1] for frame, _ in stage.kept] == [True]
+    again = stage.keep(spark.range(4), "same")
+    assert (kept[1].count(), again.count()) == (2, 4)
+
+
 def test_a_large_group_around_the_threshold_makes_few_links(spark, monkeypatch):
     # Each copy has three words of its own: about half of all pairs are similar enough.
     rng = random.Random(8)
