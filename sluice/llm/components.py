@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps, and roots of trees."""
 
 from __future__ import annotations
 
@@ -53,3 +53,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def tree_roots(links: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (the root above it) of every ``a`` that hangs below its only ``b``.
+
+    There are no cycles, as every ``b`` is smaller than its ``a``; so a root is the smallest node
+    of its component. A round hangs every node below what its upper node hangs below: one table,
+    where ``connected_components`` needs four, and half the depth.
+    """
+    stage = Staging(links.sparkSession, "roots")
+    now = stage.keep(links.select(F.col("a").alias("node"), F.col("b").alias("up")), "links")
+    while True:
+        above = now.select(F.col("node").alias("_node"), F.col("up").alias("_up"))
+        hung = now.select("node", "up").join(above, F.col("up") == F.col("_node"), "left")
+        hung = hung.select("node", F.coalesce("_up", "up").alias("up"), F.col("_up").isNotNull().alias("moved"))
+        before, now = now, stage.keep(hung, "hung")
+        stage.drop(before)
+        if now.agg(F.count_if("moved").alias("n")).first().n == 0:
+            return now.select("node", F.col("up").alias("component"))

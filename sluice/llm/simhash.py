@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Staging, keep, whole
-from sluice.llm.components import connected_components
+from sluice.llm.components import connected_components, tree_roots
 
 SEED = 42
 SHINGLE = 4
@@ -346,7 +346,8 @@ def similar_components(
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     links = near.join(left, "a").join(right, "b").where(_alike("sa", "sb", similarity)).select("a", "b")
-    links = connected_components(links)
+    # Every node has at most one link, to a leader, which is smaller.
+    links = tree_roots(links)
     rough = nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     rough = stage.keep(rough, "parts")
     stage.drop(near, sets)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import components, simhash
 from sluice.llm.common import Staging
-from sluice.llm.components import connected_components
+from sluice.llm.components import connected_components, tree_roots
 
 
 def brute_fingerprint(text):
@@ -194,6 +194,25 @@ def test_connected_components_write_few_tables(spark, monkeypatch):
     assert len(made) <= 10
 
 
+def test_roots_of_trees_equal_components(spark, monkeypatch):
+    made = []
+
+    class Counted(Staging):
+        def keep(self, df, label):
+            made.append(label)
+            return super().keep(df, label)
+
+    monkeypatch.setattr(components, "Staging", Counted)
+    rng = random.Random(12)
+    up = {i: i - 1 for i in range(1, 30)} | {i: 100 for i in range(101, 180)}
+    up |= {i: rng.randrange(200, i) for i in range(201, 260)}
+    frame = spark.createDataFrame(list(up.items()), "a long, b long")
+    roots = union_find(260, up.items())
+    assert dict(tree_roots(frame).collect()) == {i: roots[i] for i in up}
+    assert len(made) <= 7
+    assert tree_roots(frame.where("a < 0")).count() == 0
+
+
 def test_staging_forgets_what_it_drops(spark):
     stage = Staging(spark, "test-forget")
     kept = [stage.keep(spark.range(n), "same") for n in (1, 2, 3)]
