@@ -321,7 +321,7 @@ def similar_components(
 
     Many texts around the threshold of each other are left apart by one star, and the links
     between them grow with the square of their number. So the large buckets are starred again,
-    each round with four times as many drawn leaders as before and every node linked to all that it is
+    each round with twice as many drawn leaders as before and every node linked to all that it is
     similar to. A round's links tell how many links between components there are; the rounds end
     when these are no more than the rows of the large buckets. Whatever they leave apart is
     compared as a whole, so they lose no link.
@@ -385,7 +385,7 @@ def similar_components(
         stage.drop(*before)
         if enough:
             break
-        heads *= 4
+        heads *= 2
 
     # A pair that shares several blocks is looked at in the first of them only.
     earlier = [(F.col("n_a") > i) & (F.col(f"{w}_a") == F.col(f"{w}_b")) for i, w in enumerate(words)]
