@@ -271,6 +271,9 @@ def components(prints: DataFrame, distance: int, blocks: int, together: int) ->
     different components are compared: no link between components is lost, and a group that
     the stars have joined costs nothing more. That join checks whole fingerprints itself, so
     a large group just beyond the distance makes no rows.
+
+    Spark sizes dealt rows as the nodes they come from, many times too low, and would broadcast
+    them through the driver. So the joins of dealt rows ask for a merge.
     """
     stage = Staging(prints.sparkSession, "simhash")
     look = lambda p: F.bit_count(F.col("p").bitwiseXOR(F.col(p)))
@@ -281,7 +284,7 @@ def components(prints: DataFrame, distance: int, blocks: int, together: int) ->
     )
     first = stage.keep(first, "leaders")
     key = (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2"))
-    star = dealt.join(first, key & (F.col("node") != F.col("b")) & (look("p2") <= distance))
+    star = dealt.hint("merge").join(first, key & (F.col("node") != F.col("b")) & (look("p2") <= distance))
     star = connected_components(star.select(F.col("node").alias("a"), "b").distinct())
     rough = prints.join(star, "node", "left").withColumn("part", F.coalesce("component", "node"))
     rough = stage.keep(rough.select(*prints.columns, "part"), "parts")
@@ -291,7 +294,7 @@ def components(prints: DataFrame, distance: int, blocks: int, together: int) ->
     other = met.select(
         F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("p").alias("p2")
     )
-    across = met.join(other, key & (F.col("part") < F.col("part2")) & (look("p2") <= distance))
+    across = met.hint("merge").join(other, key & (F.col("part") < F.col("part2")) & (look("p2") <= distance))
     merged = connected_components(across.select("part", "part2").distinct(), "part", "part2")
     return _joined(rough.select("node", "part"), merged)
 

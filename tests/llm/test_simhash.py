@@ -84,6 +84,21 @@ def test_chains_of_close_fingerprints_join(spark):
     assert [got[v] for v in signed] == [signed[r] for r in roots]
 
 
+def test_dealt_keys_are_not_broadcast(spark, monkeypatch):
+    # Spark takes a row per node and key for as small as the nodes, which here are far below its limit.
+    plans = []
+
+    def seen(edges, *ends):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return connected_components(edges, *ends)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    frame = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    assert simhash.near_duplicates(frame).count() == len(texts())
+    assert len(plans) == 2
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def brute_blocks(hashes, blocks):
     """Majority of the three least mixed hashes of a set, block by block."""
     out = []
