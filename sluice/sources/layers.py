@@ -167,12 +167,16 @@ class PartitionedTable:
             .parquet(self.path)
         )
 
-    def upsert(self, batch: DataFrame, key: str, stage: str, unique: bool = False) -> None:
+    def upsert(
+        self, batch: DataFrame, key: str, stage: str, unique: bool = False, add: bool = False
+    ) -> None:
         """Insert or replace rows by key; a key must keep its part. Repeating changes nothing.
 
         The batch is read more than once, so pass a frame over written files. ``unique`` says that
         it has one row per key. The first batch needs no stage: it does not read the table, and
-        repeating it replaces what a crash has left.
+        repeating it replaces what a crash has left. With ``add``, for keys that are mostly new,
+        rows are added to the parts that hold none of the batch's keys, and only the others are
+        rewritten. What a crash has left of added rows holds their keys, so repeating rewrites it.
         """
         columns = [c for c in batch.columns if c != "_arrived"]
         if self.staged(stage):
@@ -185,6 +189,16 @@ class PartitionedTable:
         if near is None:
             self._overwrite(last.select(*columns, self.part), False)
             return
+        if add:
+            keys = batch.select(F.col(key).alias("_pk"))
+            again = self.parts(near.join(keys, F.col(key) == F.col("_pk"), "left_semi"))
+            new = last.where(~self.part.isin(again))
+            new.select(*columns, self.part).hint("rebalance", "_part").write.mode("append").partitionBy(
+                "_part"
+            ).parquet(self.path)
+            if not again:
+                return
+            parts, near, last = again, self.rows(again), last.where(self.part.isin(again))
         merged = near.join(last.select(F.col(key).alias("_pk")), F.col(key) == F.col("_pk"), "left_anti")
         self.replace(self.with_new(merged, last).select(*columns), parts, stage)
 

@@ -74,6 +74,48 @@ def test_stream_verdicts_equal_the_batch_ones_once_closed(spark, tmp_path):
     assert {k: v for k, v in found.items() if k < 1000} == want
 
 
+def test_new_verdicts_are_added_and_only_repeated_keys_rewrite(spark, tmp_path):
+    files = lambda: {str(f) for f in (tmp_path / "verdicts").glob("_part=*/*.parquet")}
+    shop = Payments(spark, str(tmp_path))
+    shop.drop([payment(1, 7, paid_at=day(10)), payment(11, 7, paid_at=day(10))], [order(7, ordered_at=day(9))])
+    assert shop.drain() == {1: None, 11: None}
+    first = files()
+    shop.drop([payment(2, 7, paid_at=day(10)), payment(25, 7, paid_at=day(10))])
+    assert shop.drain() == {1: None, 11: None, 2: None, 25: None}
+    assert first < files()
+    # Payment 1 comes again, with an amount that is refused: one row of it, the other part as it was.
+    shop.drop([payment(1, 7, amount="-1.00", paid_at=day(11)), payment(12, 7, paid_at=day(11))])
+    before = files()
+    assert shop.drain() == {1: "negative_price", 11: None, 2: None, 25: None, 12: None}
+    assert shop.table.rows().count() == 5
+    assert {f for f in before if "_part=0" not in f} < files()
+    assert not {f for f in before if "_part=0" in f} & files()
+
+
+def test_a_repeated_call_mends_rows_half_added(spark, tmp_path):
+    table = PartitionedTable(spark, f"{tmp_path}/table", key_range("k", 10))
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    found = lambda: sorted(tuple(r) for r in table.rows().collect())
+    table.upsert(batch((1, "a"), (11, "b")), "k", f"{tmp_path}/stage", add=True)
+    more = batch((2, "c"), (12, "d"), (13, "e"), (21, "f"))
+    # A crash has left one of the two rows of part 1.
+    torn = batch((12, "d")).select("*", table.part)
+    torn.write.mode("append").partitionBy("_part").parquet(table.path)
+    want = [(1, "a"), (2, "c"), (11, "b"), (12, "d"), (13, "e"), (21, "f")]
+    for n in range(2):
+        table.upsert(more, "k", f"{tmp_path}/stage-{n}", add=True)
+        assert found() == want
+
+
+def test_the_state_settings_are_those_of_the_query_only(spark, tmp_path):
+    key = "spark.sql.streaming.maxBatchesToRetainInMemory"
+    before = spark.conf.get(key)
+    shop = Payments(spark, str(tmp_path))
+    shop.drop([payment(1, 7, paid_at=day(10))], [order(7, ordered_at=day(9))])
+    shop.drain()
+    assert spark.conf.get(key) == before != "1"
+
+
 def test_the_histogram_gives_the_spike_test_after_each_drop(spark, tmp_path):
     source = str(tmp_path / "source")
     live = volumes.MinuteVolumes(spark, str(tmp_path / "live"))
